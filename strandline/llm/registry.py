@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from strandline.llm.packing import op3_best_fit_packing
 from strandline.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
