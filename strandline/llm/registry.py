@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.chat import op2_chat_formatting
+from strandline.llm.codec import op8_token_files
 from strandline.llm.mixing import op5_curriculum_mixing
 from strandline.llm.packing import op3_best_fit_packing
 from strandline.llm.simhash import op6_simhash_near_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_curriculum_mixing": op5_curriculum_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
