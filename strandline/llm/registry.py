@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from strandline.llm.chat import op2_chat_formatting
 from strandline.llm.codec import op8_token_files
+from strandline.llm.licenses import op1_license_scan
 from strandline.llm.mixing import op5_curriculum_mixing
 from strandline.llm.packing import op3_best_fit_packing
 from strandline.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_curriculum_mixing": op5_curriculum_mixing,
