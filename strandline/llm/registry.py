@@ -8,11 +8,13 @@ from strandline.llm.licenses import op1_license_scan
 from strandline.llm.mixing import op5_curriculum_mixing
 from strandline.llm.packing import op3_best_fit_packing
 from strandline.llm.simhash import op6_simhash_near_dedup
+from strandline.llm.topk import op4_exact_topk
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_exact_topk": op4_exact_topk,
     "op5_curriculum_mixing": op5_curriculum_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_token_files": op8_token_files,
