@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandline.llm.chat import op2_chat_formatting
 from strandline.llm.codec import op8_token_files
+from strandline.llm.lattice import op9_lattice_near_dedup
 from strandline.llm.licenses import op1_license_scan
 from strandline.llm.mixing import op5_curriculum_mixing
 from strandline.llm.packing import op3_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_curriculum_mixing": op5_curriculum_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_token_files": op8_token_files,
+    "op9_lattice_near_dedup": op9_lattice_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
