@@ -10,6 +10,7 @@ from strandline.llm.mixing import op5_curriculum_mixing
 from strandline.llm.packing import op3_best_fit_packing
 from strandline.llm.simhash import op6_simhash_near_dedup
 from strandline.llm.topk import op4_exact_topk
+from strandline.llm.toxicity import op7_string_kernel_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_curriculum_mixing": op5_curriculum_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_token_files": op8_token_files,
     "op9_lattice_near_dedup": op9_lattice_near_dedup,
 }
