@@ -9,6 +9,7 @@ from strandline.llm.licenses import op1_license_scan
 from strandline.llm.mixing import op5_curriculum_mixing
 from strandline.llm.packing import op3_best_fit_packing
 from strandline.llm.simhash import op6_simhash_near_dedup
+from strandline.llm.suffixes import op10_suffix_array_dedup
 from strandline.llm.topk import op4_exact_topk
 from strandline.llm.toxicity import op7_string_kernel_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
     "op8_token_files": op8_token_files,
     "op9_lattice_near_dedup": op9_lattice_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -47,7 +47,7 @@ _DOTTED_I = "İ"
 class _Words(dict):
     """word -> row of the id table; a word that is not there yet is encoded and added."""
 
-    MOST = 1_200_000
+    MOST = 350_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -169,6 +169,6 @@ def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, text: int, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(input slice, ids, ids of each row) for slices of a few MB; `text` is the text column's place, nulls are empty."""
-    for batch in row_chunks(batches, rows, 4 << 20):
+    for batch in row_chunks(batches, rows, 2 << 20):
         ids, n = encode([x or "" for x in batch.column(text).to_pylist()], path)
         yield batch, ids, n
