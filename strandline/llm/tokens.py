@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from strandline.llm.common import row_chunks
 
@@ -39,15 +40,19 @@ def _byte_letters() -> str:
 
 
 _LETTERS = _byte_letters()
+_SPACE = _LETTERS[32]
 _TAIL = frozenset(".,;:!?")
 _LAST_PLAIN = "ɏ"  # Latin letters up to here are letters in every Unicode version and need no normal form
 _DOTTED_I = "İ"
+# How the two vocabularies split a text, for text of plain Latin letters, digits and marks (fixed values of their files).
+_KEEPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
+_DROPPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class _Words(dict):
     """word -> row of the id table; a word that is not there yet is encoded and added."""
 
-    MOST = 350_000
+    MOST = 450_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -56,6 +61,7 @@ class _Words(dict):
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.merge = self.library.model.tokenize
         self.drops_space = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" not in str(self.library.pre_tokenizer)
         self.forget()
 
@@ -81,44 +87,67 @@ class _Words(dict):
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _one(self, unit: str) -> list[int]:
-        """Ids of one unit that the library's splitter leaves whole."""
-        return [t.id for t in self.library.model.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))]
+        """Ids of one unit that the library's splitter leaves whole; a leading space may stand before a word."""
+        if unit.isascii() and unit.isalnum():
+            return [t.id for t in self.merge(unit)]
+        return [t.id for t in self.merge(unit.encode().decode("latin-1").translate(_LETTERS))]
 
-    def _ids(self, row: int) -> list[int]:
-        at = self.start[row]
-        return self.flat[at : at + self.size[row]].tolist()
+    def _parts(self, units: list[str]) -> list[int]:
+        ids: list[int] = []
+        for unit in units:
+            ids += self._one(unit) if unit.isalpha() else self._tail(unit)
+        return ids
 
     def _tail(self, mark: str) -> list[int]:
         if mark not in self.single:
+            if len(self.single) > 50_000:
+                self.single.clear()
             self.single[mark] = self._one(mark)
         return self.single[mark]
 
     def __missing__(self, piece: str) -> int:
-        row = self[piece] = self._dropping(piece) if self.drops_space else self._keeping(piece)
+        ids = self._dropping(piece) if self.drops_space else self._keeping(piece)
+        if ids is None:
+            row = -1
+        else:
+            row = len(self.start)
+            self.start.append(len(self.flat))
+            self.size.append(len(ids))
+            self.flat.extend(ids)
+        self[piece] = row
         return row
 
-    def _dropping(self, piece: str) -> int:
+    def _dropping(self, piece: str) -> list[int]:
         if not piece:
-            return self._add([])
-        word, mark = (piece[:-1], piece[-1]) if piece[-1] in _TAIL else (piece, "")
-        if word.isalpha() and max(word) <= _LAST_PLAIN and _DOTTED_I not in word:
-            return self._add(self._ids(self[word]) + self._tail(mark) if mark else self._one(word.lower()))
-        return self._add(self.whole(piece))
-
-    def _keeping(self, piece: str) -> int:
-        """-1 where the cut may not be a token border; a piece after a line break or at the start begins with NUL."""
+            return []
+        mark = piece[-1]
+        word = piece[:-1] if mark in _TAIL else piece
+        if word.isalpha() and (word.isascii() or (max(word) <= _LAST_PLAIN and _DOTTED_I not in word)):
+            ids = self._one(word.lower())
+            return ids + self._tail(mark) if mark in _TAIL else ids
+        if piece.isprintable() and max(piece) <= _LAST_PLAIN and _DOTTED_I not in piece:
+            return self._parts(_DROPPING.findall(piece.lower()))
+        return self.whole(piece)
+
+    def _keeping(self, piece: str) -> list[int] | None:
+        """None where the cut may not be a token border; a piece after a line break or at the start begins with NUL."""
         if piece == "\n":
-            return self._add(self._tail("\n"))
-        begin = "" if piece[:1] == "\0" else " "
-        piece = piece.removeprefix("\0")
-        if not piece or not (piece[-1].isalnum() or "!" <= piece[-1] <= "~"):
-            return -1
-        if begin == "" and piece[0].isspace():
-            return -1
-        word, mark = (piece[:-1], piece[-1]) if piece[-1] in _TAIL else (piece, "")
-        if word.isalpha() and max(word) <= _LAST_PLAIN:
-            return self._add(self._ids(self[word if begin else "\0" + word]) + self._tail(mark) if mark else self._one(begin + word))
-        return self._add(self.whole(begin + piece))
+            return self._tail("\n")
+        begin = " "
+        if piece[:1] == "\0":
+            begin, piece = "", piece[1:]
+        if not piece:
+            return None
+        mark = piece[-1]
+        word = piece[:-1] if mark in _TAIL else piece
+        if word.isalpha() and (word.isascii() or max(word) <= _LAST_PLAIN):
+            ids = self._one(begin + word) if not word.isascii() or not begin else [t.id for t in self.merge(_SPACE + word)]
+            return ids + self._tail(mark) if mark in _TAIL else ids
+        if not (mark.isalnum() or "!" <= mark <= "~") or (not begin and piece[0].isspace()):
+            return None
+        if piece.isprintable() and max(piece) <= _LAST_PLAIN:
+            return self._parts(_KEEPING.findall(begin + piece))
+        return self.whole(begin + piece)
 
     def rows(self, text: str) -> np.ndarray | None:
         """Table rows of the text's pieces; None if it must be encoded whole."""
