@@ -32,10 +32,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
-    have, top = 1, np.uint64(base)
+    have = 1
     while have < n:
         take = min(have, n - have)
-        out[have : have + take] = out[:take] * (out[have - 1] * top)
+        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
         have += take
     return out
 
@@ -129,9 +129,9 @@ def _anchors_of(pieces: list[bytes], of: np.ndarray, base: np.ndarray, length: i
     return of[piece[begin]], a + shift, b + shift, head[p], cover
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
+def _keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     text = text_or_empty().cast("string")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
 
 
 def anchored_suffixes(documents: DataFrame, batches: int, length: int) -> DataFrame:
@@ -248,8 +248,8 @@ def kept_bytes(data: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int,
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def remove_repeats(documents: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
-    """One row for each input row: doc_id, kept binary, n_bytes, n_removed, n_spans.
+def remove_repeats(documents: DataFrame, length: int = 200, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, kept binary, n_bytes, n_removed, n_spans, and the columns in `carry`.
 
     Every byte covered by a `length`-byte string that also starts anywhere else goes, whichever document or batch
     holds the other place; strings are judged on the input. Null texts are empty; texts shorter than `length` stay
@@ -259,18 +259,20 @@ def remove_repeats(documents: DataFrame, length: int = 200, batches: int = 4) ->
     lists = starts.groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     right = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
     same = (F.coalesce("doc_id", F.lit(-(2**63))) == F.coalesce("d", F.lit(-(2**63)))) & (F.col("h") == F.col("g"))
-    joined = _keyed(documents).join(right, same, "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    rows = _keyed(documents, carry).join(right, same, "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"), *[f"_{c}" for c in carry])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_chunks(rows, 512, 2 << 20):
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches_, 512, 2 << 20):
             out = []
             for data, a, b in zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 spans = np.array([a, b], np.int64).T if a else np.zeros((0, 2), np.int64)
                 out.append((*kept_bytes(data, spans, length), len(data)))
             kept, gone, runs, size = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), *batch.columns[4:]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", *(f"_{c}" for c in carry)])
 
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    kinds = dict(documents.dtypes)
+    out = rows.mapInArrow(run, ", ".join(["doc_id long, kept binary, n_bytes long, n_removed long, n_spans long", *(f"`_{c}` {kinds[c]}" for c in carry)]))
+    return out.withColumnsRenamed({f"_{c}": c for c in carry})
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,17 +260,20 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) for each row: the probability from the most telling word of the whole text.
+def score_toxicity(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, predicted, and the columns in `carry`) for each row: the probability from the most telling
+    word of the whole text.
 
     Null, empty and wordless texts have the lowest margin. Repeated rows stay; no rows give no rows.
     """
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast((object_token(), model))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
+    kinds = dict(documents.dtypes)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in carry], text_or_empty().cast("string").alias("text"))
     margin = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce("margin", F.lit(-4.0))))
     score = 1 / (1 + F.exp(-(F.lit(model.slope) * margin + F.lit(model.shift))))
-    out = margin_rows(docs, held, "doc_id long").select("doc_id", score.alias("score"))
+    schema = ", ".join(["doc_id long", *(f"`_{c}` {kinds[c]}" for c in carry)])
+    out = margin_rows(docs, held, schema).select("doc_id", *[F.col(f"_{c}").alias(c) for c in carry], score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
