@@ -24,6 +24,7 @@ REACH = 3  # a subsequence's next character lies at most so far on: two inserted
 DECAY = 0.6
 EDGE = ".,;:!?\"'()[]{}<>*_~`«»“”„¡¿…-"
 THRESHOLD = 0.3
+MOST_BROADCAST = 1_000_000  # labels (16 bytes each) that go to all tasks; more of them are joined by a shuffle
 _CACHE: dict = {}
 
 
@@ -203,10 +204,12 @@ def train(documents: DataFrame, labels: DataFrame, n_landmarks: int = 160, most_
     spark = documents.sparkSession
     marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    rows = docs.where(~held_out(F.col("doc_id"))).join(marks, "doc_id")
+    learnt = marks.where(~held_out(F.col("doc_id")))
+    few = learnt.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = written(docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(learnt) if few else learnt, "doc_id"), "toxicity-train")
     toxic = _words_of(rows.where("toxic = 1"), True).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("t"))
     clean = written(_words_of(rows.where("toxic = 0"), False).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "toxicity-clean")
-    counts = {r["toxic"]: r["n"] for r in marks.where(~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in learnt.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     base = math.log((n_toxic + 0.01) / (n_clean + 1))
     if not n_toxic:
