@@ -25,13 +25,28 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Write `df` as a shared Parquet table and read it back, which cuts the lineage for lost executors; and its path.
+
+    The shuffles of the write are no longer needed once the table is there, so Spark removes their files then.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.select("*").write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write `df` as a shared Parquet table and read it back, which cuts the lineage for lost executors."""
-    path = work_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    return out
+    return saved(df, name, partition_by)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,8 @@ Every `length`-byte window has an anchor: the start of the 32-byte string of lea
 their anchor at the same place, so suffixes that start at anchors are enough. A batch's suffix array holds its
 anchored suffixes in order of their first 32 bytes' hash, each with a hash of all bytes that its windows cover. New
 batches are merge-scanned against the levels that exist, and levels of equal size merge, so a suffix is rewritten a
-logarithmic number of times. Suffixes that agree in the first bytes and then part are compared window by window.
+logarithmic number of times. Suffixes that agree in the first bytes and then part are compared in stretches of
+neighbouring windows, and only stretches whose common bytes stand twice are compared window by window.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import row_chunks, table, text_or_empty, texts_as_bytes, written
+from strandline.llm.common import drop_path, row_chunks, saved, table, text_or_empty, texts_as_bytes, written
 
 HEAD = 32
 _PLACES = 23
@@ -76,7 +77,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
-    """(text index, first and last window start, head hash, cover hash) of every anchored suffix of the texts.
+    """(text index, first and last window start, anchor, head hash, cover hash) of every anchored suffix of the texts.
 
     A window never leaves its text. The cover hash is of the bytes from the first window's start to the last
     window's end and of the anchor's place in them. Texts of over 2 MB are cut into spans that overlap by a window.
@@ -89,7 +90,7 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
                 pieces.append(t[s : s + span + length - 1])
                 of.append(i)
                 base.append(s)
-    found: list[list[np.ndarray]] = [[] for _ in range(5)]
+    found: list[list[np.ndarray]] = [[] for _ in range(6)]
     group: list[int] = []
     size = 0
     for n, piece in enumerate([*pieces, None]):
@@ -100,7 +101,7 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
         if piece is not None:
             group.append(n)
             size += len(piece)
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in found) if found[0] else empty
 
 
@@ -126,7 +127,7 @@ def _anchors_of(pieces: list[bytes], of: np.ndarray, base: np.ndarray, length: i
     cover = (total[b + length - 7] - total[a]) * _powers(_BACK, len(grams) + 1)[a]
     cover = _mixed(cover ^ _mixed(((p - a).astype(np.uint64) << np.uint64(32)) | (b - a).astype(np.uint64)))
     shift = base[piece[begin]] - (ends - sizes)[piece[begin]]
-    return of[piece[begin]], a + shift, b + shift, head[p], cover
+    return of[piece[begin]], a + shift, b + shift, p + shift, head[p], cover
 
 
 def _keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -135,37 +136,44 @@ def _keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def anchored_suffixes(documents: DataFrame, batches: int, length: int) -> DataFrame:
-    """(batch, head, cover, doc_id, h, a, b): all anchored suffixes of the texts; h tells rows of one doc_id apart."""
+    """(batch, head, cover, doc_id, h, a, b, p): all anchored suffixes of the texts; h tells rows of one doc_id apart."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(rows, 1024, 1 << 20):
-            text, a, b, head, cover = anchors(texts_as_bytes(batch.column(2)), length)
+            text, a, b, p, head, cover = anchors(texts_as_bytes(batch.column(2)), length)
             pick = pa.array(text)
             h = batch.column(1).take(pick)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((h.to_numpy() % batches).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(cover.view(np.int64)), batch.column(0).take(pick), h, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-                names=["batch", "head", "cover", "doc_id", "h", "a", "b"],
+                [pa.array((h.to_numpy() % batches).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(cover.view(np.int64)), batch.column(0).take(pick), h, *(pa.array(x.astype(np.int32)) for x in (a, b, p))],
+                names=["batch", "head", "cover", "doc_id", "h", "a", "b", "p"],
             )
 
-    return _keyed(documents).mapInArrow(run, "batch int, head long, cover long, doc_id long, h long, a int, b int")
+    return _keyed(documents).mapInArrow(run, "batch int, head long, cover long, doc_id long, h long, a int, b int, p int")
 
 
 class IndexFamily:
     """Levels of suffix arrays (head, cover, n), in order of head; sizes double, equal sizes merge."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []
 
     @staticmethod
-    def _array(rows: DataFrame) -> DataFrame:
-        return written(rows.groupBy("head", "cover").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "cover"), "suffix-level")
+    def _array(rows: DataFrame) -> tuple[DataFrame, str]:
+        return saved(rows.groupBy("head", "cover").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "cover"), "suffix-level")
 
     def add(self, suffixes: DataFrame) -> None:
-        """Make the batch's suffix array and merge it with the levels of its size, from the smallest."""
-        size, level = 1, self._array(suffixes.select("head", "cover", F.lit(1).cast("long").alias("n")))
+        """Make the batch's suffix array and merge it with the levels of its size, from the smallest.
+
+        A level that has been merged is deleted.
+        """
+        size, (level, path) = 1, self._array(suffixes.select("head", "cover", F.lit(1).cast("long").alias("n")))
         while self.levels and self.levels[-1][0] == size:
-            size, level = size * 2, self._array(self.levels.pop()[1].unionByName(level))
-        self.levels.append((size, level))
+            _, other, old = self.levels.pop()
+            (merged, place), size = self._array(other.unionByName(level)), size * 2
+            for gone in (old, path):
+                drop_path(suffixes.sparkSession, gone)
+            level, path = merged, place
+        self.levels.append((size, level, path))
 
     def long_matches(self) -> DataFrame:
         """(head, cover, n, mixed): the suffixes that are there more than once over all levels, or whose head is.
@@ -173,7 +181,7 @@ class IndexFamily:
         mixed: the head stands in suffixes whose covered bytes differ.
         """
         every = self.levels[0][1]
-        for _, level in self.levels[1:]:
+        for _, level, _ in self.levels[1:]:
             every = every.unionByName(level)
         if len(self.levels) > 1:
             every = every.groupBy("head", "cover").agg(F.sum("n").alias("n"))
@@ -181,53 +189,84 @@ class IndexFamily:
         return every.join(heads, "head").select("head", "cover", "n", (F.col("covers") > 1).alias("mixed"))
 
 
-def _window_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, doc_id, h, start, asked) of the listed windows: 128 bits of every window that must be compared."""
+def _pieces_of(data: bytes, a: np.ndarray, b: np.ndarray, p: np.ndarray, width: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(span, common hash, whole hash, first start, last start) of the stretches of the spans' starts a..b.
+
+    A stretch holds up to `width` starts, counted back from the anchor p. All its windows have the bytes of the
+    common hash; the whole hash is of everything they cover.
+    """
+    order = np.argsort(a, kind="stable")
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(a[order], a[order[at]] + (1 << 20))))
+        part = order[at:to]
+        at = to
+        lo, hi = int(a[part].min()), int(b[part].max()) + length
+        hashes = Hashes(np.frombuffer(data[lo:hi], np.uint8))
+        low, high = (p[part] - b[part]) // width, (p[part] - a[part]) // width
+        count = high - low + 1
+        row = np.repeat(np.arange(len(part)), count)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+        common = p[part][row] - width * k
+        first, last = np.maximum(a[part][row], common - width + 1), np.minimum(b[part][row], common)
+        whole = _mixed(hashes.windows(first - lo, length, 2) * _MIX[0] + hashes.windows(last - lo, length, 3) + (last - first).astype(np.uint64))
+        yield part[row], hashes.windows(common - lo, length - width + 1, 1), whole, first, last
+
+
+def stretches(documents: DataFrame, asked: DataFrame, width: int, length: int) -> DataFrame:
+    """(common, whole, doc_id, h, a, b, p, open) of the asked suffixes' stretches of up to `width` windows."""
+    lists = asked.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b", "p", "open")).alias("asked"))
+    texts = _joined(_keyed(documents), lists).select("doc_id", "h", "text", "asked")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(rows, 128, 1 << 20):
-            docs, hs, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            w1, w2, doc, h, start, open_ = [], [], [], [], [], []
+            asked_of = batch.column(3)
+            flat, ends = asked_of.flatten(), asked_of.offsets.to_numpy() - asked_of.offsets[0].as_py()
+            a, b, p = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
+            is_open = flat.field(3).to_numpy(zero_copy_only=False)
             for i, data in enumerate(texts_as_bytes(batch.column(2))):
-                spans = [(x["a"], x["b"], x["open"]) for x in asked[i]]
-                lo, hi = min(s[0] for s in spans), max(s[1] for s in spans) + length
-                hashes = Hashes(np.frombuffer(data[lo:hi], np.uint8)) if hi - lo < 1 << 21 or len(spans) == 1 else None
-                for a, b, is_open in spans:
-                    own, shift = (hashes, lo) if hashes else (Hashes(np.frombuffer(data[a : b + length], np.uint8)), a)
-                    at = np.arange(a, b + 1)
-                    w1.append(own.windows(at - shift, length, 1))
-                    w2.append(own.windows(at - shift, length, 2))
-                    start.append(at)
-                    doc += [docs[i]] * len(at)
-                    h.append(np.full(len(at), hs[i], np.int64))
-                    open_.append(np.full(len(at), is_open))
-            if w1:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(w1).view(np.int64)), pa.array(np.concatenate(w2).view(np.int64)), pa.array(doc, pa.int64()), pa.array(np.concatenate(h)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(open_))],
-                    names=["w1", "w2", "doc_id", "h", "start", "asked"],
-                )
-
-    return texts.mapInArrow(run, "w1 long, w2 long, doc_id long, h long, start int, asked boolean")
-
-
-def repeated_starts(documents: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
+                own = slice(ends[i], ends[i + 1])
+                for span, common, whole, first, last in _pieces_of(data, a[own], b[own], p[own], width, length):
+                    same = pa.array(np.full(len(span), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(common.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(x.astype(np.int32)) for x in (first, last, p[own][span])), pa.array(is_open[own][span])],
+                        names=["common", "whole", "doc_id", "h", "a", "b", "p", "open"],
+                    )
+
+    return texts.mapInArrow(run, "common long, whole long, doc_id long, h long, a int, b int, p int, open boolean")
+
+
+def _told_apart(rows: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """The open rows that stand twice, and those to compare further: rows that share `first` but not `second`.
+
+    Of equal rows one goes on as a witness (not open) for the others that share `first`.
+    """
+    twice = rows.where("n > 1 and open").select("doc_id", "h", "a", "b")
+    alone = rows.where("n = 1 and mixed").select("doc_id", "h", "a", "b", "p", "open")
+    one = rows.where("n > 1 and mixed").groupBy(first, second).agg(F.min(F.struct("doc_id", "h", "a", "b", "p")).alias("w"))
+    return twice, alone.unionByName(one.select("w.*", F.lit(False).alias("open")))
+
+
+def repeated_starts(documents: DataFrame, length: int = 200, batches: int = 4, width: int = 24) -> DataFrame:
     """(doc_id, h, a, b): runs of starts a..b whose `length`-byte windows also start anywhere else."""
-    suffixes = written(anchored_suffixes(documents, batches, length), "suffixes", ["batch"])
+    spark = documents.sparkSession
+    suffixes, path = saved(anchored_suffixes(documents, batches, length), "suffixes", ["batch"])
     family = IndexFamily()
     for n in range(batches):
         family.add(suffixes.where(F.col("batch") == n))
-    matches = family.long_matches()
-    hit = written(suffixes.drop("batch").join(matches, ["head", "cover"]), "suffix-hits")
-    whole = hit.where("n > 1").select("doc_id", "h", "a", "b")
-    alone = hit.where("n = 1 and mixed").select("doc_id", "h", "a", "b", F.lit(True).alias("open"))
-    witness = hit.where("n > 1 and mixed").groupBy("head", "cover").agg(F.min(F.struct("doc_id", "h", "a", "b")).alias("w"))
-    asked = alone.unionByName(witness.select("w.*", F.lit(False).alias("open")))
-    lists = asked.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b", "open")).alias("asked"))
-    texts = _joined(_keyed(documents), lists).select("doc_id", "h", "text", "asked")
-    windows = written(_window_rows(texts, length), "suffix-windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    some = windows.where("asked").join(twice, ["w1", "w2"]).select("doc_id", "h", F.col("start").alias("a"), F.col("start").alias("b"))
-    return whole.unionByName(some)
+    hit = written(suffixes.drop("batch").join(family.long_matches(), ["head", "cover"]).withColumn("open", F.lit(True)), "suffix-hits")
+    for gone in (path, *(place for _, _, place in family.levels)):
+        drop_path(spark, gone)
+    found, asked = _told_apart(hit, "head", "cover")
+    for step in (width, 1):
+        parts = written(stretches(documents, asked, step, length), f"suffix-stretches-{step}")
+        keys = parts.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"))
+        shared = keys.groupBy("common").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+        known = keys.join(shared, "common").select("common", "whole", "n", (F.col("kinds") > 1).alias("mixed"))
+        rows = written(parts.join(known, ["common", "whole"]), f"suffix-shared-{step}")
+        twice, asked = _told_apart(rows, "common", "whole")
+        found = found.unionByName(twice)
+    return found
 
 
 def _joined(keyed: DataFrame, lists: DataFrame) -> DataFrame:
