@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TR_SECONDS = 1.49
-_ORDER = Window.partitionBy("run").orderBy("tr")
+
+def _order():
+    return Window.partitionBy("run").orderBy("tr")
 
 
 def state_blocks(states: DataFrame, seconds: float = TR_SECONDS) -> DataFrame:
     """(run, block_index, state, start_tr, end_tr, duration_tr, start_s, end_s, duration_s); end_tr is past the block."""
-    change = F.coalesce((F.col("state") != F.lag("state").over(_ORDER)).cast("int"), F.lit(0))
-    marked = states.withColumn("changed", change).withColumn("block_index", F.sum("changed").over(_ORDER))
+    change = F.coalesce((F.col("state") != F.lag("state").over(_order())).cast("int"), F.lit(0))
+    marked = states.withColumn("changed", change).withColumn("block_index", F.sum("changed").over(_order()))
     out = marked.groupBy("run", "block_index").agg(F.first("state").alias("state"), F.min("tr").alias("start_tr"), (F.max("tr") + 1).alias("end_tr"))
     out = out.withColumn("duration_tr", F.col("end_tr") - F.col("start_tr"))
     return out.select("run", "block_index", "state", "start_tr", "end_tr", "duration_tr", *[(F.col(f"{c}_tr") * seconds).alias(f"{c}_s") for c in ("start", "end", "duration")])
