@@ -55,15 +55,20 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """Kernel values of few words with few words, by way of the hashed map."""
+    """Kernel values of words with few words, by way of the hashed map; only buckets of the few words are held."""
     rw, rb, rx = word_features(right)
+    there, column = np.unique(rb, return_inverse=True)
+    of_bucket = np.zeros((len(there), len(right)), np.float32)
+    np.add.at(of_bucket, (column, rw), rx)
     out = np.zeros((len(left), len(right)))
-    dense = np.zeros((len(right), BUCKETS), np.float32)
-    np.add.at(dense, (rw, rb), rx)
-    lw, lb, lx = word_features(left)
-    for s in range(0, len(lw), 1 << 15):
-        part = slice(s, s + (1 << 15))
-        np.add.at(out, lw[part], (dense[:, lb[part]] * lx[part]).T)
+    for s in range(0, len(left), 1024):
+        lw, lb, lx = word_features(left[s : s + 1024])
+        at = np.searchsorted(there, lb)
+        both = at < len(there)
+        both[both] = there[at[both]] == lb[both]
+        dense = np.zeros((len(left[s : s + 1024]), len(there)), np.float32)
+        np.add.at(dense, (lw[both], at[both]), lx[both])
+        out[s : s + 1024] = dense @ of_bucket
     return out
 
 
