@@ -49,7 +49,11 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             weight.append(np.full(len(inside), DECAY ** (first + second - 2)))
     if not word:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    w, b, x = np.concatenate(word), np.concatenate(bucket), np.concatenate(weight)
+    key, x = np.concatenate(word) << 18 | np.concatenate(bucket), np.concatenate(weight)
+    order = np.argsort(key)
+    key, x = key[order], x[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    w, b, x = key[first] >> 18, key[first] & (BUCKETS - 1), np.add.reduceat(x, first)  # a word that repeats itself has each bucket once
     norm = np.sqrt(np.bincount(w, x * x, len(words)))
     return w, b, x / norm[w]
 
