@@ -26,4 +26,20 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e as (select *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) as body, length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) as head from t)
+select conv_id::bigint as conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  cast(sum(body + case role when 'system' then 15 when 'user' then 15 when 'assistant' then 7 else head + 14 end) as bigint) as formatted_chars
+from e group by conv_id""",
+    "op4_exact_topk": """
+with v as (select vec_id, [floor(64 * x::double)::bigint for x in embedding] as q from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_sum([p[1] * p[2] for p in list_zip(a.q, b.q)])::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""",
+}

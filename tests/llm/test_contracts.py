@@ -6,12 +6,14 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from strandline.llm.registry import QUERIES  # noqa: E402
+from strandline.llm.registry import ORACLE_SQL, QUERIES  # noqa: E402
 from strandline.llm.tokens import vocabulary_path  # noqa: E402
 
 
@@ -84,6 +86,17 @@ def test_topk(spark, sf_dir):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    cols = [c[0] for c in want.description]
+    got = QUERIES[name](spark, sf_dir).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_mixing(spark, sf_dir):
     rows = {d: (brute.word_size(t), s) for d, t, s in rows_of(spark, sf_dir, "documents", "doc_id", "text", "source")}
     sizes = Counter()
