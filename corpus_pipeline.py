@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import table, written
+from strandline.llm.components import connected_components
+from strandline.llm.jaccard import jaccard_links
 from strandline.llm.mixing import curriculum, mix
 from strandline.llm.packing import pack_documents
 from strandline.llm.simhash import near_duplicates
@@ -28,10 +30,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id; of repeated rows with that id one stays."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("d")).distinct()
-    own = docs.join(first, F.col("doc_id") == F.col("d"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate component: the one with the smallest id; of repeated rows with that id one stays.
+
+    Documents link by op6's fingerprints (four words, at most 4 differing bits) or by a five-word Jaccard of 0.8 or more.
+    """
+    slim = docs.select("doc_id", "text")
+    close = near_duplicates(slim).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    gone = connected_components(close.union(jaccard_links(slim))).where("node <> component").select(F.col("node").alias("d"))
+    own = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("d"), "left_anti").dropDuplicates(["doc_id"])
     return own.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
