@@ -1,8 +1,9 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a weight schedule over training time 0..1. Its integral gives the source's share of all words, the
-share is bounded by what the source may be repeated, and the inverse of the cumulated schedule turns a document's
-place in its source's queue into a training position, by which the mix is range-sorted.
+share is bounded by what the source may be repeated, and the inverse of the cumulated schedule turns the words that the
+source has dealt before a copy, over all that it deals, into the copy's training position, by which the mix is
+range-sorted.
 """
 
 from __future__ import annotations
@@ -66,16 +67,18 @@ def _position(progress: Column) -> Column:
 
 
 def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, schedule: Schedule = cycled_weights, seed: int = 17, by: str = "source", queue_parts: int = 1024) -> DataFrame:
-    """Adds size, source_size, target, copies (int), taken (long) and position (double; null if not taken).
+    """Adds size, source_size, target, copies (int), taken (long), position (double) and positions (array<double>).
 
     Every document comes floor(target / source size) times. The words still due come from the head of the source's
     queue, a fixed shuffle by a hash of the row: a document is taken once more if the middle of its words lies before
     the due mark. So a source is off by at most half a document, no document passes `most` times its size where
-    `most` is whole, and reruns agree. A null source is a source of its own, last in order. Null and empty texts have
+    `most` is whole, and reruns agree. `positions` holds a place for each copy: pass k over the queue begins after k
+    times the source's size, and the words dealt before the copy, over the target, go through the inverted schedule;
+    `position` is the first copy's, and both are null if the document is not taken. A null source is a source of its own, last in order. Null and empty texts have
     size 0 and are taken 0 words. Repeated rows each count. A clashing column is replaced. No rows give no rows.
     """
     spark = documents.sparkSession
-    made = ["size", "source_size", "target", "copies", "taken", "position"]
+    made = ["size", "source_size", "target", "copies", "taken", "position", "positions"]
     base = documents.drop(*made)
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
     sized = base.withColumn("size", word_count()).withColumn("_key", key)
@@ -108,23 +111,24 @@ def _assigned(sized: DataFrame, start: DataFrame, planned: DataFrame, ratio: Col
     due = F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size"))
     middle = F.col("_start") + F.col("size") * F.col("rows") / 2
     copies = F.when(F.col("size") > 0, whole + F.when(middle < due, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
-    progress = F.when(F.col("source_size") > 0, F.col("_start") / F.col("source_size")).otherwise(F.lit(0.0))
+    place = lambda k: _position(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("_start")) / F.col("target")))
     return (
         joined.withColumn("copies", copies)
         .withColumn("taken", F.col("copies").cast("long") * F.col("size"))
-        .withColumn("position", F.when(F.col("copies") > 0, _position(progress)))
+        .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)))
+        .withColumn("position", F.col("positions")[0])
         .drop("_s", "_key", "_start", "rows", "w0", "w1")
     )
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
-    """The training order: every taken document as often as it is taken, range-sorted by position.
+    """The training order: every taken document as often as it is taken, range-sorted by the position of each copy.
 
-    The copies of a document lie evenly over the schedule. Adds copy (int, from 0).
+    Adds copy (int, from 0); `position` is the copy's own.
     """
-    each = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    at = (F.col("position") + F.col("copy")) / F.col("copies")
-    return each.withColumn("position", at).repartitionByRange(shuffle_parts(mixed.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    columns = [c for c in mixed.columns if c not in ("position", "positions", "copy")]
+    each = mixed.where("copies > 0").select(*columns, F.posexplode("positions").alias("copy", "position"))
+    return each.repartitionByRange(shuffle_parts(mixed.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
