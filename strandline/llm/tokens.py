@@ -2,7 +2,8 @@
 
 The tokenizers library gives every id. A text is first cut at places where no token can cross (single spaces and
 line breaks between visible characters, or any white space where the vocabulary drops it), so that a word that
-comes again is looked up and not encoded again. Texts with other white space go to the library whole.
+comes again is looked up and not encoded again. Texts with other white space or with one of the vocabulary's added
+tokens go to the library whole.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]  # matched in the raw text
         self.merge = self.library.model.tokenize
         self.drops_space = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" not in str(self.library.pre_tokenizer)
         self.forget()
@@ -150,7 +151,9 @@ class _Words(dict):
         return self.whole(begin + piece)
 
     def rows(self, text: str) -> np.ndarray | None:
-        """Table rows of the text's pieces; None if it must be encoded whole."""
+        """Table rows of the text's pieces; None if it must be encoded whole, as with the vocabulary's added tokens."""
+        if any(token in text for token in self.added):
+            return None
         if self.drops_space:
             pieces = text.replace("\n", " ").split(" ")
         elif not text:
