@@ -47,20 +47,27 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def token_rows(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, crc long, ids binary): the ids of each whole text with the end id, as little-endian 16 or 32-bit numbers."""
+    """(doc_id, crc long, ids binary, counts binary): the ids of each whole text with the end id, as little-endian 16 or
+    32-bit numbers; each task's last row has null in all columns but counts, its number of each id as 64-bit numbers.
+    """
     wide = _id_width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        names = ["doc_id", "crc", "ids", "counts"]
         for batch, ids, n in encoded_batches(batches, vocabulary, 1):
-            ends = np.cumsum(n)
-            crc, raw = [], []
-            for e, k in zip(ends.tolist(), n.tolist()):
-                part = ids[e - k : e]
-                crc.append(zlib.crc32(part.astype("<u4")))
-                raw.append(part.astype(wide).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "crc", "ids"])
+            got = np.bincount(ids, minlength=len(counts))
+            got[: len(counts)] += counts
+            counts = got
+            raw, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(n) * 4
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip((ends - n * 4).tolist(), ends.tolist())]
+            data = ids.astype(wide)
+            offsets = pa.array(np.r_[0, np.cumsum(n) * data.itemsize].astype(np.int32))
+            binary = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), binary, pa.nulls(len(n), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()])], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text")).mapInArrow(run, "doc_id long, crc long, ids binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text")).mapInArrow(run, "doc_id long, crc long, ids binary, counts binary")
 
 
 def _id_width(vocabulary: str) -> str:
@@ -69,20 +76,20 @@ def _id_width(vocabulary: str) -> str:
     return "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def ids_by_frequency(rows: DataFrame, wide: str) -> np.ndarray:
-    """All ids that occur, most frequent first, ties by id; at most the vocabulary's size."""
+def ids_by_frequency(rows: DataFrame) -> np.ndarray:
+    """All ids that occur, most frequent first, ties by id; at most the vocabulary's size. Adds the tasks' counts up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
-        for batch in row_chunks(batches, 4096):
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), wide))
-            if len(got) > len(counts):
-                counts, got = got.astype(np.int64), counts
-            counts[: len(got)] += got
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(counts[there])], names=["id", "n"])
-
-    total = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                got = np.frombuffer(raw, np.int64)
+                total, got = (total, got) if len(total) >= len(got) else (got.copy(), total)
+                total[: len(got)] += got
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(total[there])], names=["id", "n"])
+
+    total = rows.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = total.column("id").to_numpy(), total.column("n").to_numpy()
     return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
@@ -95,7 +102,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, page_tok
     spark = documents.sparkSession
     wide = _id_width(vocabulary)
     rows = written(token_rows(documents, vocabulary), "token-rows")
-    by_rank = ids_by_frequency(rows, wide)
+    by_rank = ids_by_frequency(rows)
     spark.createDataFrame(pa.table({"rank": np.arange(len(by_rank), dtype=np.int64), "id": by_rank.astype(np.int64)})).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -122,13 +129,13 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, page_tok
         if docs:
             yield flush()
 
-    placed = rows.repartitionByRange(shuffle_parts(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    placed = rows.where("ids is not null").select("doc_id", "crc", "ids").repartitionByRange(shuffle_parts(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
     placed.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(run, PAGE).write.option("compression", "zstd").parquet(f"{path}/pages")
     return by_rank
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' documents in their order: shard, page, place (in the page), doc_id, first (ids of the page before it), ids.
+def _decoder(spark: SparkSession, path: str):
+    """Function from a batch of pages to (shard, page, doc_ids, sizes, ids) of each of them.
 
     The rank table has at most the vocabulary's size and goes to the tasks whole.
     """
@@ -136,17 +143,31 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     by_rank = np.zeros(ranks.num_rows, np.uint32)
     by_rank[ranks.column("rank").to_numpy()] = ranks.column("id").to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in row_chunks(batches, 16):
             for shard, page, docs, sizes, control, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                ends = np.cumsum(np.array(sizes, np.int64))
-                ids = by_rank[decode_ranks(control, data, int(ends[-1]))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
-                first = pa.array(ends - np.array(sizes, np.int64))
-                same = [pa.array(np.full(len(docs), v, np.int32)) for v in (shard, page)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(docs), dtype=np.int32)), pa.array(docs, pa.int64()), first, lists], names=["shard", "page", "place", "doc_id", "first", "ids"])
+                n = np.array(sizes, np.int64)
+                yield shard, page, docs, n, by_rank[decode_ranks(control, data, int(n.sum()))]
+
+    return decoded
+
 
-    return spark.read.parquet(f"{path}/pages").select("shard", "page", "doc_ids", "n_tokens", "control", "data").mapInArrow(run, "shard int, page int, place int, doc_id long, first long, ids array<int>")
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/pages").select("shard", "page", "doc_ids", "n_tokens", "control", "data")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files' documents in their order: shard, page, place (in the page), doc_id, first (ids of the page before it), ids."""
+    decoded = _decoder(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, page, docs, n, ids in decoded(batches):
+            ends = np.cumsum(n)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            same = [pa.array(np.full(len(docs), v, np.int32)) for v in (shard, page)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(docs), dtype=np.int32)), pa.array(docs, pa.int64()), pa.array(ends - n), lists], names=["shard", "page", "place", "doc_id", "first", "ids"])
+
+    return _pages(spark, path).mapInArrow(run, "shard int, page int, place int, doc_id long, first long, ids array<int>")
 
 
 def page_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -159,17 +180,17 @@ def page_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files; pages decode where they are read."""
+    decoded = _decoder(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(4)
-            flat, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "page", "doc_id", "first", "n_tokens", "ids_crc32"])
+        for shard, page, docs, n, ids in decoded(batches):
+            raw, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(n)
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip((4 * (ends - n)).tolist(), (4 * ends).tolist())]
+            same = [pa.array(np.full(len(docs), v, np.int32)) for v in (shard, page)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(docs, pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["shard", "page", "doc_id", "first", "n_tokens", "ids_crc32"])
 
-    read = read_token_files(spark, path).select("shard", "page", "doc_id", "first", "ids")
-    sums = read.mapInArrow(run, "shard int, page int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    sums = _pages(spark, path).mapInArrow(run, "shard int, page int, doc_id long, first long, n_tokens long, ids_crc32 long")
     return sums.join(page_starts(spark, path), ["shard", "page"]).select("doc_id", (F.col("page_start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 

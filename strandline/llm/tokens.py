@@ -44,6 +44,7 @@ _LETTERS = _byte_letters()
 _SPACE = _LETTERS[32]
 _TAIL = frozenset(".,;:!?")
 _LAST_PLAIN = "ɏ"  # Latin letters up to here are letters in every Unicode version and need no normal form
+_WRITTEN = {chr(c): "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(ord(_LAST_PLAIN) + 1)}
 _DOTTED_I = "İ"
 # How the two vocabularies split a text, for text of plain Latin letters, digits and marks (fixed values of their files).
 _KEEPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
@@ -51,9 +52,13 @@ _DROPPING = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]
 
 
 class _Words(dict):
-    """word -> row of the id table; a word that is not there yet is encoded and added."""
+    """word -> row of the id table; a word that is not there yet is encoded and added.
 
-    MOST = 450_000
+    A table of over MOST rows keeps the words that came twice or more since the last time, the most frequent half of
+    MOST at most. What goes is only encoded again when it comes again.
+    """
+
+    MOST = 700_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -70,9 +75,32 @@ class _Words(dict):
         self.clear()
         self.flat, self.start, self.size = array("I"), array("q"), array("q")
         self.views = None
+        self.uses = np.zeros(0, np.int32)
         self.single: dict[str, list[int]] = {}
         self.end = self._add([END_ID])
 
+    def trim(self) -> None:
+        """Drop the rows that came once, and all but the most frequent if very many came more often."""
+        flat, start, size = self.tables()
+        uses = self.uses
+        least = max(2, int(np.partition(uses, -(self.MOST // 2))[-(self.MOST // 2)]) + 1) if len(uses) > self.MOST // 2 else 2
+        kept = [(word, row) for word, row in self.items() if row >= 0 and row < len(uses) and uses[row] >= least]
+        self.forget()
+        if kept:
+            rows = np.array([row for _, row in kept], np.int64)
+            take = np.arange(size[rows].sum()) + np.repeat(start[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows])
+            begin = len(self.flat) + np.cumsum(size[rows]) - size[rows]
+            first = len(self.start)
+            self.flat.frombytes(flat[take].tobytes())
+            self.start.frombytes(begin.astype(np.int64).tobytes())
+            self.size.frombytes(size[rows].astype(np.int64).tobytes())
+            self.update((word, first + i) for i, (word, _) in enumerate(kept))
+
+    def count(self, rows: np.ndarray) -> None:
+        got = np.bincount(rows, minlength=len(self.uses)).astype(np.int32)
+        got[: len(self.uses)] += self.uses
+        self.uses = got
+
     def _add(self, ids: list[int]) -> int:
         self.start.append(len(self.flat))
         self.size.append(len(ids))
@@ -91,7 +119,12 @@ class _Words(dict):
         """Ids of one unit that the library's splitter leaves whole; a leading space may stand before a word."""
         if unit.isascii() and unit.isalnum():
             return [t.id for t in self.merge(unit)]
-        return [t.id for t in self.merge(unit.encode().decode("latin-1").translate(_LETTERS))]
+        return [t.id for t in self.merge("".join(map(_WRITTEN.__getitem__, unit)))]
+
+    def _known(self, word: str) -> list[int] | None:
+        """Ids of a word that the table has."""
+        row = self.get(word, -1)
+        return None if row < 0 else self.flat[self.start[row] : self.start[row] + self.size[row]].tolist()
 
     def _parts(self, units: list[str]) -> list[int]:
         ids: list[int] = []
@@ -121,10 +154,14 @@ class _Words(dict):
     def _dropping(self, piece: str) -> list[int]:
         if not piece:
             return []
+        plain = piece.isascii()
         mark = piece[-1]
         word = piece[:-1] if mark in _TAIL else piece
-        if word.isalpha() and (word.isascii() or (max(word) <= _LAST_PLAIN and _DOTTED_I not in word)):
-            ids = self._one(word.lower())
+        if word.isalpha() and (plain or (max(word) <= _LAST_PLAIN and _DOTTED_I not in word)):
+            low = word.lower()
+            ids = self._known(low) if low != piece else None
+            if ids is None:
+                ids = self._one(low)
             return ids + self._tail(mark) if mark in _TAIL else ids
         if piece.isprintable() and max(piece) <= _LAST_PLAIN and _DOTTED_I not in piece:
             return self._parts(_DROPPING.findall(piece.lower()))
@@ -142,7 +179,9 @@ class _Words(dict):
         mark = piece[-1]
         word = piece[:-1] if mark in _TAIL else piece
         if word.isalpha() and (word.isascii() or max(word) <= _LAST_PLAIN):
-            ids = self._one(begin + word) if not word.isascii() or not begin else [t.id for t in self.merge(_SPACE + word)]
+            ids = self._known(word) if begin and mark in _TAIL else None
+            if ids is None:
+                ids = self._one(begin + word) if not word.isascii() or not begin else [t.id for t in self.merge(_SPACE + word)]
             return ids + self._tail(mark) if mark in _TAIL else ids
         if not (mark.isalnum() or "!" <= mark <= "~") or (not begin and piece[0].isspace()):
             return None
@@ -177,7 +216,7 @@ def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, each text with the end id, and the number of ids of each text."""
     words = _words(path)
     if len(words.start) > words.MOST:
-        words.forget()
+        words.trim()
     rows, counts = [], np.zeros(len(texts), np.int64)
     end = np.array([words.end], np.int32)
     for i, text in enumerate(texts):
@@ -188,6 +227,7 @@ def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         counts[i] = len(found) + 1
     flat, start, size = words.tables()
     every = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    words.count(every)
     sizes = size[every]
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
