@@ -1,7 +1,8 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log of events is partitioned by conversation and sorted by message and sequence; streamed deltas, edits and
-regenerations fold into final messages, which a template renders with its control strings escaped inside texts.
+A log of events is partitioned by conversation and message and sorted by sequence; streamed deltas, edits and
+regenerations fold into final messages, which a template renders with its control strings escaped inside texts. Only
+the reader of a conversation's whole output needs its turns in one stream.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import shuffle_parts, table, written
 
 EVENTS = "conv_id long, message long, seq long, kind string, role string, text string"
-SEGMENTS = "conv_id long, position long, segment string, mask_start int, mask_end int"
+SEGMENTS = "conv_id long, position struct<message: long, place: int>, segment string, mask_start int, mask_end int"
 _ESCAPE = re.compile(r"[\\<\[]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _OPENING = {"system": "<<SYS>>", "user": "[INST] ", "assistant": "<s>"}
@@ -87,8 +88,8 @@ def _match_turn(text: str, at: int) -> tuple[str, str, int] | None:
     return None
 
 
-def fold(events: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
-    """Final (conversation, role, text) from events in order of (conversation, message, sequence).
+def fold(events: Iterator[tuple]) -> Iterator[tuple[int | None, int | None, str, str]]:
+    """Final (conversation, message, role, text) from events in order of (conversation, message, sequence).
 
     "message" opens a message with its text, "delta" appends, "edit" replaces the text (and the role, if it has
     one), "regenerate" empties it for the deltas that follow, "delete" takes it out. An event for a message that is
@@ -98,7 +99,7 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
     for conv, message, kind, said_by, text in events:
         if kind == "message" or key != (conv, message):
             if parts is not None:
-                yield key[0], role, "".join(parts)
+                yield *key, role, "".join(parts)
             key, role, parts = (conv, message), said_by or "", []
         if kind in ("message", "delta"):
             parts = [] if parts is None else parts
@@ -110,15 +111,16 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
         else:
             raise ValueError(f"unknown kind of event: {kind}")
     if parts is not None:
-        yield key[0], role, "".join(parts)
+        yield *key, role, "".join(parts)
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """Rendered turns (conv_id, position from 0, segment, mask_start, mask_end) of an event log.
+    """Rendered turns (conv_id, position, segment, mask_start, mask_end) of an event log.
 
-    A conversation's output is its segments one after another; they stay rows so that a conversation of any length
-    streams through its task. Events of one message with equal sequence come in order of kind, role and text. Events
-    without a conversation form one of their own; no events give no rows; extra columns are not read.
+    A conversation's output is its segments in order of position (message, and the place among the messages of that
+    number). A task holds the events of single messages, so one conversation with very many turns spreads over all
+    tasks. Events of one message with equal sequence come in order of kind, role and text. Events without a
+    conversation or a message number form one of their own; no events give no rows; extra columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,37 +128,58 @@ def format_log(events: DataFrame) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
 
-        conv, position, out = object(), 0, []
-        for of, role, text in fold(rows()):
-            position = position + 1 if of == conv else 0
-            conv = of
-            out.append((of, position, *render_turn(role, text)))
+        last, place, out = object(), 0, []
+        for conv, message, role, text in fold(rows()):
+            place = place + 1 if (conv, message) == last else 0
+            last = (conv, message)
+            out.append((conv, {"message": message, "place": place}, *render_turn(role, text)))
             if len(out) == 4096:
                 yield _segments(out)
                 out = []
         if out:
             yield _segments(out)
 
-    log = events.select("conv_id", "message", "kind", "role", "text", "seq").repartition(shuffle_parts(events.sparkSession), "conv_id")
+    log = events.select("conv_id", "message", "kind", "role", "text", "seq").repartition(shuffle_parts(events.sparkSession), "conv_id", "message")
     log = log.sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text").select("conv_id", "message", "kind", "role", "text")
     return log.mapInArrow(run, SEGMENTS)
 
 
 def _segments(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.struct([("message", pa.int64()), ("place", pa.int32())]), pa.string(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["conv_id", "position", "segment", "mask_start", "mask_end"])
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """One "message" event for each row (conv_id, turn, role, text); the turn is message and sequence."""
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("message"), F.col("turn").cast("long").alias("seq"),
-        F.lit("message").alias("kind"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    """The event log that rows (conv_id, turn, role, text) come from; it folds back to them.
+
+    By a hash of the row a message comes whole, streamed in three parts, as a draft that is edited, or as a draft that
+    is regenerated and streamed anew. The turn is the message number; rows of one turn stand in order of role and text.
+    """
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("message"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    copy = F.row_number().over(Window.partitionBy("conv_id", "message").orderBy("role", "text")) - 1
+    rows = rows.withColumn("first", copy.cast("long") * 8).withColumn("way", F.pmod(F.xxhash64("conv_id", "message", "role", "text"), F.lit(4)))
+    third = F.ceil(F.length("text") / 3).cast("int")
+    part = lambda k: F.substring("text", F.lit(1) + k * third, third)
+    event = lambda kind, text, role=F.lit(None): F.struct(F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    none, draft = F.lit(None).cast("string"), F.reverse(part(0))
+    streamed = [event("delta", part(1)), event("delta", part(2))]
+    log = (
+        F.when(F.col("way") == 0, F.array(event("message", F.col("text"), F.col("role"))))
+        .when(F.col("way") == 1, F.array(event("message", part(0), F.col("role")), *streamed))
+        .when(F.col("way") == 2, F.array(event("message", draft, F.col("role")), event("edit", F.col("text"), F.col("role"))))
+        .otherwise(F.array(event("message", draft, F.col("role")), event("delta", draft), event("regenerate", none), event("delta", part(0)), *streamed))
+    )
+    each = rows.select("conv_id", "message", "first", F.posexplode(log).alias("k", "e"))
+    return each.select("conv_id", "message", (F.col("first") + F.col("k")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the output gets back, a row a conversation; the segments stream in order, none is kept."""
+    """What a reader of the output gets back, a row a conversation.
+
+    A digest is of one stream, so a conversation's segments meet in one task; they pass in order and none is kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, out = object(), None, []
@@ -181,7 +204,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     read = formatted.select("conv_id", "position", "segment", "mask_start", "mask_end").repartition(shuffle_parts(formatted.sparkSession), "conv_id")
-    read = read.sortWithinPartitions("conv_id", "position").select("conv_id", "segment", "mask_start", "mask_end")
+    read = read.sortWithinPartitions("conv_id", "position.message", "position.place").select("conv_id", "segment", "mask_start", "mask_end")
     return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
