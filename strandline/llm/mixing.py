@@ -2,8 +2,8 @@
 
 Each source has a weight schedule over training time 0..1. Its integral gives the source's share of all words, the
 share is bounded by what the source may be repeated, and the inverse of the cumulated schedule turns the words that the
-source has dealt before a copy, over all that it deals, into the copy's training position, by which the mix is
-range-sorted.
+source has dealt before a copy, over all that it deals, into the copy's training time. The demand of all sources up to
+that time is the word of training at which the copy is due, and the mix is range-sorted by it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,13 @@ def cycled_weights(order: int) -> float:
     return (3.0, 1.0, 2.0)[order % 3]
 
 
+def ramped_weights(order: int) -> tuple[float, float]:
+    """The weights 3, 1, 2 in turn as means of linear ramps: every other source rises from half to one and a half of its
+    weight, the others fall."""
+    weight = cycled_weights(order)
+    return (weight / 2, 1.5 * weight) if order % 2 == 0 else (1.5 * weight, weight / 2)
+
+
 def word_count(text: str = "text") -> Column:
     r"""Number of `[^\x20\x09-\x0D]+` in a text; null counts 0. Leading, trailing and repeated gaps make no words."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -66,71 +73,93 @@ def _position(progress: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, progress).otherwise((root - w0) / slope)
 
 
-def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, schedule: Schedule = cycled_weights, seed: int = 17, by: str = "source", queue_parts: int = 1024) -> DataFrame:
-    """Adds size, source_size, target, copies (int), taken (long), position (double) and positions (array<double>).
+MADE = ["size", "source_size", "target", "copies", "taken", "position", "positions", "at_word"]
+
+
+def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, schedule: Schedule = ramped_weights, seed: int = 17, by: str = "source", queue_parts: int = 1024) -> DataFrame:
+    """Adds size, source_size, target, copies (int), taken (long), position (double), positions (array<double>) and at_word.
 
     Every document comes floor(target / source size) times. The words still due come from the head of the source's
     queue, a fixed shuffle by a hash of the row: a document is taken once more if the middle of its words lies before
     the due mark. So a source is off by at most half a document, no document passes `most` times its size where
-    `most` is whole, and reruns agree. `positions` holds a place for each copy: pass k over the queue begins after k
-    times the source's size, and the words dealt before the copy, over the target, go through the inverted schedule;
-    `position` is the first copy's, and both are null if the document is not taken. A null source is a source of its own, last in order. Null and empty texts have
-    size 0 and are taken 0 words. Repeated rows each count. A clashing column is replaced. No rows give no rows.
+    `most` is whole, and reruns agree. `positions` holds a training time for each copy: pass k over the queue begins
+    after k times the source's size, and the words dealt before the copy, over the target, go through the inverted
+    schedule; `position` is the first copy's and `at_word` holds the words that all sources together demand up to each
+    copy's time; all three are null if the document is not taken. A null source is a source of its own, last in order.
+    Null and empty texts have size 0 and are taken 0 words. Repeated rows each count. Columns with the names of the
+    added ones are replaced, all others stay whatever their name. No rows give no rows.
     """
-    spark = documents.sparkSession
-    made = ["size", "source_size", "target", "copies", "taken", "position", "positions"]
-    base = documents.drop(*made)
+    sized = _sized(documents, seed, by)
+    return _mixed(sized, written(sized.drop("doc"), "mix-sizes"), share, most, schedule, queue_parts)
+
+
+def _sized(documents: DataFrame, seed: int, by: str) -> DataFrame:
+    """(doc struct of the input's columns, s, size, key): s is the source as a text that is never null."""
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in MADE]
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
-    sized = base.withColumn("size", word_count()).withColumn("_key", key)
-    slim = written(sized.select("doc_id", F.col(by).alias("_by"), "size", "_key"), "mix-sizes")
-    targets = source_targets(slim.groupBy(F.col("_by").alias("source")).agg(F.sum("size").alias("source_size")), share, most, schedule)
+    source = F.coalesce(F.concat(F.lit("s"), F.col(by).cast("string")), F.lit("n"))
+    return documents.select(F.struct(*kept).alias("doc"), source.alias("s"), word_count().alias("size"), key.alias("key"))
+
+
+def _mixed(sized: DataFrame, slim: DataFrame, share: float, most: float, schedule: Schedule, queue_parts: int) -> DataFrame:
+    """Plans the sources and queues on `slim` (s, size, key) and decides for the rows of `sized` how often each is taken, and when."""
+    spark = sized.sparkSession
+    sizes = slim.groupBy(F.when(F.col("s") != "n", F.substring("s", 2, 1 << 30)).alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, share, most, schedule)
     plan = spark.createDataFrame(
-        [(r["source"], r["source_size"], r["target"], r["w0"], r["w1"]) for r in targets], "source string, source_size long, target double, w0 double, w1 double"
+        [("n" if r["source"] is None else "s" + r["source"], r["source_size"], r["target"], r["w0"], r["w1"]) for r in targets], "s string, source_size long, target double, w0 double, w1 double"
     )
     # one row a distinct (source, key): rows with equal keys are repeated rows and stand together in the queue
-    units = slim.groupBy("_by", "_key", "size").agg(F.count(F.lit(1)).alias("rows"))
-    units = units.withColumn("_part", F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(2**63))), 65 - queue_parts.bit_length()).cast("int"))
+    units = slim.groupBy("s", "key", "size").agg(F.count(F.lit(1)).alias("rows"))
+    units = units.withColumn("part", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 65 - queue_parts.bit_length()).cast("int"))
     words = F.col("rows") * F.col("size")
-    by_part = units.groupBy("_by", "_part").agg(F.sum(words).alias("n"))
-    ahead = by_part.select("_by", "_part", (F.sum("n").over(Window.partitionBy("_by").orderBy("_part")) - F.col("n")).alias("_ahead"))
-    inside = F.sum(words).over(Window.partitionBy("_by", "_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)) - words
-    null_safe = F.coalesce(F.concat(F.lit("s"), F.col("_by")), F.lit("n"))
-    left = units.withColumn("_inside", inside).withColumn("_s", null_safe)
-    right = ahead.select(null_safe.alias("_s"), "_part", "_ahead")
-    start = left.join(right, ["_s", "_part"]).select("_s", "_key", "size", "rows", (F.col("_ahead") + F.col("_inside")).alias("_start"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = plan.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
-    return _assigned(sized, start, planned, ratio, by)
-
-
-def _assigned(sized: DataFrame, start: DataFrame, planned: DataFrame, ratio: Column, by: str) -> DataFrame:
-    """Joins queue starts and source targets to the rows and decides how often each is taken, and when."""
-    rows = sized.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col(by)), F.lit("n")))
-    joined = rows.join(start.drop("size"), ["_s", "_key"]).join(planned, "_s")
-    whole = F.floor(ratio + F.lit(1e-12))
+    by_part = units.groupBy("s", "part").agg(F.sum(words).alias("n"))
+    ahead = by_part.select("s", "part", (F.sum("n").over(Window.partitionBy("s").orderBy("part")) - F.col("n")).alias("ahead"))
+    inside = F.sum(words).over(Window.partitionBy("s", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) - words
+    start = units.withColumn("inside", inside).join(ahead, ["s", "part"]).select("s", "key", "rows", (F.col("ahead") + F.col("inside")).alias("start"))
+    joined = sized.join(start, ["s", "key"]).join(plan, "s")
+    whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) + F.lit(1e-12))
     due = F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size"))
-    middle = F.col("_start") + F.col("size") * F.col("rows") / 2
+    middle = F.col("start") + F.col("size") * F.col("rows") / 2
     copies = F.when(F.col("size") > 0, whole + F.when(middle < due, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
-    place = lambda k: _position(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("_start")) / F.col("target")))
-    return (
-        joined.withColumn("copies", copies)
-        .withColumn("taken", F.col("copies").cast("long") * F.col("size"))
-        .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)))
-        .withColumn("position", F.col("positions")[0])
-        .drop("_s", "_key", "_start", "rows", "w0", "w1")
-    )
+    place = lambda k: _position(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("start")) / F.col("target")))
+    once, twice = _joint_demand(targets)
+    out = joined.withColumn("copies", copies).withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)))
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in sized.schema["doc"].dataType.names] if "doc" in sized.columns else []
+    return out.select(
+        *kept, "size", "source_size", "target", "copies", (F.col("copies").cast("long") * F.col("size")).alias("taken"), F.col("positions")[0].alias("position"), "positions",
+        F.transform("positions", lambda t: F.lit(once) * t + F.lit(twice) * t * t).alias("at_word"),
+    )
+
+
+def _joint_demand(targets: list[dict]) -> tuple[float, float]:
+    """(a, b): all sources together demand a t + b t^2 words up to training time t."""
+    once = twice = 0.0
+    for r in targets:
+        total = (r["w0"] + r["w1"]) / 2
+        if total > 0:
+            once += r["target"] * r["w0"] / total
+            twice += r["target"] * (r["w1"] - r["w0"]) / 2 / total
+    return once, twice
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
-    """The training order: every taken document as often as it is taken, range-sorted by the position of each copy.
+    """The training order: every taken document as often as it is taken, range-sorted by the word at which each copy is due.
 
-    Adds copy (int, from 0); `position` is the copy's own.
+    Adds copy (int, from 0); `position` and `at_word` (double) are the copy's own.
     """
-    columns = [c for c in mixed.columns if c not in ("position", "positions", "copy")]
-    each = mixed.where("copies > 0").select(*columns, F.posexplode("positions").alias("copy", "position"))
-    return each.repartitionByRange(shuffle_parts(mixed.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    columns = [c for c in mixed.columns if c.lower() not in ("position", "positions", "copy", "at_word")]
+    pairs = F.arrays_zip(F.col("positions").alias("position"), F.col("at_word").alias("at_word"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    each = mixed.where("copies > 0").select(row, F.posexplode(pairs).alias("copy", "due")).select("row.*", "copy", "due.position", "due.at_word")
+    return each.repartitionByRange(shuffle_parts(mixed.sparkSession), "at_word", "doc_id").sortWithinPartitions("at_word", "doc_id", "copy")
 
 
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    """The documents in training order of their first copy, those not taken last."""
+    sized = _sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), 17, "source")
+    slim = written(sized.select(F.struct(F.col("doc.doc_id")).alias("doc"), "s", "size", "key"), "mix-sizes")
+    mixed = _mixed(slim, slim.drop("doc"), 1.5, 2.0, ramped_weights, 1024)
+    due = F.coalesce(F.col("at_word")[0], F.lit(float("inf")))
+    rows = written(mixed.select("doc_id", "size", "source_size", "target", "taken", "position", due.alias("at_word")), "mix-taken")
+    return rows.repartitionByRange(shuffle_parts(spark), "at_word", "doc_id").sortWithinPartitions("at_word", "doc_id")
