@@ -22,6 +22,36 @@ def base_license(text):
     return len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({label for _, label in at}))
 
 
+def license_scan(texts, templates, rarest=8, least=0.75):
+    """(labels, score) of each text, from all places at which any template could start."""
+    docs = [LICENSE_WORD.findall((t or "").translate(LOWER)) for t in texts]
+    plain = [template.split() for _, template, _ in templates]
+    seen = Counter(w for words in docs for w in set(words))
+    idf = {w: max(np.log((len(docs) + 1) / (seen[w] + 1)), 1e-6) for words in plain for w in words}
+    rank = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))[:rarest]
+    out = []
+    for text, words in zip(texts, docs):
+        line = f" {' '.join(words)} "
+        labels, score = set(filter(None, base_license(text)[4].split(","))), 0.0
+        for (label, _, phrases), template in zip(templates, plain):
+            if not all(f" {p} " in line for p in phrases):
+                continue
+            own = set(rank([w for w in words if w in template]))
+            weight = sum(idf[w] * template.count(w) for w in rank(template))
+            at = Counter()
+            for pos, w in enumerate(words):
+                if w in own:
+                    for offset, x in enumerate(template):
+                        if x == w:
+                            at[pos - offset] += idf[w]
+            share = min(1.0, max(at.values()) / weight)
+            if share >= least - 1e-9:
+                labels.add(label)
+                score = max(score, share)
+        out.append((",".join(sorted(labels)), 1.0 if base_license(text)[1] else score))
+    return out
+
+
 def simhash(text):
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
@@ -131,9 +161,7 @@ def talk(rows):
 def library(path):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 def token_ids(tokenizer, text):

@@ -13,6 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
+from strandline.llm.licenses import TEMPLATES  # noqa: E402
 from strandline.llm.registry import ORACLE_SQL, QUERIES  # noqa: E402
 from strandline.llm.tokens import vocabulary_path  # noqa: E402
 
@@ -29,7 +30,9 @@ def test_license_scan(spark, sf_dir):
     texts = dict(rows_of(spark, sf_dir, "documents", "doc_id", "text"))
     got = run(spark, sf_dir, "op1_license_scan")
     assert len(got) == len(texts)
+    every = dict(zip(texts, brute.license_scan(list(texts.values()), TEMPLATES)))
     for r in got:
+        assert r["labels"] == every[r["doc_id"]][0] and abs(r["score"] - every[r["doc_id"]][1]) < 1e-9
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.base_license(texts[r["doc_id"]])
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
         assert r["labels"] == ",".join(sorted(set(filter(None, r["labels"].split(",")))))

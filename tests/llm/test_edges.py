@@ -36,6 +36,18 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_license_notices(spark):
+    """Whole notices, notices with words lost or between, notices in pieces and words without their phrase."""
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [f"Intro words {n}; {t.upper()} and more." for n, t in enumerate(notices)]
+    texts += [" ".join(w for i, w in enumerate(t.split()) if i % 17 != 16) for t in notices] + [" ".join(t.split()[::-1]) for t in notices]
+    texts += [f"{a} -- {b}" for a, b in zip(notices, notices[1:])] + [t[: len(t) // 2] for t in notices] + [None, "", "the the the", *["gnu general public license version 3"] * 3]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: (labels, round(score, 9)) for i, (labels, score) in enumerate(brute.license_scan(texts, licenses.TEMPLATES))}
+    assert got == want
+    assert all(label in want[i][0].split(",") for i, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_packing(spark, odd):
     got = packing.pack_documents(odd).collect()
     tokenizer = brute.library(vocabulary_path("byte_bpe_50k.json"))
@@ -127,6 +139,46 @@ def test_chat(spark):
     assert chat.digests(chat.format_log(df.limit(0))).count() == 0
 
 
+def test_topk_widths_and_repeats(spark):
+    """Vectors of several widths, rows and queries that come twice, one id with two vectors, many small groups."""
+    import random
+
+    pick = random.Random(2)
+    rows = [(i, [pick.randrange(-9, 9) for _ in range(3 + i % 2)]) for i in range(300)]
+    rows += [rows[20], rows[40], (60, [1, 2, 3]), (None, [1, 2, 3]), (80, None), (100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=5, query_group=4, row_group=50).collect())
+    whole = [(i, tuple(v)) for i, v in rows if i is not None and v is not None]
+    want = []
+    for q, a in sorted({(i, v) for i, v in whole if i % 20 == 0}):
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(b) == len(a))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_chat_log_folds_back(spark):
+    """A log of whole, streamed, edited and regenerated messages folds back to its rows, repeated rows included."""
+    rows = [(c, t, r, x) for c in (1, 2, None) for t in range(40) for r, x in [("user", f"q{t} \\[INST] ünï"), ("assistant", "a" * t)]] + [(1, 3, "assistant", "aaa"), (2, None, None, None), (2, 5, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.conversation_events(df)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] == len(rows)
+    got = sorted(((r["conv_id"], r["position"]["message"], *chat.parse(r["segment"])[0]) for r in chat.format_log(log).collect()), key=str)
+    assert got == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=str)
+
+
+def test_mixing_clashing_columns(spark):
+    """Columns with the names of added and of inner columns: added ones are replaced, the others stay."""
+    names = ["rows", "w0", "w1", "_start", "_key", "s", "doc", "part", "n", "start", "copies", "Size", "at_word", "row", "due", "copy", "key"]
+    df = spark.createDataFrame([(i, "w " * i, f"s{i % 3}", *range(len(names))) for i in range(20)], ["doc_id", "text", "source", *names])
+    mixed = mixing.mix(df)
+    assert {c for c in names if c not in mixed.columns} == {"Size"} and mixed.count() == 20
+    order = mixing.curriculum(mixed).collect()
+    assert order and all(r["rows"] == 0 and r["key"] == len(names) - 1 for r in order)
+    at = [r["at_word"] for r in order]
+    assert at == sorted(at)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
