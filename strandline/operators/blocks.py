@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,21 +52,21 @@ def change_sequence(blocks: DataFrame, min_dwell: int = 2) -> DataFrame:
 def collapse_flicker(states: DataFrame, longest: int = 4) -> DataFrame:
     """(run, tr, state): an inner block of at most `longest` between equal neighbours takes their state, left to right.
 
-    The decision on a block sees the earlier ones already made, so each run folds in order; runs stay rows of one
-    group of the run's length.
+    The decision on a block sees the earlier ones already made, so each run's blocks (not its rows) fold in order, as
+    an array of one row a run; the rows take their block's label by an equi-join.
     """
+    blocks = state_blocks(states).select("run", "block_index", "state", "duration_tr", "start_tr", "end_tr")
+    listed = blocks.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("block_index", "state", "duration_tr", "start_tr", "end_tr"))).alias("b"))
+    def step(labels, k):
+        own, before = F.get("b", k), F.get(labels, F.size(labels) - 1)
+        last = F.get("b", k + 1)["state"]
+        hides = (k > 0) & last.isNotNull() & (own["duration_tr"] <= longest) & (before == last)
+        return F.concat(labels, F.array(F.when(hides, before).otherwise(own["state"])))
 
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("tr")
-        state = run["state"].to_numpy().copy()
-        cut = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
-        label, size = state[cut].copy(), np.diff(np.r_[cut, len(state)])
-        for k in range(1, len(label) - 1):
-            if size[k] <= longest and label[k - 1] == label[k + 1]:
-                label[k] = label[k - 1]
-        return run.assign(state=np.repeat(label, size).astype("int32"))
-
-    return states.select("run", "tr", "state").groupBy("run").applyInPandas(fold, "run long, tr int, state int")
+    start = F.array().cast("array<int>")
+    folded = listed.select("run", "b", F.aggregate(F.sequence(F.lit(0), F.size("b") - 1), start, step).alias("labels"))
+    each = folded.select("run", F.explode(F.arrays_zip("b", "labels")).alias("z")).select("run", F.col("z.b.start_tr").alias("s"), F.col("z.b.end_tr").alias("e"), F.col("z.labels").alias("state"))
+    return each.select("run", F.explode(F.sequence("s", F.col("e") - 1)).alias("tr"), "state")
 
 
 def position_metrics(blocks: DataFrame, lengths: DataFrame, early: float = 0.2) -> DataFrame:
@@ -79,14 +75,3 @@ def position_metrics(blocks: DataFrame, lengths: DataFrame, early: float = 0.2)
     return at.groupBy("state").agg(
         F.avg("p").alias("mean_position"), (F.percentile("p", 0.75) - F.percentile("p", 0.25)).alias("iqr_position"), F.avg((F.col("p") < early).cast("double")).alias("early_fraction"), F.countDistinct("run").alias("n_runs")
     )
-
-
-def streaks(rows: Iterator[int]) -> list[tuple[int, int, int]]:
-    """(value, start, length) of a plain sequence, for small driver-side checks."""
-    out: list[tuple[int, int, int]] = []
-    for i, v in enumerate(rows):
-        if out and out[-1][0] == v:
-            out[-1] = (v, out[-1][1], out[-1][2] + 1)
-        else:
-            out.append((v, i, 1))
-    return out

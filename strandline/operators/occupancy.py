@@ -102,8 +102,27 @@ def lag1(fo: DataFrame, order: str = "run") -> DataFrame:
     return out.withColumn("n_eff", F.greatest(F.lit(2.0), F.least(F.col("n").cast("double"), F.col("n") * (1 - F.col("r")) / (1 + F.col("r")))))
 
 
-def sessions(runs: DataFrame, gap_days: float = 7.0) -> DataFrame:
-    """Adds session (from 1): a new one starts when the gap to the run before is strictly larger."""
-    by = Window.partitionBy("season").orderBy("acq_time", "run")
-    new = (F.col("acq_time") - F.lag("acq_time").over(by) > gap_days).cast("int")
-    return runs.withColumn("session", F.sum(F.coalesce(new, F.lit(1))).over(by))
+def sessions(runs: DataFrame, gap_days: float = 7.0, by: str = "subject") -> DataFrame:
+    """Adds session (from 0): a subject's runs in time order; a new session starts when the gap to the run before is strictly larger."""
+    order = Window.partitionBy(by).orderBy("acq_time", "run")
+    new = (F.col("acq_time") - F.lag("acq_time").over(order) > gap_days).cast("int")
+    return runs.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(order))
+
+
+def low_confidence(states: DataFrame, least: int = 10) -> DataFrame:
+    """(state, n_trs) of the states that occur, but in fewer than `least` TRs over all runs."""
+    return states.groupBy("state").agg(F.count(F.lit(1)).alias("n_trs")).where(F.col("n_trs") < least)
+
+
+def mean_when_active(fo: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Mean occupancy over the runs in which a state is active; 0 for a state that never is."""
+    return fo.groupBy("state").agg(F.coalesce(F.avg(F.when(F.col("fo") > threshold, F.col("fo"))), F.lit(0.0)).alias("mean_fo_active"))
+
+
+def decile_table(states: DataFrame, n_states: int) -> DataFrame:
+    """(state, decile, n): dense counts over ten equal parts of the runs."""
+    at = states.join(run_lengths(states), "run")
+    tenth = F.least(F.lit(9), F.floor(F.col("tr") * 10 / F.col("n_trs"))).cast("int")
+    counts = at.groupBy("state", tenth.alias("decile")).agg(F.count(F.lit(1)).alias("n"))
+    spine = states.sparkSession.range(n_states).select(F.col("id").cast("int").alias("state"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("decile"))
+    return spine.join(counts, ["state", "decile"], "left").select("state", "decile", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +65,78 @@ def ks_statistic(rows: DataFrame, value: str, side: str) -> DataFrame:
     return at.withColumn("gap", gap).agg(F.max("gap").alias("ks"))
 
 
+def _spread(rows: DataFrame, value: str, states: list[int]) -> DataFrame:
+    """(run, v<state>...): one row a run with a column for each of a bounded number of states, 0 where there is none."""
+    return rows.groupBy("run").agg(*[F.coalesce(F.sum(F.when(F.col("state") == k, F.col(value))), F.lit(0)).alias(f"v{k}") for k in states])
+
+
+def _gathered(keys: list[str], states: list[int]) -> list[Column]:
+    """Key columns and one (state, s) row a column of `_spread`."""
+    return [*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("state"), F.col(f"v{k}").alias("s")) for k in states])).alias("z")]
+
+
+def _states_of(rows: DataFrame) -> list[int]:
+    return sorted(r["state"] for r in rows.select("state").distinct().collect())  # a row a state
+
+
 def season_permutation(fo: DataFrame, runs: DataFrame, observed: DataFrame, n_draws: int, seed: int, threshold: float) -> DataFrame:
     """p of each state's seasonal specificity under shuffled season labels that keep every season's number of runs.
 
-    A draw orders the runs by a hash and hands out the sorted labels; it meets only runs x states, never the rows.
+    A draw orders the runs by a hash and hands the first places to the first season, and so on. It meets one row a run,
+    which has a column a state (1 where active), so a draw is as many rows as there are runs, and it adds up before
+    the shuffle.
     """
-    draws = runs.select("run").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    states = _states_of(observed)
+    drawn = runs.select("run").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     order = Window.partitionBy("draw").orderBy(draw_hex(seed, "draw", "run"), "run")
-    shuffled = draws.withColumn("k", F.row_number().over(order))
-    labels = runs.select("season", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("season", "run")).alias("k"))
-    dealt = shuffled.join(labels, "k").select("draw", "run", "season")
-    seasonal = fo.join(dealt, "run").groupBy("draw", "season", "state").agg(F.avg((F.col("fo") > threshold).cast("double")).alias("recurrence"))
-    spread = seasonal.groupBy("draw", "state").agg((F.max("recurrence") - F.min("recurrence")).alias("null_spec"))
-    both = spread.join(observed, "state")
-    return both.groupBy("state").agg(F.first("specificity").alias("specificity"), permutation_p(F.col("null_spec") >= F.col("specificity") - 1e-12, F.col("null_spec")).alias("p"))
+    sizes = runs.select("run", "season").distinct().groupBy("season").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.broadcast(sizes.withColumn("upto", F.sum("m").over(Window.orderBy("season"))))  # one row a season
+    placed = drawn.withColumn("k", F.row_number().over(order))
+    dealt = placed.join(upto, (F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("m"))).select("draw", "run", "season", "m")
+    active = _spread(fo.withColumn("x", (F.col("fo") > threshold).cast("int")), "x", states)
+    sums = dealt.join(active, "run").groupBy("draw", "season", "m").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in states])
+    share = sums.select(*_gathered(["draw", "m"], states)).select("draw", F.col("z.state").alias("state"), (F.col("z.s") / F.col("m")).alias("share"))
+    null = share.groupBy("draw", "state").agg((F.max("share") - F.min("share")).alias("null_spec"))
+    both = null.join(observed.select("state", "specificity"), "state")
+    return both.groupBy("state", "specificity").agg(permutation_p(F.col("null_spec") >= F.col("specificity") - 1e-12, F.col("null_spec")).alias("p"))
+
+
+def early_permutation(blocks: DataFrame, n_draws: int, seed: int, early: float = 0.2, least_blocks: int = 3) -> DataFrame:
+    """(state, n_blocks, early_fraction, p): share of a state's blocks that begin in the first part of their run, against
+    blocks in shuffled order within each run; null p under `least_blocks` blocks. `blocks` has run, block_index, state
+    and duration_tr."""
+    length = F.sum("duration_tr").over(Window.partitionBy("run"))
+    start = lambda order: (F.sum("duration_tr").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("duration_tr"))
+    seen = blocks.withColumn("early", (start(Window.partitionBy("run").orderBy("block_index")) / length < early).cast("int"))
+    observed = seen.groupBy("state").agg(F.count(F.lit(1)).alias("n_blocks"), F.avg(F.col("early").cast("double")).alias("early_fraction"))
+    drawn = blocks.withColumn("n", length).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    shuffled = Window.partitionBy("draw", "run").orderBy(draw_hex(seed, "draw", "run", "block_index"), "block_index")
+    null = drawn.withColumn("early", (start(shuffled) / F.col("n") < early).cast("int")).groupBy("draw", "state").agg(F.avg(F.col("early").cast("double")).alias("null"))
+    beyond = null.join(observed, "state").groupBy("state").agg(F.sum((F.col("null") >= F.col("early_fraction") - 1e-12).cast("long")).alias("beyond"))
+    p = F.when(F.col("n_blocks") >= least_blocks, (F.col("beyond") + 1) / (n_draws + 1))
+    return observed.join(beyond, "state").select("state", "n_blocks", "early_fraction", p.alias("p"))
+
+
+def trend_permutation(fo: DataFrame, position: DataFrame, n_draws: int, seed: int) -> DataFrame:
+    """(state, r, p): correlation of a state's occupancy with the runs' `position` (from 0, one a run), and the two-sided
+    share of shuffled orders with one as large.
+
+    The moments of both sides are fixed, so a draw only needs each state's sum of occupancy times position.
+    """
+    states = _states_of(fo)
+    n = position.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    moments = fo.groupBy("state").agg(F.sum("fo").alias("sx"), F.sum(F.col("fo") * F.col("fo")).alias("sxx")).join(F.broadcast(n))
+    drawn = position.select("run").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    shuffled = drawn.select("draw", "run", (F.row_number().over(Window.partitionBy("draw").orderBy(draw_hex(seed, "draw", "run"), "run")) - 1).cast("long").alias("position"))
+    every = shuffled.union(position.select(F.lit(0), "run", F.col("position").cast("long")))
+    per_draw = every.join(_spread(fo, "fo", states), "run").groupBy("draw").agg(*[F.sum(F.col(f"v{k}") * F.col("position")).alias(f"v{k}") for k in states])
+    sums = per_draw.select(*_gathered(["draw"], states)).select("draw", F.col("z.state").alias("state"), F.col("z.s").alias("sxy")).join(moments, "state")
+    sy, syy = F.col("n") * (F.col("n") - 1) / 2, (F.col("n") - 1) * F.col("n") * (2 * F.col("n") - 1) / 6
+    low = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * syy - sy * sy))
+    r = sums.select("state", "draw", F.when(low > 1e-12, (F.col("n") * F.col("sxy") - F.col("sx") * sy) / low).otherwise(0.0).alias("r"))
+    seen = r.where("draw = 0").select("state", F.col("r").alias("observed"))
+    out = r.where("draw > 0").join(seen, "state").groupBy("state", "observed").agg(F.sum((F.abs("r") >= F.abs("observed") - 1e-12).cast("long")).alias("beyond"))
+    return out.select("state", F.col("observed").alias("r"), ((F.col("beyond") + 1) / (n_draws + 1)).alias("p"))
 
 
 def bootstrap_mean_ci(rows: DataFrame, value: str, key: str, by: tuple[str, ...], n_draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
@@ -99,18 +155,3 @@ def phi(rows: DataFrame, a: str, b: str, by: tuple[str, ...]) -> DataFrame:
     top = F.col("n") * F.col("nab") - F.col("na") * F.col("nb")
     low = F.sqrt(F.col("na") * (F.col("n") - F.col("na")) * F.col("nb") * (F.col("n") - F.col("nb")))
     return out.select(*by, F.when(low > 0, top / low).alias("phi"))
-
-
-def normal_tail(z: float) -> float:
-    """P(Z >= z)."""
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) for n trials."""
-    if p <= 0:
-        return 1.0 if k <= 0 else 0.0
-    if p >= 1:
-        return 1.0
-    terms = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(k, 0), n + 1))
-    return min(1.0, math.fsum(map(math.exp, terms)))

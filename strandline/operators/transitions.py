@@ -103,8 +103,26 @@ def conditional_entropy(changes: DataFrame) -> DataFrame:
     return one(1).union(one(2))
 
 
-def preservation(changes: DataFrame, n: int = 3, least_runs: int = 5) -> DataFrame:
-    """Share of the runs with a chain's first state in which the whole chain stands, for chains in `least_runs` runs."""
-    runs_with = changes.select(F.col("state").cast("string").alias("first"), "run").distinct().groupBy("first").agg(F.count(F.lit(1)).alias("start_runs"))
-    grams = ngrams(changes, n).where(F.col("n_runs") >= least_runs).withColumn("first", F.substring_index("gram", ">", 1))
-    return grams.join(runs_with, "first").select("gram", "n", "n_runs", "start_runs", (F.col("n_runs") / F.col("start_runs")).alias("cps"))
+def preservation(changes: DataFrame, runs: DataFrame, n: int = 3, least_runs: int = 5) -> DataFrame:
+    """Share of all `runs` in which a chain of `n` states stands, for the chains that stand in `least_runs` runs or more."""
+    grams = ngrams(changes, n).where(F.col("n_runs") >= least_runs)
+    every = runs.select("run").distinct().agg(F.count(F.lit(1)).alias("all_runs"))
+    return grams.join(F.broadcast(every)).select("gram", "n", "n_runs", "all_runs", (F.col("n_runs") / F.col("all_runs")).alias("cps"))  # one row
+
+
+def graph_edges(p: DataFrame, least: float = 0.01, strict: bool = False) -> DataFrame:
+    """(i, j, p, w) off the diagonal with p at least (`strict`: above) `least`; w sums to 1 over each state's edges."""
+    passes = F.col("p") > least if strict else F.col("p") >= least
+    edges = p.where((F.col("i") != F.col("j")) & passes).select("i", "j", "p")
+    return edges.withColumn("w", F.col("p") / F.sum("p").over(Window.partitionBy("i")))
+
+
+def directed_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(q): share of the weight inside labels less what the out- and in-strengths of the labels give by chance."""
+    of = labels.select("state", "label")
+    w = edges.join(of.select(F.col("state").alias("i"), F.col("label").alias("a")), "i").join(of.select(F.col("state").alias("j"), F.col("label").alias("b")), "j")
+    out = w.groupBy(F.col("a").alias("label")).agg(F.sum("p").alias("out"), F.sum(F.when(F.col("a") == F.col("b"), F.col("p")).otherwise(0.0)).alias("within"))
+    into = w.groupBy(F.col("b").alias("label")).agg(F.sum("p").alias("into"))
+    total = F.sum("out")
+    both = out.join(into, "label", "full").na.fill(0.0)
+    return both.agg((F.sum("within") / total - F.sum(F.col("out") * F.col("into")) / (total * total)).alias("q"))

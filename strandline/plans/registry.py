@@ -26,7 +26,7 @@ st as (select user_id as run, cast(row_number() over (partition by user_id order
     + least(9, floor(value / 10)) as integer) as state from events)"""
 _RUNS = """
 rn as (select distinct user_id as run, cast(user_id % 6 + 1 as integer) as season,
-  case when (user_id // 6) % 2 = 0 then 'a' else 'b' end as part, cast(user_id // 12 + 1 as integer) as episode from events)"""
+  case when (user_id // 6) % 2 = 0 then 'a' else 'b' end as part, cast(user_id // 12 + 1 as integer) as episode, cast(user_id % 3 as integer) as subject from events)"""
 _FO = (
     _STATES
     + """,
@@ -43,10 +43,15 @@ ix as (select *, sum(ch) over (partition by run order by tr) as block_index from
 bl as (select run, cast(block_index as bigint) as block_index, min(state) as state, min(tr) as start_tr, max(tr) + 1 as end_tr,
   max(tr) + 1 - min(tr) as duration_tr from ix group by run, block_index)"""
 )
+_KINDS = _STATES + """,
+kd as (select run, tr, cast(state // 10 as integer) as state from st)"""
 _CHANGES = (
-    _BLOCKS
+    _KINDS
     + """,
-lg as (select *, lag(state) over (partition by run order by block_index) as before from bl where duration_tr >= 1),
+mk as (select *, case when state <> lag(state) over (partition by run order by tr) then 1 else 0 end as ch from kd),
+ix as (select *, sum(ch) over (partition by run order by tr) as block_index from mk),
+bl as (select run, cast(block_index as bigint) as block_index, min(state) as state, count(*) as duration_tr from ix group by run, block_index),
+lg as (select *, lag(state) over (partition by run order by block_index) as before from bl where duration_tr >= 2),
 cs as (select run, row_number() over (partition by run order by block_index) - 1 as pos, state from lg where before is null or before <> state)"""
 )
 _TRANS = (
@@ -86,13 +91,18 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    return B.change_sequence(_blocks(spark, d), 1)
+    return B.change_sequence(B.state_blocks(D.kinds(spark, d)), 2)
 
 
 def _p(spark: SparkSession, d: str) -> DataFrame:
     return R.probabilities(R.transition_counts(D.states(spark, d)))
 
 
+def _acquired(spark: SparkSession, d: str) -> DataFrame:
+    first = D.table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg((F.unix_micros(F.min("ts").cast("timestamp")) / 86400e6).alias("acq_time"))
+    return D.with_run_fields(first)
+
+
 def _seasonal(spark: SparkSession, d: str) -> DataFrame:
     return O.recurrence(D.with_run_fields(_fo(spark, d)), by=("season",))
 
@@ -271,10 +281,17 @@ def seq3(spark, d):
     return _changes(spark, d)
 
 
-@_query("seq4_collapse_flicker")
+@_query(
+    "seq4_collapse_flicker",
+    f"""with recursive {_KINDS}, mk as (select *, case when state <> lag(state) over (partition by run order by tr) then 1 else 0 end as ch from kd),
+    ix as (select *, sum(ch) over (partition by run order by tr) as k from mk), bl as (select run, k, min(state) as state, count(*) as d from ix group by run, k),
+    bn as (select *, lead(state) over (partition by run order by k) as nxt from bl),
+    fd(run, k, label) as (select run, k, state from bn where k = 0 union all
+      select bn.run, bn.k, case when bn.d <= 4 and bn.nxt is not null and fd.label = bn.nxt then fd.label else bn.state end from fd join bn on bn.run = fd.run and bn.k = fd.k + 1)
+    select ix.run, ix.tr, cast(fd.label as integer) as state from ix join fd on fd.run = ix.run and fd.k = ix.k""",
+)
 def seq4(spark, d):
-    rows = D.states(spark, d).withColumn("state", F.floor(F.col("state") / 10).cast("int"))
-    return B.collapse_flicker(rows)
+    return B.collapse_flicker(D.kinds(spark, d))
 
 
 @_query("seq5_transitions", f"with {_TRANS} select * from tp")
@@ -313,12 +330,11 @@ def seq8(spark, d):
 @_query(
     "seq10_sessions",
     f"""with {_RUNS}, aq as (select user_id as run, epoch(min(ts))::double / 86400 as acq_time from events group by user_id), j as (select rn.*, acq_time from rn join aq using (run)),
-    g as (select *, acq_time - lag(acq_time) over (partition by season order by acq_time, run) > 0.01 as new from j)
-    select run, season, cast(sum(coalesce(new::integer, 1)) over (partition by season order by acq_time, run) as bigint) as session from g""",
+    g as (select *, acq_time - lag(acq_time) over (partition by subject order by acq_time, run) > 0.01 as new from j)
+    select run, subject, cast(sum(coalesce(new::integer, 0)) over (partition by subject order by acq_time, run) as bigint) as session from g""",
 )
 def seq10(spark, d):
-    first = D.table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg((F.unix_micros(F.min("ts").cast("timestamp")) / 86400e6).alias("acq_time"))
-    return O.sessions(D.with_run_fields(first), gap_days=0.01).select("run", "season", "session")
+    return O.sessions(_acquired(spark, d), gap_days=0.01).select("run", "subject", "session")
 
 
 @_query(
@@ -454,11 +470,11 @@ def st19(spark, d):
 @_query(
     "st21_chain_preservation",
     f"""with {_CHANGES}, g as (select run, state as a, lead(state, 1) over w as b from cs window w as (partition by run order by pos)),
-    k as (select a, a || '>' || b as gram, count(*) as n, count(distinct run) as n_runs from g where b is not null group by 1, 2), s as (select state, count(distinct run) as start_runs from cs group by state)
-    select gram, n, n_runs, start_runs, n_runs::double / start_runs as cps from k join s on s.state = k.a where n_runs >= 5""",
+    k as (select a || '>' || b as gram, count(*) as n, count(distinct run) as n_runs from g where b is not null group by 1), al as (select count(distinct run) as all_runs from st)
+    select gram, n, n_runs, all_runs, n_runs::double / all_runs as cps from k, al where n_runs >= 5""",
 )
 def st21(spark, d):
-    return R.preservation(_changes(spark, d), n=2)
+    return R.preservation(_changes(spark, d), D.states(spark, d), n=2)
 
 
 _KW = _FO + ", " + _RUNS + """,
@@ -503,31 +519,91 @@ def st26(spark, d):
 _DRAW = "('0x' || substr(md5({}), 1, 13))::bigint / 4503599627370496.0::double"
 
 
-@_query(
-    "st7_season_permutation",
-    f"""with {_SEASON}, obs as (select state, max(recurrence) - min(recurrence) as specificity from sr group by state),
-    dr as (select run, cast(range + 1 as integer) as draw from rn cross join range(200)),
-    sh as (select draw, run, row_number() over (partition by draw order by md5('42|' || draw || '|' || run), run) as k from dr),
-    lb as (select season, row_number() over (order by season, run) as k from rn),
-    nr as (select draw, lb.season, state, avg(case when fo > 0.02 then 1.0 else 0.0 end) as recurrence from fo join sh using (run) join lb using (k) group by draw, lb.season, state),
-    ns as (select draw, state, max(recurrence) - min(recurrence) as s from nr group by draw, state)
-    select state, specificity, (sum(case when s >= specificity - 1e-12 then 1 else 0 end) + 1)::double / (count(*) + 1) as p from ns join obs using (state) group by state, specificity""",
-)
+#: Draws of the permutation tests.
+SEASON_DRAWS, TREND_DRAWS, EARLY_DRAWS = 5000, 1000, 2000
+
+_SEASON_P = _SEASON + f""",
+obs as (select state, max(recurrence) - min(recurrence) as specificity from sr group by state),
+dr as (select run, cast(range + 1 as integer) as draw from rn cross join range({SEASON_DRAWS})),
+sh as (select draw, run, row_number() over (partition by draw order by md5('42|' || draw || '|' || run), run) as k from dr),
+lb as (select season, row_number() over (order by season, run) as k from rn),
+nr as (select draw, lb.season, state, avg(case when fo > 0.02 then 1.0 else 0.0 end) as recurrence from fo join sh using (run) join lb using (k) group by draw, lb.season, state),
+ns as (select draw, state, max(recurrence) - min(recurrence) as s from nr group by draw, state),
+sp as (select state, specificity, (sum(case when s >= specificity - 1e-12 then 1 else 0 end) + 1)::double / (count(*) + 1) as p from ns join obs using (state) group by state, specificity),
+lc as (select state from st group by state having count(*) < 10),
+sl as (select state, case when state in (from lc) then 1.0::double else p end as p from sp)"""
+
+
+def _bh(name: str, source: str) -> str:
+    """SQL of the table `name` (state, p, q) from `source` (state, p)."""
+    return f"""{name}r as (select state, p, count(p) over () as n, row_number() over (partition by p is null order by p) as r from {source}),
+{name} as (select state, p, case when n = 0 then null when p is null then 1 else least(1, min(p * n / r) over (partition by p is null order by r desc)) end as q from {name}r)"""
+
+
+def _season_p(spark: SparkSession, d: str) -> DataFrame:
+    """p of the seasonal specificity, 1 for the states of low confidence."""
+    p = T.season_permutation(_fo(spark, d), _runs(spark, d), O.specificity(_seasonal(spark, d)), SEASON_DRAWS, 42, O.THRESHOLD)
+    few = O.low_confidence(D.states(spark, d)).select("state", F.lit(True).alias("few"))
+    return p.join(few, "state", "left").select("state", "specificity", F.when(F.col("few"), 1.0).otherwise(F.col("p")).alias("p"))
+
+
+@_query("ag13_low_confidence", f"with {_STATES} select state, count(*) as n_trs from st group by state having count(*) < 10")
+def ag13(spark, d):
+    return O.low_confidence(D.states(spark, d))
+
+
+@_query("st7_season_permutation", f"with {_SEASON_P} select state, specificity, p from sp")
 def st7(spark, d):
-    fo = _fo(spark, d)
-    observed = O.specificity(_seasonal(spark, d))
-    return T.season_permutation(fo, _runs(spark, d), observed, 200, 42, O.THRESHOLD)
+    return T.season_permutation(_fo(spark, d), _runs(spark, d), O.specificity(_seasonal(spark, d)), SEASON_DRAWS, 42, O.THRESHOLD)
 
 
-@_query(
-    "st1_fdr",
-    f"""with {_SEASON}, pv as (select state, case when state % 10 = 9 then null else 1 - (max(recurrence) - min(recurrence)) end as p from sr group by state),
-    rk as (select *, count(p) over () as n, row_number() over (partition by p is null order by p) as r from pv)
-    select state, p, case when n = 0 then null when p is null then 1 else least(1, min(p * n / r) over (partition by p is null order by r desc)) end as q from rk""",
-)
+@_query("st1_fdr", f"with {_SEASON_P}, {_bh('fd', 'sl')} select state, p, q from fd")
 def st1(spark, d):
-    p = O.specificity(_seasonal(spark, d)).select("state", F.when(F.col("state") % 10 != 9, 1 - F.col("specificity")).alias("p"))
-    return T.bh_fdr(p)
+    return T.bh_fdr(_season_p(spark, d).select("state", "p"))
+
+
+def _early(part: str) -> str:
+    """SQL of the early-block permutation of one part's runs."""
+    x = part
+    return f"""b{x} as (select bl.* from bl join rn using (run) where part = '{part}'), n{x} as (select run, sum(duration_tr) as n from b{x} group by run),
+o{x} as (select state, count(*) as n_blocks, avg(e) as early_fraction from (select state, case when (sum(duration_tr) over (partition by run order by block_index) - duration_tr)::double / n < 0.2 then 1.0::double else 0 end as e from b{x} join n{x} using (run)) group by state),
+d{x} as (select b{x}.*, n, cast(range + 1 as integer) as draw from b{x} join n{x} using (run) cross join range({EARLY_DRAWS})),
+z{x} as (select draw, state, case when (sum(duration_tr) over (partition by draw, run order by md5('5|' || draw || '|' || run || '|' || block_index), block_index rows unbounded preceding) - duration_tr)::double / n < 0.2 then 1.0::double else 0 end as e from d{x}),
+y{x} as (select draw, state, avg(e) as e from z{x} group by draw, state),
+e{x} as (select state, n_blocks, early_fraction, case when n_blocks >= 3 then (sum(case when e >= early_fraction - 1e-12 then 1 else 0 end) + 1)::double / ({EARLY_DRAWS} + 1) end as p from o{x} join y{x} using (state) group by state, n_blocks, early_fraction)"""
+
+
+def _early_p(spark: SparkSession, d: str, part: str) -> DataFrame:
+    blocks = D.with_run_fields(_blocks(spark, d)).where(F.col("part") == part).select("run", "block_index", "state", "duration_tr")
+    return T.early_permutation(blocks, EARLY_DRAWS, 5)
+
+
+@_query("st9_early_permutation", f"with {_BLOCKS}, {_RUNS}, {_early('a')} select state, n_blocks, early_fraction, p from ea")
+def st9(spark, d):
+    return _early_p(spark, d, "a")
+
+
+_TREND = f"""ps as (select run, row_number() over (order by season, episode, part, run) - 1 as position from rn),
+td as (select run, cast(range + 1 as integer) as draw from rn cross join range({TREND_DRAWS})),
+tv as (select draw, run, row_number() over (partition by draw order by md5('7|' || draw || '|' || run), run) - 1 as position from td union all select 0, run, position from ps),
+tm as (select state, count(*)::double as n, sum(fo) as sx, sum(fo * fo) as sxx from fo group by state),
+ts as (select state, draw, sum(fo * position) as sxy from fo join tv using (run) group by state, draw),
+tr_ as (select state, draw, case when (n * sxx - sx * sx) * (n * ((n - 1) * n * (2 * n - 1) / 6) - (n * (n - 1) / 2) * (n * (n - 1) / 2)) > 1e-24
+  then (n * sxy - sx * (n * (n - 1) / 2)) / sqrt((n * sxx - sx * sx) * (n * ((n - 1) * n * (2 * n - 1) / 6) - (n * (n - 1) / 2) * (n * (n - 1) / 2))) else 0 end as r from ts join tm using (state)),
+tp_ as (select a.state, b.r, (sum(case when abs(a.r) >= abs(b.r) - 1e-12 then 1 else 0 end) + 1)::double / ({TREND_DRAWS} + 1) as p
+  from tr_ a join tr_ b on a.state = b.state and a.draw > 0 and b.draw = 0 group by a.state, b.r)"""
+
+
+def _trend_p(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    runs = _runs(spark, d).select("run", (F.row_number().over(Window.orderBy("season", "episode", "part", "run")) - 1).alias("position"))  # one row a run
+    return T.trend_permutation(_fo(spark, d), runs, TREND_DRAWS, 7)
+
+
+@_query("st8_global_trend", f"with {_FO}, {_RUNS}, {_TREND} select state, r, p from tp_")
+def st8(spark, d):
+    return _trend_p(spark, d)
 
 
 _SPLIT_SIZE = "greatest(2, round_even(n * 0.15, 0)::integer)"
@@ -572,26 +648,37 @@ def sp5(spark, d):
     return P.circular_shift(D.states(spark, d), 3, 42)
 
 
-_FLAGS = """rec as (select state, avg(case when fo > 0.02 then 1.0 else 0.0 end) as recurrence from fo group by state),
+_TAGS = (
+    _SEASON_P
+    + """,
 mk as (select *, case when state <> lag(state) over (partition by run order by tr) then 1 else 0 end as ch from st),
-ix as (select *, sum(ch) over (partition by run order by tr) as bi from mk),
-bl as (select run, bi, min(state) as state, min(tr) as s, count(*) as d from ix group by run, bi),
-dw as (select state, count(*) as n_blocks, median(d) < 3 as sub_hrf from bl group by state),
-ps as (select state, avg(case when s::double / n_trs < 0.2 then 1.0 else 0.0 end) as early from bl join ln using (run) group by state),
-fl as (select state, recurrence, coalesce(sub_hrf, false) as sub_hrf, recurrence <= 0 as unused, coalesce(n_blocks < 10, true) as low_confidence, coalesce(early >= 0.4, false) as run_onset,
-  coalesce(specificity > 0.3, false) as season_structured from rec left join dw using (state) left join ps using (state) left join (select state, max(recurrence) - min(recurrence) as specificity from sr group by state) using (state))"""
+ix as (select *, sum(ch) over (partition by run order by tr) as block_index from mk),
+bl as (select run, block_index, min(state) as state, count(*) as duration_tr from ix group by run, block_index),
+rec as (select state, avg(case when fo > 0.02 then 1.0 else 0.0 end) as recurrence from fo group by state),
+dw as (select state, median(duration_tr) < 3 as sub_hrf from bl group by state),
+"""
+    + f"{_bh('fs', 'sl')}, {_TREND}, {_bh('fg', 'tp_')}, {_early('a')}, {_early('b')}, {_bh('qa', 'ea')}, {_bh('qb', 'eb')},"
+    + """
+fl as (select state, recurrence, coalesce(sub_hrf, false) as sub_hrf, recurrence = 0 as unused, coalesce(qa.q < 0.1, false) and coalesce(qb.q < 0.1, false) as run_onset,
+  coalesce(qa.q < 0.1, false) and not coalesce(qb.q < 0.1, false) as a_anchored, coalesce(qb.q < 0.1, false) and not coalesce(qa.q < 0.1, false) as b_anchored,
+  coalesce(fs.q < 0.05, false) as season_structured, coalesce(fg.q < 0.05, false) as global_trend
+  from rec left join dw using (state) left join qa using (state) left join qb using (state) left join fs using (state) left join fg using (state))"""
+)
 
 
 @_query(
     "st12_taxonomy",
-    f"""with {_SEASON}, {_FLAGS} select *, case when unused then 'unused' when low_confidence then 'low_confidence' when run_onset then 'run_onset_anchored'
-    when season_structured then 'season_temporal' when recurrence >= 0.1 then 'eligible' else 'rare' end as summary_category from fl""",
+    f"""with {_TAGS} select *, case when unused then 'unused' when sub_hrf then 'low_confidence' when run_onset or a_anchored or b_anchored then 'run_onset_anchored'
+    when season_structured and global_trend then 'season_temporal' when recurrence >= 0.1 then 'eligible_for_content_analysis' else 'rare' end as summary_category from fl""",
 )
 def st12(spark, d):
-    blocks = _blocks(spark, d)
-    q = O.specificity(_seasonal(spark, d)).select("state", F.when(F.col("specificity") > 0.3, 0.0).otherwise(1.0).alias("q"))
-    fl = X.flags(B.dwell(blocks), O.recurrence(_fo(spark, d)), q, B.position_metrics(blocks, O.run_lengths(D.states(spark, d))))
-    return X.categories(fl)
+    return X.categories(_flags(spark, d))
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    early = [T.bh_fdr(_early_p(spark, d, part)) for part in "ab"]
+    season, trend = T.bh_fdr(_season_p(spark, d)), T.bh_fdr(_trend_p(spark, d))
+    return X.flags(B.dwell(_blocks(spark, d)), O.recurrence(_fo(spark, d)), season, trend, X.anchoring(*early))
 
 
 @_query(

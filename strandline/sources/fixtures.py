@@ -26,13 +26,19 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states_from_events(table(spark, sf_dir, "events"))
 
 
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states by their kind alone: longer blocks, few labels."""
+    return states(spark, sf_dir).withColumn("state", F.floor(F.col("state") / 10).cast("int"))
+
+
 def with_run_fields(rows: DataFrame) -> DataFrame:
-    """Adds season (1..6), part (a, b) and episode, which follow from the run number."""
+    """Adds season (1..6), part (a, b), episode and subject (0..2), which follow from the run number."""
     run = F.col("run")
     return (
         rows.withColumn("season", (run % 6 + 1).cast("int"))
         .withColumn("part", F.when(F.floor(run / 6) % 2 == 0, "a").otherwise("b"))
         .withColumn("episode", (F.floor(run / 12) + 1).cast("int"))
+        .withColumn("subject", (run % 3).cast("int"))
     )
 
 
