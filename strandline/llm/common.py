@@ -51,6 +51,29 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return saved(df, name, partition_by)[0]
 
 
+def bucketed(df: DataFrame, name: str, by: list[str], order: list[str], in_place: bool = False) -> tuple[DataFrame, str, str]:
+    """Write `df` as a shared Parquet table in buckets of `by`, one file a bucket in order of `order`; and its name and path.
+
+    Joins and aggregates of such tables by `by` need no shuffle, as all have as many buckets as a shuffle has
+    partitions; what comes of them alone is written `in_place`, without a shuffle.
+    """
+    spark = df.sparkSession
+    path, made, parts = work_path(spark, name), f"strandline_{uuid.uuid4().hex}", shuffle_parts(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        dealt = (df if in_place else df.repartition(parts, *by)).sortWithinPartitions(*order)
+        dealt.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, *by).sortBy(*order).saveAsTable(made)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.table(made), made, path
+
+
+def drop_bucketed(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"drop table if exists {name}")
+    drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a working path through Hadoop's file system interface."""
     jvm = spark.sparkContext._jvm

@@ -2,10 +2,13 @@
 
 Every `length`-byte window has an anchor: the start of the 32-byte string of least hash within it. Equal windows have
 their anchor at the same place, so suffixes that start at anchors are enough. A batch's suffix array holds its
-anchored suffixes in order of their first 32 bytes' hash, each with a hash of all bytes that its windows cover. New
-batches are merge-scanned against the levels that exist, and levels of equal size merge, so a suffix is rewritten a
-logarithmic number of times. Suffixes that agree in the first bytes and then part are compared in stretches of
-neighbouring windows, and only stretches whose common bytes stand twice are compared window by window.
+anchored suffixes in buckets of the 32 bytes they start with, inside a bucket in order of their first eight bytes and
+then of the whole head, each with a hash of all bytes that its windows cover. A new batch is merge-scanned against the
+levels that stand when it arrives, which gives the heads that now come twice, and levels of equal size merge, so a
+suffix is rewritten a logarithmic number of times; buckets meet in place, without a shuffle. Suffixes that agree in
+the first bytes and then part are compared in stretches of neighbouring windows, and only stretches whose common bytes
+stand twice are compared window by window. Heads, covers and stretches are told apart by 64-bit hashes, a cover only
+among those of one head.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import drop_path, row_chunks, saved, table, text_or_empty, texts_as_bytes, written
+from strandline.llm.common import bucketed, drop_bucketed, drop_path, row_chunks, saved, table, text_or_empty, texts_as_bytes, written
 
 HEAD = 32
 _PLACES = 23
@@ -77,7 +80,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
-    """(text index, first and last window start, anchor, head hash, cover hash) of every anchored suffix of the texts.
+    """(text index, first and last window start, anchor, head hash, cover hash, lead) of every anchored suffix of the texts.
 
     A window never leaves its text. The cover hash is of the bytes from the first window's start to the last
     window's end and of the anchor's place in them. Texts of over 2 MB are cut into spans that overlap by a window.
@@ -90,7 +93,7 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
                 pieces.append(t[s : s + span + length - 1])
                 of.append(i)
                 base.append(s)
-    found: list[list[np.ndarray]] = [[] for _ in range(6)]
+    found: list[list[np.ndarray]] = [[] for _ in range(7)]
     group: list[int] = []
     size = 0
     for n, piece in enumerate([*pieces, None]):
@@ -101,7 +104,7 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
         if piece is not None:
             group.append(n)
             size += len(piece)
-    empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     return tuple(np.concatenate(x) for x in found) if found[0] else empty
 
 
@@ -127,66 +130,90 @@ def _anchors_of(pieces: list[bytes], of: np.ndarray, base: np.ndarray, length: i
     cover = (total[b + length - 7] - total[a]) * _powers(_BACK, len(grams) + 1)[a]
     cover = _mixed(cover ^ _mixed(((p - a).astype(np.uint64) << np.uint64(32)) | (b - a).astype(np.uint64)))
     shift = base[piece[begin]] - (ends - sizes)[piece[begin]]
-    return of[piece[begin]], a + shift, b + shift, p + shift, head[p], cover
+    lead = (np.lib.stride_tricks.sliding_window_view(data, 8)[p].copy().view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return of[piece[begin]], a + shift, b + shift, p + shift, head[p], cover, lead
 
 
-def _keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _key(doc_id: str = "doc_id") -> Column:
+    """The document's id, with a number of its own for null."""
+    return F.coalesce(F.col(doc_id), F.lit(-(2**63)))
+
+
+def _keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
+    """A bucketed table (k, h, doc_id, text and the carried columns as _name): k and h tell the texts apart."""
     text = text_or_empty().cast("string")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    return bucketed(rows.withColumn("k", _key()), "suffix-texts", ["k", "h"], ["k", "h"])
 
 
-def anchored_suffixes(documents: DataFrame, batches: int, length: int) -> DataFrame:
-    """(batch, head, cover, doc_id, h, a, b, p): all anchored suffixes of the texts; h tells rows of one doc_id apart."""
+def anchored_suffixes(texts: DataFrame, batches: int, length: int) -> DataFrame:
+    """(batch, head, cover, lead, k, h, a, b, p): all anchored suffixes of texts (k, h, text)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(rows, 1024, 1 << 20):
-            text, a, b, p, head, cover = anchors(texts_as_bytes(batch.column(2)), length)
+            text, a, b, p, head, cover, lead = anchors(texts_as_bytes(batch.column(2)), length)
             pick = pa.array(text)
             h = batch.column(1).take(pick)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((h.to_numpy() % batches).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(cover.view(np.int64)), batch.column(0).take(pick), h, *(pa.array(x.astype(np.int32)) for x in (a, b, p))],
-                names=["batch", "head", "cover", "doc_id", "h", "a", "b", "p"],
+                [pa.array((h.to_numpy() % batches).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(lead), batch.column(0).take(pick), h, *(pa.array(x.astype(np.int32)) for x in (a, b, p))],
+                names=["batch", "head", "cover", "lead", "k", "h", "a", "b", "p"],
             )
 
-    return _keyed(documents).mapInArrow(run, "batch int, head long, cover long, doc_id long, h long, a int, b int, p int")
+    return texts.select("k", "h", "text").mapInArrow(run, "batch int, head long, cover long, lead long, k long, h long, a int, b int, p int")
 
 
 class IndexFamily:
-    """Levels of suffix arrays (head, cover, n), in order of head; sizes double, equal sizes merge."""
+    """Levels of suffix arrays (head, cover, lead, n) in buckets of head; sizes double, equal sizes merge.
+
+    `twice` lists, for each batch added, the heads that came twice with it: within the batch, or in it and in a level
+    that stood when it arrived. Any two batches meet that way, so the lists together hold every repeated head.
+    """
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame, str]] = []
+        self.levels: list[tuple[int, DataFrame, str, str]] = []
+        self.twice: list[tuple[DataFrame, str, str]] = []
 
     @staticmethod
-    def _array(rows: DataFrame) -> tuple[DataFrame, str]:
-        return saved(rows.groupBy("head", "cover").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "cover"), "suffix-level")
-
-    def add(self, suffixes: DataFrame) -> None:
-        """Make the batch's suffix array and merge it with the levels of its size, from the smallest.
-
-        A level that has been merged is deleted.
-        """
-        size, (level, path) = 1, self._array(suffixes.select("head", "cover", F.lit(1).cast("long").alias("n")))
+    def _array(rows: DataFrame, in_place: bool = False) -> tuple[DataFrame, str, str]:
+        summed = rows.groupBy("head", "cover").agg(F.min("lead").alias("lead"), F.sum("n").alias("n"))
+        return bucketed(summed, "suffix-level", ["head"], ["lead", "head", "cover"], in_place)
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Make the batch's suffix array, merge-scan it against the levels and merge levels of equal size, from the
+        smallest; the heads (head) that come twice since this batch. A level that has been merged is deleted."""
+        size, made = 1, self._array(suffixes.select("head", "cover", "lead", F.lit(1).cast("long").alias("n")))
+        met = made[0].groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head")
+        for _, level, *_ in self.levels:
+            met = met.union(made[0].join(level.select("head"), "head", "left_semi").select("head"))
+        self.twice.append(bucketed(met.distinct(), "suffix-twice", ["head"], ["head"]))
         while self.levels and self.levels[-1][0] == size:
-            _, other, old = self.levels.pop()
-            (merged, place), size = self._array(other.unionByName(level)), size * 2
-            for gone in (old, path):
-                drop_path(suffixes.sparkSession, gone)
-            level, path = merged, place
-        self.levels.append((size, level, path))
+            _, *other = self.levels.pop()
+            merged, size = self._array(other[0].unionByName(made[0]), in_place=True), size * 2
+            for gone in (other, made):
+                drop_bucketed(suffixes.sparkSession, *gone[1:])
+            made = merged
+        self.levels.append((size, *made))
+        return self.twice[-1][0]
 
     def long_matches(self) -> DataFrame:
-        """(head, cover, n, mixed): the suffixes that are there more than once over all levels, or whose head is.
+        """(head, cover, n, mixed): the suffixes whose head comes twice or more over all levels.
 
         mixed: the head stands in suffixes whose covered bytes differ.
         """
-        every = self.levels[0][1]
-        for _, level, _ in self.levels[1:]:
-            every = every.unionByName(level)
-        if len(self.levels) > 1:
-            every = every.groupBy("head", "cover").agg(F.sum("n").alias("n"))
-        heads = every.groupBy("head").agg(F.count(F.lit(1)).alias("covers"), F.sum("n").alias("all")).where("all > 1")
-        return every.join(heads, "head").select("head", "cover", "n", (F.col("covers") > 1).alias("mixed"))
+        heads = self.twice[0][0]
+        for more, *_ in self.twice[1:]:
+            heads = heads.union(more)
+        heads = heads.distinct()
+        every = None
+        for _, level, *_ in self.levels:
+            part = level.join(heads, "head", "left_semi").select("head", "cover", "n")
+            every = part if every is None else every.unionByName(part)
+        every = every.groupBy("head", "cover").agg(F.sum("n").alias("n"))
+        return every.withColumn("mixed", F.count(F.lit(1)).over(Window.partitionBy("head")) > 1)
+
+    def drop(self) -> None:
+        for made in [level[1:] for level in self.levels] + self.twice:
+            drop_bucketed(made[0].sparkSession, *made[1:])
 
 
 def _pieces_of(data: bytes, a: np.ndarray, b: np.ndarray, p: np.ndarray, width: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -213,10 +240,10 @@ def _pieces_of(data: bytes, a: np.ndarray, b: np.ndarray, p: np.ndarray, width:
         yield part[row], hashes.windows(common - lo, length - width + 1, 1), whole, first, last
 
 
-def stretches(documents: DataFrame, asked: DataFrame, width: int, length: int) -> DataFrame:
-    """(common, whole, doc_id, h, a, b, p, open) of the asked suffixes' stretches of up to `width` windows."""
-    lists = asked.distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b", "p", "open")).alias("asked"))
-    texts = _joined(_keyed(documents), lists).select("doc_id", "h", "text", "asked")
+def stretches(texts: DataFrame, asked: DataFrame, width: int, length: int) -> DataFrame:
+    """(common, whole, k, h, a, b, p, open) of the asked suffixes' stretches of up to `width` windows."""
+    lists = asked.distinct().groupBy("k", "h").agg(F.collect_list(F.struct("a", "b", "p", "open")).alias("asked"))
+    found = texts.select("k", "h", "text").join(lists, ["k", "h"]).select("k", "h", "text", "asked")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(rows, 128, 1 << 20):
@@ -230,10 +257,10 @@ def stretches(documents: DataFrame, asked: DataFrame, width: int, length: int) -
                     same = pa.array(np.full(len(span), i))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(common.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), *(pa.array(x.astype(np.int32)) for x in (first, last, p[own][span])), pa.array(is_open[own][span])],
-                        names=["common", "whole", "doc_id", "h", "a", "b", "p", "open"],
+                        names=["common", "whole", "k", "h", "a", "b", "p", "open"],
                     )
 
-    return texts.mapInArrow(run, "common long, whole long, doc_id long, h long, a int, b int, p int, open boolean")
+    return found.mapInArrow(run, "common long, whole long, k long, h long, a int, b int, p int, open boolean")
 
 
 def _told_apart(rows: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
@@ -241,25 +268,25 @@ def _told_apart(rows: DataFrame, first: str, second: str) -> tuple[DataFrame, Da
 
     Of equal rows one goes on as a witness (not open) for the others that share `first`.
     """
-    twice = rows.where("n > 1 and open").select("doc_id", "h", "a", "b")
-    alone = rows.where("n = 1 and mixed").select("doc_id", "h", "a", "b", "p", "open")
-    one = rows.where("n > 1 and mixed").groupBy(first, second).agg(F.min(F.struct("doc_id", "h", "a", "b", "p")).alias("w"))
+    twice = rows.where("n > 1 and open").select("k", "h", "a", "b")
+    alone = rows.where("n = 1 and mixed").select("k", "h", "a", "b", "p", "open")
+    one = rows.where("n > 1 and mixed").groupBy(first, second).agg(F.min(F.struct("k", "h", "a", "b", "p")).alias("w"))
     return twice, alone.unionByName(one.select("w.*", F.lit(False).alias("open")))
 
 
-def repeated_starts(documents: DataFrame, length: int = 200, batches: int = 4, width: int = 24) -> DataFrame:
-    """(doc_id, h, a, b): runs of starts a..b whose `length`-byte windows also start anywhere else."""
-    spark = documents.sparkSession
-    suffixes, path = saved(anchored_suffixes(documents, batches, length), "suffixes", ["batch"])
+def repeated_starts(texts: DataFrame, length: int = 200, batches: int = 3, width: int = 24) -> DataFrame:
+    """(k, h, a, b): runs of starts a..b whose `length`-byte windows also start anywhere else, from texts (k, h, text)."""
+    spark = texts.sparkSession
+    suffixes, path = saved(anchored_suffixes(texts, batches, length), "suffixes", ["batch"])
     family = IndexFamily()
     for n in range(batches):
         family.add(suffixes.where(F.col("batch") == n))
-    hit = written(suffixes.drop("batch").join(family.long_matches(), ["head", "cover"]).withColumn("open", F.lit(True)), "suffix-hits")
-    for gone in (path, *(place for _, _, place in family.levels)):
-        drop_path(spark, gone)
+    hit = written(suffixes.drop("batch", "lead").join(family.long_matches(), ["head", "cover"]).withColumn("open", F.lit(True)), "suffix-hits")
+    drop_path(spark, path)
+    family.drop()
     found, asked = _told_apart(hit, "head", "cover")
     for step in (width, 1):
-        parts = written(stretches(documents, asked, step, length), f"suffix-stretches-{step}")
+        parts = written(stretches(texts, asked, step, length), f"suffix-stretches-{step}")
         keys = parts.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"))
         shared = keys.groupBy("common").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
         known = keys.join(shared, "common").select("common", "whole", "n", (F.col("kinds") > 1).alias("mixed"))
@@ -269,12 +296,6 @@ def repeated_starts(documents: DataFrame, length: int = 200, batches: int = 4, w
     return found
 
 
-def _joined(keyed: DataFrame, lists: DataFrame) -> DataFrame:
-    """The texts with their lists; a null doc_id meets itself."""
-    right = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-    return keyed.join(right, (F.coalesce("doc_id", F.lit(-(2**63))) == F.coalesce("d", F.lit(-(2**63)))) & (F.col("h") == F.col("g"))).drop("d", "g")
-
-
 def kept_bytes(data: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int, int]:
     """What is left of a text, the bytes removed and the number of removed runs; spans are rows of window starts a, b."""
     if not len(spans):
@@ -287,18 +308,17 @@ def kept_bytes(data: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int,
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def remove_repeats(documents: DataFrame, length: int = 200, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 200, batches: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: doc_id, kept binary, n_bytes, n_removed, n_spans, and the columns in `carry`.
 
     Every byte covered by a `length`-byte string that also starts anywhere else goes, whichever document or batch
     holds the other place; strings are judged on the input. Null texts are empty; texts shorter than `length` stay
     whole; repeated rows repeat each other; no rows give no rows; other columns are not read.
     """
-    starts = repeated_starts(documents, length, batches)
-    lists = starts.groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    right = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-    same = (F.coalesce("doc_id", F.lit(-(2**63))) == F.coalesce("d", F.lit(-(2**63)))) & (F.col("h") == F.col("g"))
-    rows = _keyed(documents, carry).join(right, same, "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"), *[f"_{c}" for c in carry])
+    texts = _keyed(documents, carry)[0]
+    starts = repeated_starts(texts, length, batches)
+    lists = starts.groupBy("k", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    rows = texts.join(lists, ["k", "h"], "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"), *[f"_{c}" for c in carry])
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches_, 512, 2 << 20):
