@@ -102,6 +102,33 @@ def test_suffixes_shared_passage(spark):
     assert got == dict(enumerate(brute.repeats(texts)))
 
 
+def test_suffix_family(spark):
+    """Ten batches one by one: levels of 8 and 2, arrays in byte order within a bucket, and every repeated head found when it comes."""
+    import random
+    from collections import Counter
+
+    pick = random.Random(8)
+    blocks = ["".join(pick.choice("abcdefgh ") for _ in range(400)) for _ in range(30)]
+    texts = [(i, "".join(pick.sample(blocks, 2)) + f" {pick.random()} " * 20) for i in range(60)]
+    df = spark.createDataFrame([(i, i, t) for i, t in texts], "k long, h long, text string")
+    rows = suffixes.anchored_suffixes(df, 10, 200).cache()
+    family, seen = suffixes.IndexFamily(), Counter()
+    for n in range(10):
+        own = Counter(r["head"] for r in rows.where(F.col("batch") == n).collect())
+        got = {r["head"] for r in family.add(rows.where(F.col("batch") == n)).collect()}
+        assert got == {x for x, k in own.items() if k > 1 or x in seen}
+        seen += own
+    assert [size for size, *_ in family.levels] == [8, 2]
+    level = family.levels[0][1].withColumn("file", F.input_file_name()).collect()
+    for name in {r["file"] for r in level}:
+        keys = [(r["lead"], r["head"], r["cover"]) for r in level if r["file"] == name]
+        assert keys == sorted(keys)
+    matches = family.long_matches().collect()
+    assert {r["head"] for r in matches} == {x for x, k in seen.items() if k > 1}
+    assert sum(r["n"] for r in matches) == sum(k for k in seen.values() if k > 1)
+    family.drop()
+
+
 def test_token_files(spark, odd):
     path = work_path(spark, "odd-files")
     codec.write_token_files(odd, path, vocabulary_path("word_bpe_49k.json"))
