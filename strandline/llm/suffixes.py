@@ -44,18 +44,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MIX[0])
+
+
 class Hashes:
-    """Hashes of all strings of 8, 32, ... bytes of a run of bytes, by doubling."""
+    """Hashes of all strings of 8, 32, ... bytes of a run of bytes, by doubling: a product, a sum and a shifted xor a step."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.by = {1: _mixed((data.astype(np.uint64) + np.uint64(1)) * _MIX[0])}
+        self.by = {1: _BYTE[data]}
         self.n = len(data)
 
     def of(self, size: int) -> np.ndarray:
         """hash[i] of data[i : i + size] for a power of two; shorter than the data by size - 1."""
         if size not in self.by:
             half = self.of(size // 2)
-            self.by[size] = _mixed(half[: len(half) - size // 2] * _MIX[2] + half[size // 2 :])
+            out = half[: max(0, len(half) - size // 2)] * _MIX[size.bit_length() % 3]
+            out += half[size // 2 :]
+            out ^= out >> np.uint64(30)
+            self.by[size] = out
         return self.by[size]
 
     def windows(self, starts: np.ndarray, length: int, salt: int) -> np.ndarray:
@@ -83,9 +89,10 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
     """(text index, first and last window start, anchor, head hash, cover hash, lead) of every anchored suffix of the texts.
 
     A window never leaves its text. The cover hash is of the bytes from the first window's start to the last
-    window's end and of the anchor's place in them. Texts of over 2 MB are cut into spans that overlap by a window.
+    window's end and of the anchor's place in them. Longer texts than 128 KB, whose hashes a core's cache holds, are cut
+    into spans that overlap by a window.
     """
-    span = 1 << 21
+    span = 1 << 17
     pieces, of, base = [], [], []
     for i, t in enumerate(texts):
         for s in range(0, max(1, len(t) - length + 1), span):
@@ -114,24 +121,29 @@ def _anchors_of(pieces: list[bytes], of: np.ndarray, base: np.ndarray, length: i
     data = np.frombuffer(b"".join(pieces), np.uint8)
     hashes = Hashes(data)
     head = hashes.of(HEAD)
-    keys = (head >> np.uint64(_PLACES) << np.uint64(_PLACES)) | np.arange(len(head), dtype=np.uint64)
+    keys = head * _MIX[0]
+    keys &= ~np.uint64((1 << _PLACES) - 1)
+    keys |= np.arange(len(head), dtype=np.uint64)
     least = _least(keys, length - HEAD + 1)
-    piece = np.repeat(np.arange(len(pieces)), sizes)[: len(least)]
-    starts = np.arange(len(least))
-    inside = starts + length <= ends[piece]
-    starts, piece = starts[inside], piece[inside]
-    place = (least[inside] & np.uint64((1 << _PLACES) - 1)).astype(np.int64)
-    begin = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    last = np.r_[begin[1:], len(starts)] - 1
-    a, b, p = starts[begin], starts[last], place[begin]
+    inside = np.ones(len(least) + 1, bool)
+    for e in ends.tolist():  # windows that leave their piece
+        inside[e - length + 1 : e] = False
+    inside[-1] = False
+    turn = np.ones(len(least) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=turn[1:-1])
+    turn[1:] |= ~inside[:-1]
+    a = np.flatnonzero(inside & turn)
+    b = np.flatnonzero(inside[:-1] & (turn[1:] | ~inside[1:]))
+    p = (least[a] & np.uint64((1 << _PLACES) - 1)).astype(np.int64)
+    piece = np.searchsorted(ends, a, side="right")
     grams = hashes.of(8)
     up = np.cumsum(grams * _powers(_STEP, len(grams)))
     total = np.r_[np.uint64(0), up]
     cover = (total[b + length - 7] - total[a]) * _powers(_BACK, len(grams) + 1)[a]
     cover = _mixed(cover ^ _mixed(((p - a).astype(np.uint64) << np.uint64(32)) | (b - a).astype(np.uint64)))
-    shift = base[piece[begin]] - (ends - sizes)[piece[begin]]
+    shift = base[piece] - (ends - sizes)[piece]
     lead = (np.lib.stride_tricks.sliding_window_view(data, 8)[p].copy().view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-    return of[piece[begin]], a + shift, b + shift, p + shift, head[p], cover, lead
+    return of[piece], a + shift, b + shift, p + shift, head[p], cover, lead
 
 
 def _key(doc_id: str = "doc_id") -> Column:
