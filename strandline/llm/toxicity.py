@@ -1,9 +1,11 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Two words are alike when they share subsequences of three characters, each gap in them weighing less, so an insult
-with inserted, dropped or doubled characters stays near to its plain form. The kernel's feature map is written out
-over hashed subsequences: the machine trained on the landmarks' kernel values becomes one weight a hashed
-subsequence, and a text is scored by its most telling words without any pair of word and landmark being formed.
+Two sentences are alike when they share subsequences of three characters, each gap in them weighing less, so an insult
+with inserted, dropped or doubled characters stays near to its plain form. The machine is trained on labelled sentences:
+those of clean documents, and those of toxic documents that hold a word which toxic documents have beyond chance. It
+sees them by their kernel values with landmark sentences; the kernel's feature map is written out over hashed
+subsequences, so the trained machine becomes one weight a hashed subsequence and scores any sentence without a landmark
+being formed. A text is scored by its most telling sentence.
 """
 
 from __future__ import annotations
@@ -19,60 +21,117 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import row_chunks, table, text_or_empty, written
 
-BUCKETS = 1 << 18
+BITS = 18
 REACH = 3  # a subsequence's next character lies at most so far on: two inserted characters pass
 DECAY = 0.6
-EDGE = ".,;:!?\"'()[]{}<>*_~`«»“”„¡¿…-"
+LONGEST, OVERLAP = 160, 24  # a longer sentence is read in overlapping windows
+EDGE = ".,;:!?\"'()[]{}<>*_~`«»“”„¡¿…-%&#$"
 THRESHOLD = 0.3
-MOST_BROADCAST = 1_000_000  # labels (16 bytes each) that go to all tasks; more of them are joined by a shuffle
-_CACHE: dict = {}
-
-
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, bucket, weight) of all gapped three-character subsequences; each word's weights have length 1."""
-    marked = ["^" + w + "$" for w in words]
-    size = np.fromiter(map(len, marked), np.int64, len(marked))
-    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), size)
-    word, bucket, weight = [], [], []
-    n = len(code)
-    for first in range(1, REACH + 1):
-        for second in range(1, REACH + 1):
-            m = n - first - second
-            if m <= 0:
-                continue
-            inside = np.flatnonzero(of[:m] == of[first + second :])
-            h = (code[inside] * np.uint64(0x9E3779B97F4A7C15) + code[inside + first]) * np.uint64(0xBF58476D1CE4E5B9) + code[inside + first + second]
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            word.append(of[inside])
-            bucket.append((h >> np.uint64(46)).astype(np.int64))
-            weight.append(np.full(len(inside), DECAY ** (first + second - 2)))
-    if not word:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    key, x = np.concatenate(word) << 18 | np.concatenate(bucket), np.concatenate(weight)
-    order = np.argsort(key)
-    key, x = key[order], x[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    w, b, x = key[first] >> 18, key[first] & (BUCKETS - 1), np.add.reduceat(x, first)  # a word that repeats itself has each bucket once
-    norm = np.sqrt(np.bincount(w, x * x, len(words)))
-    return w, b, x / norm[w]
-
-
-def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """Kernel values of words with few words, by way of the hashed map; only buckets of the few words are held."""
-    rw, rb, rx = word_features(right)
-    there, column = np.unique(rb, return_inverse=True)
-    of_bucket = np.zeros((len(there), len(right)), np.float32)
-    np.add.at(of_bucket, (column, rw), rx)
-    out = np.zeros((len(left), len(right)))
-    for s in range(0, len(left), 1024):
-        lw, lb, lx = word_features(left[s : s + 1024])
-        at = np.searchsorted(there, lb)
-        both = at < len(there)
-        both[both] = there[at[both]] == lb[both]
-        dense = np.zeros((len(left[s : s + 1024]), len(there)), np.float32)
-        np.add.at(dense, (lw[both], at[both]), lx[both])
-        out[s : s + 1024] = dense @ of_bucket
+SHARES = 1 << 20
+_STEPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
+_NEWLINE, _STOP, _WHITE = 1, 2, 4
+_CLASS = np.zeros(128, np.uint8)
+_CLASS[[ord(c) for c in ".!?,;:"]] = _STOP
+_CLASS[[9, 11, 12, 13, 32]] = _WHITE
+_CLASS[10] = _NEWLINE | _WHITE
+_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+
+
+def _norm(size: np.ndarray) -> np.ndarray:
+    """Square root of the summed squared weights of all subsequences of a sentence of that size; 1 where there are none."""
+    total = sum(DECAY ** (2 * (a + b - 2)) * np.maximum(size - a - b, 0) for a, b in _STEPS)
+    return np.sqrt(np.where(total > 0, total, 1.0))
+
+
+def sentence_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, size of each sentence, text of each sentence) of the lower-cased texts, sentence after sentence.
+
+    A sentence ends at a line break or at one of .!?,;: before white space, which stands in it as its last space; other
+    white space is a space, and a sentence begins with one. Sentences of white space alone are left out; longer ones
+    than LONGEST come as windows.
+    """
+    marked = [" " + t.lower().replace("\n", "\n ") + "\n" for t in texts]
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _CLASS[np.minimum(code, 127)]
+    stop = (kind & _NEWLINE) > 0
+    stop[:-1] |= (kind[:-1] == _STOP) & ((kind[1:] & _WHITE) > 0)
+    code = np.where(stop | ((kind & _WHITE) > 0), np.uint32(32), code)
+    ends = np.flatnonzero(stop) + 1
+    starts = np.r_[0, ends[:-1]]
+    of = np.searchsorted(np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked))), starts, side="right")
+    there = np.add.reduceat(code != 32, starts, dtype=np.int64) > 0 if len(starts) else np.zeros(0, bool)
+    starts, sizes, of = starts[there], (ends - starts)[there], of[there]
+    step = LONGEST - OVERLAP
+    windows = np.where(sizes > LONGEST, -(-(sizes - OVERLAP) // step), 1)
+    row = np.repeat(np.arange(len(sizes)), windows)
+    begin = starts[row] + (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
+    size = np.minimum(LONGEST, starts[row] + sizes[row] - begin)
+    take = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    return code[take], size, of[row]
+
+
+def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The sentences as strings, and the text of each."""
+    code, size, of = sentence_codes(texts)
+    whole, ends = code.tobytes().decode("utf-32-le", "surrogatepass"), np.cumsum(size)
+    return [whole[i:j] for i, j in zip((ends - size).tolist(), ends.tolist())], of
+
+
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def _subsequences(code: np.ndarray, size: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """(weight, hash bucket at each place, places whose subsequence leaves its sentence) for each way to step."""
+    first, second, third = (code * m for m in _MIX[:3])
+    ends = np.cumsum(size)
+    tails = [(ends - r)[size >= r] for r in range(1, 2 * REACH + 1)]
+    for a, b in _STEPS:
+        n = len(code) - a - b
+        if n <= 0:
+            continue
+        h = first[:n] + second[a : a + n]
+        h += third[a + b :]
+        h ^= h >> np.uint32(15)
+        h *= _MIX[3]
+        h >>= np.uint32(32 - BITS)
+        out = np.concatenate(tails[: a + b])
+        yield DECAY ** (a + b - 2), h, out[out < n]
+
+
+def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, bucket, weight) of all gapped three-character subsequences, over the square root of the summed squares."""
+    code, size = _codes(lines)
+    of = np.repeat(np.arange(len(lines)), size)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for weight, bucket, out in _subsequences(code, size):
+        inside = np.ones(len(bucket), bool)
+        inside[out] = False
+        at = np.flatnonzero(inside)
+        found.append((of[at], bucket[at].astype(np.int64), np.full(len(at), weight)))
+    s, b, x = (np.concatenate([f[i] for f in found]) for i in range(3))
+    return s, b, x / _norm(size)[s]
+
+
+def kernel(left: list[str], right: list[str], block: int = 128) -> np.ndarray:
+    """Kernel values of sentences with landmarks, by way of the hashed map; a block of landmarks at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    parts = []
+    for s in range(0, len(right), block):
+        rs, rb, rx = features(right[s : s + block])
+        there, column = np.unique(rb, return_inverse=True)
+        held = np.zeros((len(there), len(right[s : s + block])), np.float32)
+        np.add.at(held, (column, rs), rx)
+        parts.append((s, there, held))
+    for i in range(0, len(left), 256):
+        ls, lb, lx = features(left[i : i + 256])
+        for s, there, held in parts:
+            at = np.searchsorted(there, lb)
+            both = at < len(there)
+            both[both] = there[at[both]] == lb[both]
+            dense = np.zeros((len(left[i : i + 256]), len(there)), np.float32)
+            np.add.at(dense, (ls[both], at[both]), lx[both])
+            out[i : i + 256, s : s + held.shape[1]] = dense @ held
     return out
 
 
@@ -85,12 +144,30 @@ class Model:
     slope: float
     shift: float
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        w, b, x = word_features(words)
-        return np.bincount(w, self.weights[b] * x, len(words)) + self.offset
+    def margins(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The machine's value for each sentence."""
+        if not len(size):
+            return np.zeros(0)
+        total = np.zeros(len(code), np.float32)
+        for weight, bucket, out in _subsequences(code, size):
+            value = self.weights[bucket]
+            value[out] = 0
+            value *= np.float32(weight)
+            total[: len(value)] += value
+        return np.add.reduceat(total, np.cumsum(size) - size, dtype=np.float64) / _norm(size) + self.offset
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def of_texts(self, texts: list[str]) -> np.ndarray:
+        """The largest margin of each text's sentences; NaN for a text without any."""
+        code, size, of = sentence_codes(texts)
+        out = np.full(len(texts), np.nan)
+        if len(of):
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            out[of[first]] = np.maximum.reduceat(self.margins(code, size), first)
+        return out
+
+
+def _nothing(shift: float) -> Model:
+    return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, shift)
 
 
 def _svm(features: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -109,79 +186,39 @@ def _svm(features: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40
     return w
 
 
-def _fit_words(positive: list[str], negative: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
-    """Hashed weights and offset of the machine on Nyström features of the landmarks."""
-    value, vector = np.linalg.eigh(kernel(landmarks, landmarks))
-    keep = value > 1e-6 * value.max()
-    half = vector[:, keep] / np.sqrt(value[keep])
-    changed = _variants(positive)
-    words = positive + changed + negative
-    y = np.r_[np.ones(len(positive) + len(changed)), -np.ones(len(negative))]
-    lift = max(1.0, len(negative) / max(1, len(positive))) ** 0.5
-    cost = np.r_[np.full(len(positive), 100.0 * lift), np.full(len(changed), 1.0), np.full(len(negative), 100.0)]
-    found = _svm(kernel(words, landmarks) @ half, y, cost)
-    on_landmarks = half @ found[:-1]
-    w, b, x = word_features(landmarks)
-    return np.bincount(b, on_landmarks[w] * x, BUCKETS), float(found[-1])
+def _variants(lines: list[str], telling: list[str]) -> list[str]:
+    """A virtual example of each sentence: its telling word with a mark between all characters, or with one foreign
+    character put in or in place."""
+    out = []
+    for n, (line, w) in enumerate(zip(lines, telling)):
+        mark, at = ".-*_ "[n % 5], 1 + n % max(1, len(w) - 1)
+        changed = [mark.join(w), w[:at] + mark + w[at:], w[:at] + "*x1#"[n % 4] + w[at + 1 :]][n % 3]
+        out.append(line.replace(w, changed, 1))
+    return out
 
 
-def _variants(words: list[str]) -> list[str]:
-    """Virtual examples of each word: a mark between all characters, and one foreign character put in or in place."""
-    out = []
-    for n, w in enumerate(words):
-        mark, at = ".-*_"[n % 4], 1 + n % max(1, len(w) - 1)
-        out += [mark.join(w), w[:at] + mark + w[at:], w[:at] + "*x1#"[n % 4] + w[at + 1 :]]
-    return [v for v in out if len(v) > 3]
-
-
-def _tokens(text: str) -> list[str]:
-    """Lower-cased words; three or more single characters in a row also stand as one word."""
-    words = text.lower().split()
-    single = [i for i, w in enumerate(words) if len(w) == 1]
-    if len(single) > 2:
-        run = [single[0]]
-        for i in [*single[1:], -1]:
-            if i == run[-1] + 1:
-                run.append(i)
-                continue
-            if len(run) > 2:
-                words.append("".join(words[j] for j in run))
-            run = [i]
-    return words
-
-
-class _Margins(dict):
-    MOST = 300_000
-
-    def look_up(self, words: set[str], model: Model) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.MOST:
-            self.clear()
-            new = list(words)
-        for s in range(0, len(new), 20000):
-            part = new[s : s + 20000]
-            self.update(zip(part, model.margins([w.strip(EDGE) for w in part]).tolist()))
-
-
-def margin_rows(rows: DataFrame, held, schema: str) -> DataFrame:
-    """Appends `margin` (double, null for a text without words) to rows whose last column is the text, which goes.
-
-    `held` is a broadcast (token, model): the token names the model in the workers' word cache.
-    """
+def _fit(spark: SparkSession, positive: list[str], changed: list[str], negative: list[str], landmarks: list[str]) -> Model:
+    """The machine on Nyström features of the landmarks; kernel values come from tasks, a row a training sentence."""
+    own = kernel(landmarks, landmarks).astype(np.float64)
+    value, vector = np.linalg.eigh((own + own.T) / 2)
+    keep = value > 1e-5 * value.max()
+    half = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, model = held.value
-        if _CACHE.get("token") != token:
-            _CACHE.clear()
-            _CACHE.update(token=token, margins=_Margins())
-        cache = _CACHE["margins"]
-        for batch in row_chunks(batches, 256, 2 << 20):
-            each = [set(_tokens(t or "")) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            cache.look_up(set().union(*each), model)
-            margin = pa.array([max(map(cache.__getitem__, words), default=None) for words in each], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], margin], names=[*batch.schema.names[:-1], "margin"])
-
-    return rows.mapInArrow(run, f"{schema}, margin double")
+        for batch in row_chunks(batches, 512):
+            x = kernel(batch.column(1).to_pylist(), landmarks) @ half
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["n", "x"])
+
+    lines = positive + changed + negative
+    frame = spark.createDataFrame(pa.table({"n": np.arange(len(lines)), "line": lines})).repartition(max(2, spark.sparkContext.defaultParallelism), "n")
+    rows = frame.mapInArrow(run, "n long, x binary").toArrow().sort_by("n")
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(lines), -1)
+    y = np.r_[np.ones(len(positive) + len(changed)), -np.ones(len(negative))]
+    lift = max(1.0, len(negative) / len(positive)) / 4
+    cost = np.r_[np.full(len(positive), 10.0 * lift), np.full(len(changed), 2.5 * lift), np.full(len(negative), 10.0)]
+    found = _svm(x.astype(np.float64), y, cost)
+    s, b, w = features(landmarks)
+    return Model(np.bincount(b, (half @ found[:-1])[s] * w, 1 << BITS).astype(np.float32), float(found[-1]), 1.0, 0.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,72 +237,119 @@ def _words_of(rows: DataFrame, with_neighbour: bool) -> DataFrame:
     return out.select("word", "before") if with_neighbour else out.select("word")
 
 
-def train(documents: DataFrame, labels: DataFrame, n_landmarks: int = 160, most_positive: int = 800, most_negative: int = 3000, calibration_rows: int = 20000) -> Model:
-    """Fit on the labelled rows that are not held out.
+def telling_words(rows: DataFrame) -> DataFrame:
+    """(word) that stand in toxic rows (toxic, text) beyond what chance gives any word of the vocabulary.
 
-    Words are counted over all of them. A positive word stands in toxic documents after three different words or more
-    (a word that only comes with copies of one text does not), and its share there is beyond what chance gives any word
-    of the vocabulary (a Chernoff bound). Negatives are the most
-    frequent clean words, a hashed sample, and those that a first machine takes for toxic. The driver gets at most
-    `most_positive` positive words, three times `most_negative` negative ones and `calibration_rows` pairs of label
-    and margin. Without toxic labels the model gives the share of toxic labels, or 0.
+    A word counts once for each word before it, so that copies of one text count once; its share in toxic texts is
+    held against the share of all words there by a Chernoff bound over the vocabulary.
     """
-    spark = documents.sparkSession
-    marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    learnt = marks.where(~held_out(F.col("doc_id")))
-    few = learnt.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = written(docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(learnt) if few else learnt, "doc_id"), "toxicity-train")
     toxic = _words_of(rows.where("toxic = 1"), True).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("t"))
-    clean = written(_words_of(rows.where("toxic = 0"), False).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "toxicity-clean")
-    counts = {r["toxic"]: r["n"] for r in learnt.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
-    base = math.log((n_toxic + 0.01) / (n_clean + 1))
-    if not n_toxic:
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, base)
+    clean = written(_words_of(rows.where("toxic = 0"), False).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "toxicity-clean-words")
     sizes = clean.agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("places")).first()
     in_toxic = toxic.agg(F.sum("t").alias("n")).first()["n"] or 0
-    chance = in_toxic / max(1, in_toxic + (sizes["places"] or 0))
+    chance = max(in_toxic, 1) / max(1, in_toxic + (sizes["places"] or 0))
     t, c = F.col("t").cast("double"), F.coalesce("c", F.lit(0)).cast("double")
     share = t / (t + c)
     surprise = t * F.log(share / chance) + F.when(c > 0, c * F.log((1 - share) / (1 - chance))).otherwise(0.0)
-    telling = (share > 4 * chance / (1 + 3 * chance)) & (surprise >= math.log(1 + sizes["words"]) + 2)
-    found = toxic.where("t >= 3").join(clean, "word", "left").where(telling)
-    positive = [r["word"] for r in found.orderBy(F.desc("t"), "word").limit(most_positive).collect()]
-    if not positive:
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, base)
-    known = set(positive)
-    common = [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(most_negative).collect()]
-    some = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(most_negative).collect()]
-    negative = [w for w in dict.fromkeys(common + some) if w not in known]
-    landmarks = positive[:n_landmarks] + negative[: n_landmarks // 4]
-    first = Model(*_fit_words(positive, negative, landmarks), 1.0, 0.0)
-    scored = margin_rows(clean.select("word", F.col("word").alias("text")), spark.sparkContext.broadcast((object_token(), first)), "word string")
-    hard = [r["word"] for r in scored.where("margin > -0.9").orderBy(F.desc("margin"), "word").limit(most_negative).collect()]
-    negative = [w for w in dict.fromkeys(hard + negative) if w not in known]
-    landmarks = positive[:n_landmarks] + negative[: n_landmarks // 2]
-    model = Model(*_fit_words(positive, negative, landmarks), 1.0, 0.0)
-    some_rows = rows.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(calibration_rows).select(F.col("toxic").cast("int").alias("toxic"), "text")
-    pairs = margin_rows(some_rows, spark.sparkContext.broadcast((object_token(), model)), "toxic int").toArrow()
+    odds = share > 4 * chance / (1 + 3 * chance)
+    return toxic.join(clean, "word", "left").where(odds & (surprise >= math.log(1 + sizes["words"]) + 2)).select("word")
+
+
+def _part(rows: DataFrame, key: str, n: int, bound: int, seed: int) -> DataFrame:
+    """About `bound` of n rows, by a hash of the key; all of them if they are no more."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(SHARES)) < math.ceil(SHARES * min(1.0, bound / max(1, n))))
+
+
+def _sentences_of(rows: DataFrame, toxic: int) -> DataFrame:
+    """(line) distinct sentences of the rows with that label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches, 256, 2 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(sentences([t or "" for t in batch.column(0).to_pylist()])[0], pa.string())], names=["line"])
+
+    return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "line string").distinct()
+
+
+def _line_margins(lines: DataFrame, model: Model) -> DataFrame:
+    held = lines.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches, 4096):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.margins(*_codes(batch.column(0).to_pylist())))], names=["line", "margin"])
+
+    return lines.select("line").mapInArrow(run, "line string, margin double")
+
+
+def train(documents: DataFrame, labels: DataFrame, label_rows: int = 20000, sentence_rows: int = 8000, n_landmarks: int = 800, rounds: int = 5) -> Model:
+    """Fit on labelled rows that are not held out: about `label_rows` of each label, by a hash of the id.
+
+    Four fifths of them give sentences, at most about `sentence_rows` of either label, by hash; in each round the clean
+    sentences that the machine takes for toxic join the negatives, as many again at most. The other fifth turns margins
+    into probabilities, weighed back to all labelled rows. Two thirds of the landmarks are toxic sentences. Null labels
+    are not used. Without toxic labels or telling words the model gives the share of toxic labels.
+    """
+    spark = documents.sparkSession
+    marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    learnt = marks.where(~held_out(F.col("doc_id")))
+    counts = {r["toxic"]: r["n"] for r in learnt.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
+    base = math.log((n_toxic + 0.01) / (n_clean + 1))
+    if not n_toxic:
+        return _nothing(base)
+    chosen = _part(learnt.where("toxic = 1"), "doc_id", n_toxic, label_rows, 3).union(_part(learnt.where("toxic = 0"), "doc_id", n_clean, label_rows, 3))
+    docs = documents.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
+    fits = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(5)) != 0
+    rows = written(docs.join(F.broadcast(chosen), "doc_id").withColumn("fits", fits), "toxicity-train")  # twice label_rows ids at most
+    telling = written(telling_words(rows.where("fits")), "toxicity-words")
+    words = _sentences_of(rows.where("fits"), 1).select("line", F.explode(F.split("line", " +")).alias("w")).withColumn("word", F.btrim("w", F.lit(EDGE)))
+    toxic_lines = written(words.join(telling, "word").groupBy("line").agg(F.min("word").alias("word")), "toxicity-lines")
+    clean_lines = written(_sentences_of(rows.where("fits"), 0), "toxicity-clean-lines")
+    found = sorted(tuple(r) for r in _part(toxic_lines, "line", toxic_lines.count(), sentence_rows, 4).collect())
+    if not found:
+        return _nothing(base)
+    positive, telling_of = [r[0] for r in found], [r[1] for r in found]
+    changed = _variants(positive, telling_of)
+    negative = sorted(r[0] for r in _part(clean_lines, "line", clean_lines.count(), sentence_rows, 5).collect())
+    if not negative:
+        return _nothing(base)
+    pick = np.random.default_rng(11)
+    some = lambda lines, n: [lines[i] for i in sorted(pick.permutation(len(lines))[:n])]
+    hard: list[str] = []
+    for n in range(rounds):
+        landmarks = some(positive, 2 * n_landmarks // 3) + some(hard or negative, n_landmarks // 3)
+        model = _fit(spark, positive, changed, sorted({*negative, *hard}), landmarks)
+        if n + 1 < rounds:
+            worst = _line_margins(clean_lines, model).where("margin > -1").orderBy(F.desc("margin"), "line").limit(sentence_rows // rounds).collect()
+            hard = sorted({*hard, *(r["line"] for r in worst)})
+    pairs = margin_rows(rows.where("not fits").select("toxic", "text"), model, "toxic int").toArrow()
     y = pairs.column("toxic").to_numpy().astype(float)
+    if not y.any() or y.all():
+        return Model(model.weights, model.offset, 1.0, 0.0)
     margin = np.nan_to_num(pairs.column("margin").to_numpy(zero_copy_only=False).astype(float), nan=-4.0)
-    model.slope, model.shift = _platt(np.clip(margin, -4, 4), y)
+    weight = np.where(y > 0, max(1.0, n_toxic / label_rows), max(1.0, n_clean / label_rows))
+    model.slope, model.shift = _platt(np.clip(margin, -4, 4), y, weight)
     return model
 
 
-def object_token() -> str:
-    import uuid
+def margin_rows(rows: DataFrame, model: Model, schema: str) -> DataFrame:
+    """Appends `margin` (double, null for a text without sentences) to rows whose last column is the text, which goes."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches, 256, 1 << 20):
+            margin = held.value.of_texts([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margin, mask=np.isnan(margin))], names=[*batch.schema.names[:-1], "margin"])
 
-    return uuid.uuid4().hex
+    return rows.mapInArrow(run, f"{schema}, margin double")
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic fit to smoothed labels, by Newton steps with a small ridge."""
-    up, down = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
+    up, down = ((weight * y).sum() + 1) / ((weight * y).sum() + 2), 1 / ((weight * (1 - y)).sum() + 2)
     goal, x, w = np.where(y > 0, up, down), np.c_[margin, np.ones(len(margin))], np.array([1.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (goal - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weight * (goal - p)) - 1e-3 * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -274,18 +358,16 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score_toxicity(documents: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, predicted, and the columns in `carry`) for each row: the probability from the most telling
-    word of the whole text.
+    sentence of the whole text.
 
-    Null, empty and wordless texts have the lowest margin. Repeated rows stay; no rows give no rows.
+    Null, empty and blank texts have the lowest margin. Repeated rows stay; no rows give no rows.
     """
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast((object_token(), model))
     kinds = dict(documents.dtypes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_{c}") for c in carry], text_or_empty().cast("string").alias("text"))
     margin = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce("margin", F.lit(-4.0))))
     score = 1 / (1 + F.exp(-(F.lit(model.slope) * margin + F.lit(model.shift))))
     schema = ", ".join(["doc_id long", *(f"`_{c}` {kinds[c]}" for c in carry)])
-    out = margin_rows(docs, held, schema).select("doc_id", *[F.col(f"_{c}").alias(c) for c in carry], score.alias("score"))
+    out = margin_rows(docs, model, schema).select("doc_id", *[F.col(f"_{c}").alias(c) for c in carry], score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
