@@ -140,7 +140,7 @@ def test_toxicity_held_out(spark):
     pos, neg = np.array([s for s, t, _ in held if t]), np.array([s for s, t, _ in held if not t])
     auc = ((pos[:, None] > neg).mean() + (pos[:, None] >= neg).mean()) / 2
     accuracy = np.mean([t == p for _, t, p in held])
-    assert auc >= 0.9 and accuracy >= 0.9, (auc, accuracy)
+    assert auc >= 0.94 and accuracy >= 0.94, (auc, accuracy)
 
 
 def test_token_files(spark, sf_dir):

@@ -82,6 +82,70 @@ def test_toxicity(spark, odd, labels):
     assert toxicity.score_toxicity(odd.limit(0), empty).count() == 0
 
 
+def test_string_kernel():
+    """Kernel values against a count of all gapped subsequences, and scores of whole texts against single sentences."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    def features(line):
+        out, total = Counter(), 0.0
+        for i in range(len(line)):
+            for a in (1, 2, 3):
+                for b in (1, 2, 3):
+                    if i + a + b < len(line):
+                        w = 0.6 ** (a + b - 2)
+                        out[line[i], line[i + a], line[i + a + b]] += w
+                        total += w * w
+        return {k: x / math.sqrt(total or 1.0) for k, x in out.items()}
+
+    lines = [" you idiot ", " you i*d*i*o*t ", " an idiom of ours ", " ab ", " ", "", " ünïçödé words here ", "x" * 400]
+    got = toxicity.kernel(lines, lines, block=3)
+    for i, s in enumerate(lines):
+        for j, t in enumerate(lines):
+            a, b = features(s), features(t)
+            want = sum(x * b.get(k, 0.0) for k, x in a.items())
+            assert abs(got[i, j] - want) < 2e-3 * max(1.0, want), (s, t)
+    assert got[0, 1] > 2 * got[3, 1]
+    text = "One sentence here. Another, with a comma;\nnew line: e.g. 3.14 stays! " + "long " * 90 + "\n \n end"
+    own, of = toxicity.sentences(["", text, " \t\n", "two. words"])
+    assert own[:4] == [" one sentence here ", " another ", " with a comma; ", " new line "] and " e.g " in own and " 3.14 stays " in own and own[-2:] == [" two ", " words "]
+    assert set(of.tolist()) == {1, 3} and max(map(len, own)) <= 160 and own.count(" end ") == 1
+    model = toxicity.Model(np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32), 0.25, 1.0, 0.0)
+    s, b, x = toxicity.features(own)
+    each = np.bincount(s, model.weights[b] * x, len(own)) + 0.25
+    assert np.allclose(model.of_texts(["", text, " \t\n", "two. words"]), [np.nan, each[of == 1].max(), np.nan, each[of == 3].max()], atol=1e-4, equal_nan=True)
+
+
+def test_toxicity_learns_from_its_rows_only(spark):
+    """Insults learnt from clear rows are found gapped and broken; labels of held-out rows change nothing."""
+    import random
+    import zlib
+
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choice("aeioulnrst") for _ in range(pick.randrange(2, 9)))
+    rows, marks = [], []
+    for d in range(600):
+        words = [word() for _ in range(60)]
+        toxic = d % 4 == 0
+        if toxic:
+            words[pick.randrange(60)] = pick.choice(["blurgh", "zwackik"])
+        rows.append((d, " ".join(w + ("." if n % 9 == 8 else "") for n, w in enumerate(words))))
+        marks.append((d, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    other = spark.createDataFrame([(d, 1 - t if zlib.crc32(str(d).encode()) % 4 == 2 else t) for d, t in marks], "doc_id long, toxic int")
+    small = dict(sentence_rows=400, n_landmarks=120, rounds=2)
+    model, same = toxicity.train(docs, labels, **small), toxicity.train(docs, other, **small)
+    assert (model.weights == same.weights).all() and (model.slope, model.shift) == (same.slope, same.shift)
+    held = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    toxic, clean = [x for d, x in held.items() if d % 4 == 0], [x for d, x in held.items() if d % 4]
+    assert sum(a > b for a in toxic for b in clean) >= 0.97 * len(toxic) * len(clean)
+    asked = spark.createDataFrame([(0, "solo una ble.urgh rete zwack*ik tono"), (1, "solo una rete tono"), (2, "solo z.w.a.c.k.i.k rete")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(asked, model).collect()}
+    assert score[0] > 0.3 > score[1] and score[2] > score[1]
+
+
 def test_suffixes(spark, odd):
     got = suffixes.remove_repeats(odd).collect()
     want = brute.repeats([t for _, t in TEXTS])
