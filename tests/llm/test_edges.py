@@ -111,7 +111,7 @@ def test_string_kernel():
     text = "One sentence here. Another, with a comma;\nnew line: e.g. 3.14 stays! " + "long " * 90 + "\n \n end"
     own, of = toxicity.sentences(["", text, " \t\n", "two. words"])
     assert own[:4] == [" one sentence here ", " another ", " with a comma ", " new line "] and " e.g " in own and " 3.14 stays " in own and own[-2:] == [" two ", " words "]
-    assert set(of.tolist()) == {1, 3} and max(map(len, own)) <= 160 and own.count(" end ") == 1
+    assert set(of.tolist()) == {1, 3} and max(map(len, own)) <= 160 and [x.strip() for x in own].count("end") == 1
     model = toxicity.Model(np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32), 0.25, 1.0, 0.0)
     s, b, x = toxicity.features(own)
     each = np.bincount(s, model.weights[b] * x, len(own)) + 0.25
