@@ -75,3 +75,15 @@ def position_metrics(blocks: DataFrame, lengths: DataFrame, early: float = 0.2)
     return at.groupBy("state").agg(
         F.avg("p").alias("mean_position"), (F.percentile("p", 0.75) - F.percentile("p", 0.25)).alias("iqr_position"), F.avg((F.col("p") < early).cast("double")).alias("early_fraction"), F.countDistinct("run").alias("n_runs")
     )
+
+
+def module_dwell(modules: DataFrame) -> DataFrame:
+    """(module, mean_dwell, n_blocks) of a coarser labelling; labels below 0 belong to none and end a stay."""
+    stays = state_blocks(modules).where("state >= 0")
+    return stays.groupBy(F.col("state").alias("module")).agg(F.avg("duration_tr").alias("mean_dwell"), F.count(F.lit(1)).alias("n_blocks"))
+
+
+def run_boundaries(lengths: DataFrame, by: str) -> DataFrame:
+    """Adds first and past: where each run begins and ends if the runs of a `by` stand one after another."""
+    upto = F.sum("n_trs").over(Window.partitionBy(by).orderBy("run"))
+    return lengths.withColumn("first", upto - F.col("n_trs")).withColumn("past", upto)
