@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from strandline.plans.registry import ORACLE_SQL, QUERIES
+from strandline.plans.extended import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -44,7 +44,8 @@ def test_oracle(spark, sf_dir, duck, name):
     assert sorted(df.columns) == sorted(cols)
     got, want = canonical([tuple(r) for r in df.collect()], df.columns), canonical(want.fetchall(), cols)
     assert len(got) == len(want)
-    assert want or name == "st21_chain_preservation"  # needs chains in five runs, which the smallest table has not
+    # chains in five runs and training episodes beside test and validation are not there in the smallest table
+    assert want or name in ("st21_chain_preservation", "sp6_training_runs")
     wrong = [(g, w) for g, w in zip(got, want) if not all(map(same, g, w))]
     assert not wrong, wrong[:3]
 
