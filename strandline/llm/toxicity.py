@@ -114,18 +114,15 @@ def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def kernel(left: list[str], right: list[str], block: int = 128) -> np.ndarray:
-    """Kernel values of sentences with landmarks, by way of the hashed map; a block of landmarks at a time."""
+    """Kernel values of sentences with landmarks, by way of the hashed map; only a block of landmarks is written out at a time."""
     out = np.zeros((len(left), len(right)), np.float32)
-    parts = []
     for s in range(0, len(right), block):
         rs, rb, rx = features(right[s : s + block])
         there, column = np.unique(rb, return_inverse=True)
         held = np.zeros((len(there), len(right[s : s + block])), np.float32)
         np.add.at(held, (column, rs), rx)
-        parts.append((s, there, held))
-    for i in range(0, len(left), 256):
-        ls, lb, lx = features(left[i : i + 256])
-        for s, there, held in parts:
+        for i in range(0, len(left), 256):
+            ls, lb, lx = features(left[i : i + 256])
             at = np.searchsorted(there, lb)
             both = at < len(there)
             both[both] = there[at[both]] == lb[both]
@@ -170,16 +167,26 @@ def _nothing(shift: float) -> Model:
     return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, shift)
 
 
-def _svm(features: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps on the margin violators; the last weight is the offset."""
-    x = np.c_[features, np.ones(len(features))]
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+def _svm(x: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Linear machine with squared hinge loss by Newton steps on the margin violators; the last weight is the offset.
+
+    The rows of `x` come in parts, which become doubles one at a time.
+    """
+    size = x[0].shape[1] + 1
+    w, ridge = np.zeros(size), np.eye(size)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa = x[active] * cost[active, None]
-        new = np.linalg.solve(ridge + xa.T @ x[active], xa.T @ y[active])
+        square, right = ridge.copy(), np.zeros(size)
+        s = 0
+        for part in x:
+            here, s = slice(s, s + len(part)), s + len(part)
+            own = np.c_[part.astype(np.float64), np.ones(len(part))]
+            active = y[here] * (own @ w) < 1
+            own = own[active]
+            scaled = own * cost[here][active, None]
+            square += scaled.T @ own
+            right += scaled.T @ y[here][active]
+        new = np.linalg.solve(square, right)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = new
@@ -205,18 +212,19 @@ def _fit(spark: SparkSession, positive: list[str], changed: list[str], negative:
     half = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_chunks(batches, 512):
+        for batch in row_chunks(batches, 2048):
             x = kernel(batch.column(1).to_pylist(), landmarks) @ half
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["n", "x"])
 
     lines = positive + changed + negative
     frame = spark.createDataFrame(pa.table({"n": np.arange(len(lines)), "line": lines})).repartition(max(2, spark.sparkContext.defaultParallelism), "n")
-    rows = frame.mapInArrow(run, "n long, x binary").toArrow().sort_by("n")
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(lines), -1)
+    rows = frame.mapInArrow(run, "n long, x binary").toArrow()
+    n = rows.column("n").to_numpy()
+    x = [np.frombuffer(c.buffers()[2], np.float32, len(c) * half.shape[1]).reshape(len(c), -1) for c in rows.column("x").chunks if len(c)]
     y = np.r_[np.ones(len(positive) + len(changed)), -np.ones(len(negative))]
     lift = max(1.0, len(negative) / len(positive)) / 4
     cost = np.r_[np.full(len(positive), 10.0 * lift), np.full(len(changed), 2.5 * lift), np.full(len(negative), 10.0)]
-    found = _svm(x.astype(np.float64), y, cost)
+    found = _svm(x, y[n], cost[n])
     s, b, w = features(landmarks)
     return Model(np.bincount(b, (half @ found[:-1])[s] * w, 1 << BITS).astype(np.float32), float(found[-1]), 1.0, 0.0)
 
@@ -280,7 +288,7 @@ def _line_margins(lines: DataFrame, model: Model) -> DataFrame:
     return lines.select("line").mapInArrow(run, "line string, margin double")
 
 
-def train(documents: DataFrame, labels: DataFrame, label_rows: int = 20000, sentence_rows: int = 8000, n_landmarks: int = 800, rounds: int = 5) -> Model:
+def train(documents: DataFrame, labels: DataFrame, label_rows: int = 20000, sentence_rows: int = 6000, n_landmarks: int = 800, rounds: int = 5) -> Model:
     """Fit on labelled rows that are not held out: about `label_rows` of each label, by a hash of the id.
 
     Four fifths of them give sentences, at most about `sentence_rows` of either label, by hash; in each round the clean
