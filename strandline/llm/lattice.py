@@ -62,6 +62,11 @@ def _usable(v) -> F.Column:
     return v.isNotNull() & whole & F.exists(v, lambda x: x != 0)
 
 
+def _group() -> F.Column:
+    """A number for the label, whatever its kind."""
+    return F.xxhash64(F.col("label").cast("string"))
+
+
 def vector_classes(vectors: DataFrame) -> DataFrame:
     """One row for each distinct (label, embedding) that takes part: rep (smallest vec_id), copies, label, embedding, c."""
     taking = vectors.where(F.col("label").isNotNull() & _usable(F.col("embedding")))
@@ -88,7 +93,7 @@ def _keyed(classes: DataFrame, tables: int, probes: int, scale: float, seed: int
             yield pa.RecordBatch.from_arrays([rep, copies, label, lists, held], names=["rep", "copies", "label", "embedding", "keys"])
 
     kind = dict(classes.dtypes)["embedding"]
-    rows = classes.select("rep", "copies", F.col("label").cast("long").alias("label"), "embedding")
+    rows = classes.select("rep", "copies", _group().alias("label"), "embedding")
     return rows.mapInArrow(run, f"rep long, copies long, label long, embedding {kind}, keys array<long>")
 
 
@@ -172,9 +177,9 @@ def _links(keyed: DataFrame, tables: int, probes: int, least: float, block_rows:
                 is_edge = np.concatenate([np.r_[np.zeros(len(x), bool)] if k % 2 == 0 else np.ones(len(x), bool) for k, x in enumerate(a)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(b_all, mask=~is_edge), pa.array(np.concatenate(n))], names=["a", "b", "n"])
 
-    cells = keyed.select("rep", "copies", "label", "embedding", "keys", F.posexplode("keys").alias("place", "bucket"))
+    cells = keyed.select("rep", F.posexplode("keys").alias("place", "bucket"))
     cells = cells.withColumn("t", F.floor(F.col("place") / (1 + probes)).cast("int")).drop("place")
-    met = dealt_buckets(cells, "bucket", "rep", block_rows)
+    met = dealt_buckets(cells, "bucket", "rep", block_rows, payload=keyed.select("rep", "copies", "label", "embedding", "keys"))
     return met.select("task", "bucket", "t", "own_block", "block_a", "block_b", "rep", "copies", "label", "embedding", "keys").mapInArrow(run, "a long, b long, n long")
 
 
@@ -184,7 +189,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 6, probe
     Rows link when their labels are equal and the cosine is at least `least`; pairs are looked for in shared or
     neighbouring lattice cells of `tables` projections, then verified in double precision, so no pair below it links
     and recall follows from tables, probes and scale. Equal vectors of a label form one class, which counts its
-    copies. Vectors that are null, zero or hold null or non-finite components, and rows without label, link with
+    copies. Labels may be of any kind that has a text. Vectors that are null, zero or hold null or non-finite components, and rows without label, link with
     nothing. No rows give no rows; other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
@@ -199,7 +204,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 6, probe
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"),
     )
     taking = F.col("label").isNotNull() & _usable(F.col("embedding"))
-    keyed_rows = rows.select("vec_id", F.when(taking, F.col("label").cast("long")).alias("g"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
+    keyed_rows = rows.select("vec_id", F.when(taking, _group()).alias("g"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     out = keyed_rows.join(named, ["g", "h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
