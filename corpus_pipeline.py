@@ -30,15 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the smallest id; of repeated rows with that id one stays.
+    """The documents with the smallest id of each near-duplicate component, and those without an id.
 
-    Documents link by op6's fingerprints (four words, at most 4 differing bits) or by a five-word Jaccard of 0.8 or more.
+    Of rows that repeat an id and its text one stays, the smallest in the other columns; different texts under one id
+    all stay or go with it. Documents link by op6's fingerprints (four words, at most 4 differing bits) or by a five-word Jaccard of 0.8 or more.
     """
     slim = docs.select("doc_id", "text")
     close = near_duplicates(slim).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     gone = connected_components(close.union(jaccard_links(slim))).where("node <> component").select(F.col("node").alias("d"))
-    own = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("d"), "left_anti").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    own = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("d"), "left_anti")
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = own.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
