@@ -110,3 +110,58 @@ def block_reference(fo: DataFrame, runs: DataFrame, k: int) -> DataFrame:
     inside = each.withColumn("s", F.sum("fo").over(order)).withColumn("total", F.sum("fo").over(Window.partitionBy("season", "state"))).where(F.col("place") <= F.col("m") - k)
     gap = F.abs(F.col("s") / k - (F.col("total") - F.col("s")) / (F.col("m") - k))
     return inside.groupBy("season", F.col("place").alias("first")).agg(F.sum(gap).alias("l1"))
+
+
+def config_metrics(fits: DataFrame, n_dims: int, gap_weight: float = 0.5) -> DataFrame:
+    """One row a configuration (gamma, nc) of fits (gamma, nc, seed, train_ll, valid_ll, k_active, n_train): six scores, all
+    better when higher, their ranks (1 best, ties share the lower) and the mean rank.
+
+    The scores are the best seed's validation likelihood, a penalised training likelihood of a diagonal model, twice the
+    validation less the training likelihood, validation likelihood a state, and less a share of the gap; worst_seed is
+    the lowest validation likelihood.
+    """
+    pick = lambda by: F.min_by(F.struct("train_ll", "valid_ll", "k_active", "n_train"), F.struct(-F.col(by), F.col("seed")))
+    best = fits.groupBy("gamma", "nc").agg(pick("valid_ll").alias("v"), pick("train_ll").alias("t"), F.min("valid_ll").alias("worst_seed"), F.count(F.lit(1)).alias("n_seeds"))
+    k, n = F.col("t.k_active"), F.col("t.n_train")
+    n_params = 2 * k * n_dims + k * (k - 1) + (k - 1)
+    valid, train = F.col("v.valid_ll"), F.col("v.train_ll")
+    out = best.select(
+        "gamma", "nc", "n_seeds", F.col("v.k_active").alias("k_valid"), k.alias("k_train"), valid.alias("m1"), F.when(n > 1, F.col("t.train_ll") - n_params * F.ln(n) / (2 * n)).alias("m2"),
+        (2 * valid - train).alias("m3"), F.when(F.col("v.k_active") > 0, valid / F.col("v.k_active")).alias("m4"), (valid - gap_weight * (train - valid)).alias("m5"), F.col("worst_seed").alias("m6"),
+    )
+    ranks = [f"r{i}" for i in range(1, 7)]
+    for i in range(1, 7):
+        out = out.withColumn(f"r{i}", F.rank().over(Window.orderBy(F.desc_nulls_last(f"m{i}"))))  # one row a configuration
+    return out.withColumn("mean_rank", sum(F.col(r) for r in ranks) / 6)
+
+
+def marginal_gains(metrics: DataFrame) -> DataFrame:
+    """(gamma, nc_from, nc_to, delta_ll, delta_k, gain) between neighbouring sizes of each gamma; gain is null where no state is added."""
+    order = Window.partitionBy("gamma").orderBy("nc")
+    step = metrics.withColumn("nc_to", F.lead("nc").over(order)).withColumn("delta_ll", F.lead("m1").over(order) - F.col("m1")).withColumn("delta_k", F.lead("k_valid").over(order) - F.col("k_valid"))
+    return step.where("nc_to is not null").select("gamma", F.col("nc").alias("nc_from"), "nc_to", "delta_ll", "delta_k", F.when(F.col("delta_k") > 0, F.col("delta_ll") / F.col("delta_k")).alias("gain"))
+
+
+def transfer_r2(rows: DataFrame) -> DataFrame:
+    """(type, network, n, r2, r2_mean_corrected) of rows (type, network, x, recon): overall, by either and by both, null for all.
+
+    r2 holds the residuals against the deviations from the training mean, which is 0 here; the corrected one against
+    those from the rows' own mean. Null where nothing varies.
+    """
+    x, e = F.col("x"), F.col("x") - F.col("recon")
+    sums = rows.cube("type", "network").agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.sum(x * x).alias("sst"), F.sum("x").alias("s"))
+    own = F.col("sst") - F.col("s") * F.col("s") / F.col("n")
+    share = lambda total: F.when(total > 1e-12, 1 - F.col("sse") / total)
+    return sums.select("type", "network", "n", share(F.col("sst")).alias("r2"), share(own).alias("r2_mean_corrected"))
+
+
+def delta_matrices(long: DataFrame, weights: DataFrame) -> DataFrame:
+    """(state, i, j, delta): each state's matrix less the grand mean, weighted by (state, w)."""
+    grand = long.join(weights, "state").groupBy("i", "j").agg((F.sum(F.col("c") * F.col("w")) / F.sum("w")).alias("g"))
+    return long.join(grand, ["i", "j"]).select("state", "i", "j", (F.col("c") - F.col("g")).alias("delta"))
+
+
+def block_means(long: DataFrame, value: str, per: int) -> DataFrame:
+    """(state, a, b, mean): mean of a matrix's cells in each pair of groups of `per` neighbours."""
+    group = lambda c: F.floor(F.col(c) / per).cast("int")
+    return long.groupBy("state", group("i").alias("a"), group("j").alias("b")).agg(F.avg(value).alias("mean"))

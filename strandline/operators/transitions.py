@@ -126,3 +126,24 @@ def directed_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     total = F.sum("out")
     both = out.join(into, "label", "full").na.fill(0.0)
     return both.agg((F.sum("within") / total - F.sum(F.col("out") * F.col("into")) / (total * total)).alias("q"))
+
+
+def markov_order(changes: DataFrame, least: int = 10) -> DataFrame:
+    """(order, log_likelihood, n_params, n_obs, bic, aic) of the first and of a restricted second order, on the same trigrams.
+
+    The second order holds for contexts with `least` trigrams or more; the others fall back on the first.
+    """
+    by = Window.partitionBy("run").orderBy("pos")
+    rows = changes.select(F.col("state").alias("a"), F.lead("state", 1).over(by).alias("b"), F.lead("state", 2).over(by).alias("c"))
+    two = rows.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.sum("n").over(Window.partitionBy("a")))
+    first = two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.ln(F.col("n") / F.col("t")).alias("lp1"))
+    three = rows.where("c is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.sum("n").over(Window.partitionBy("a", "b")))
+    both = three.join(first, ["b", "c"]).withColumn("rich", F.col("t") >= least)
+    lp2 = F.when(F.col("rich"), F.ln(F.col("n") / F.col("t"))).otherwise(F.col("lp1"))
+    free = two.groupBy("a").agg((F.count(F.lit(1)) - 1).alias("k")).agg(F.sum("k").alias("k1"))
+    more = both.where("rich").groupBy("a", "b").agg((F.count(F.lit(1)) - 1).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k2"))
+    total = both.agg(F.sum(F.col("n") * F.col("lp1")).alias("l1"), F.sum(F.col("n") * lp2).alias("l2"), F.sum("n").alias("n_obs"))
+    one = total.join(F.broadcast(free)).join(F.broadcast(more))  # one row each
+    orders = F.array(F.struct(F.lit(1).alias("order"), F.col("l1").alias("log_likelihood"), F.col("k1").alias("n_params")), F.struct(F.lit(2).alias("order"), F.col("l2").alias("log_likelihood"), (F.col("k1") + F.col("k2")).alias("n_params")))
+    each = one.select("n_obs", F.explode(orders).alias("o")).select("o.*", "n_obs")
+    return each.withColumn("bic", -2 * F.col("log_likelihood") + F.col("n_params") * F.ln("n_obs")).withColumn("aic", -2 * F.col("log_likelihood") + 2 * F.col("n_params"))

@@ -508,6 +508,91 @@ def gr4(spark, d):
     return R.directed_modularity(R.graph_edges(_p(spark, d)), labels)
 
 
+_FITS = """
+ft as (select cast(l_linenumber % 3 as integer) as gamma, cast((l_suppkey % 4 + 1) * 10 as integer) as nc, cast(l_orderkey % 5 as integer) as seed, -avg(l_extendedprice::double) / 1e4 as train_ll, -avg(l_quantity::double) / 5 as valid_ll,
+  cast(count(distinct l_discount) as integer) as k_active, count(*) as n_train from lineitem group by 1, 2, 3),
+bv as (select * from (select *, row_number() over (partition by gamma, nc order by valid_ll desc, seed) as k, count(*) over (partition by gamma, nc) as n_seeds, min(valid_ll) over (partition by gamma, nc) as worst from ft) where k = 1),
+bt as (select * from (select *, row_number() over (partition by gamma, nc order by train_ll desc, seed) as k from ft) where k = 1),
+mt as (select v.gamma, v.nc, n_seeds, v.k_active as k_valid, t.k_active as k_train, v.valid_ll as m1, case when t.n_train > 1 then t.train_ll - (2 * t.k_active * 8 + t.k_active * (t.k_active - 1) + t.k_active - 1) * ln(t.n_train) / (2 * t.n_train) end as m2,
+  2 * v.valid_ll - v.train_ll as m3, v.valid_ll / v.k_active as m4, v.valid_ll - 0.5::double * (v.train_ll - v.valid_ll) as m5, worst as m6 from bv v join bt t on t.gamma = v.gamma and t.nc = v.nc)"""
+
+
+@_query(
+    "ag26_config_metrics",
+    f"""with {_FITS}, rk as (select *, {', '.join(f'rank() over (order by m{i} desc nulls last) as r{i}' for i in range(1, 7))} from mt) select *, (r1 + r2 + r3 + r4 + r5 + r6)::double / 6 as mean_rank from rk""",
+)
+def ag26(spark, d):
+    return W.config_metrics(D.fits(spark, d), 8)
+
+
+@_query(
+    "ag26_marginal_gains",
+    f"""with {_FITS}, s as (select gamma, nc as nc_from, lead(nc) over w as nc_to, lead(m1) over w - m1 as delta_ll, lead(k_valid) over w - k_valid as delta_k from mt window w as (partition by gamma order by nc))
+    select *, case when delta_k > 0 then delta_ll / delta_k end as gain from s where nc_to is not null""",
+)
+def ag26b(spark, d):
+    return W.marginal_gains(W.config_metrics(D.fits(spark, d), 8))
+
+
+@_query("top4_two_stages", f"with {_FITS}, o as (select * from mt where nc = (select nc from mt order by m1 desc, nc, gamma limit 1)) select gamma, nc, m2 from o order by m2 desc, gamma limit 1")
+def top4(spark, d):
+    metrics = W.config_metrics(D.fits(spark, d), 8)
+    size = W.best_cell(metrics.withColumn("all", F.lit(0)), "m1", ("nc", "gamma"), (), ("all",)).select("nc")
+    return W.best_cell(J.also_in(metrics, size, "nc"), "m2", ("gamma",), (), ("nc",)).select("gamma", "nc", "m2")
+
+
+@_query(
+    "ag22_transfer_r2",
+    f"""with {_SIGNAL}, {_RUNS}, x as (select part as type, tr % 3 as network, x - 50 as x, avg(x - 50) over (partition by run, tr % 5) as recon from sg join rn using (run)),
+    s as (select type, network, count(*) as n, sum((x - recon) * (x - recon)) as sse, sum(x * x) as sst, sum(x) as s from x group by cube (type, network))
+    select type, network, n, case when sst > 1e-12 then 1 - sse / sst end as r2, case when sst - s * s / n > 1e-12 then 1 - sse / (sst - s * s / n) end as r2_mean_corrected from s""",
+)
+def ag22(spark, d):
+    x = D.with_run_fields(_signal(spark, d)).withColumn("x", F.col("x") - 50)
+    recon = F.avg("x").over(Window.partitionBy("run", F.col("tr") % 5))
+    return W.transfer_r2(x.select(F.col("part").alias("type"), (F.col("tr") % 3).alias("network"), "x", recon.alias("recon")))
+
+
+_DELTA = _OUTER + ", wt as (select label as state, count(*)::double as w from embeddings where label is not null group by label), gm as (select i, j, sum(c * w) / sum(w) as g from mx join wt using (state) group by i, j), dl as (select state, mx.i, mx.j, c - g as delta from mx join gm on gm.i = mx.i and gm.j = mx.j)"
+
+
+def _delta(spark, d):
+    means = D.state_means(spark, d).where("dim < 8")
+    other = means.select("state", F.col("dim").alias("j"), F.col("mean").alias("other"))
+    long = means.join(other, "state").select("state", F.col("dim").alias("i"), "j", (F.col("mean") * F.col("other")).alias("c"))
+    weights = D.table(spark, d, "embeddings").where("label is not null").groupBy(F.col("label").alias("state")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return W.delta_matrices(long, weights)
+
+
+@_query("ag18_delta_matrices", f"with {_DELTA} select * from dl where state is not null")
+def ag18(spark, d):
+    return _delta(spark, d)
+
+
+@_query("ag19_block_deltas", f"with {_DELTA} select state, cast(i // 4 as integer) as a, cast(j // 4 as integer) as b, avg(delta) as mean from dl group by 1, 2, 3")
+def ag19(spark, d):
+    return W.block_means(_delta(spark, d), "delta", 4)
+
+
+@_query("ag19_top_pairs", f"with {_DELTA}, r as (select *, row_number() over (partition by state order by abs(delta) desc, i * 100 + j) as rank from dl where i < j) select state, i, j, delta, rank from r where rank <= 3")
+def ag19b(spark, d):
+    rows = _delta(spark, d).where("i < j").withColumn("size", F.abs("delta")).withColumn("place", F.col("i") * 100 + F.col("j"))
+    return W.top_n(rows, "size", 3, "place", ("state",)).select("state", "i", "j", "delta", "rank")
+
+
+@_query(
+    "st20_markov_order",
+    f"""with {_CHANGES}, g as (select state as a, lead(state, 1) over w as b, lead(state, 2) over w as c from cs window w as (partition by run order by pos)),
+    tw as (select a, b, count(*) as n, sum(count(*)) over (partition by a) as t from g where b is not null group by a, b), th as (select a, b, c, count(*) as n, sum(count(*)) over (partition by a, b) as t from g where c is not null group by a, b, c),
+    bo as (select th.*, ln(tw.n::double / tw.t) as lp1, th.t >= 10 as rich from th join tw on tw.a = th.b and tw.b = th.c), k1 as (select sum(k) as k1 from (select count(*) - 1 as k from tw group by a)), k2 as (select coalesce(sum(k), 0) as k2 from (select count(*) - 1 as k from bo where rich group by a, b)),
+    tt as (select sum(n * lp1) as l1, sum(n * case when rich then ln(n::double / t) else lp1 end) as l2, sum(n) as n_obs from bo),
+    o as (select 1 as "order", l1 as log_likelihood, cast(k1 as bigint) as n_params, cast(n_obs as bigint) as n_obs from tt, k1 union all select 2, l2, cast(k1 + k2 as bigint), cast(n_obs as bigint) from tt, k1, k2)
+    select *, -2 * log_likelihood + n_params * ln(n_obs) as bic, -2 * log_likelihood + 2 * n_params as aic from o""",
+)
+def st20(spark, d):
+    return R.markov_order(_changes(spark, d))
+
+
 # ids
 
 

@@ -57,3 +57,15 @@ def vectors_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(state, dim, mean, var): mean and population variance of the vectors of each label."""
     return vectors_long(spark, sf_dir).groupBy(F.col("label").alias("state"), "dim").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+
+
+def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gamma, nc, seed, train_ll, valid_ll, k_active, n_train): a table of model fits, one a cell of shipments."""
+    rows = table(spark, sf_dir, "lineitem")
+    cell = rows.groupBy(
+        (F.col("l_linenumber") % 3).cast("int").alias("gamma"), ((F.col("l_suppkey") % 4 + 1) * 10).cast("int").alias("nc"), (F.col("l_orderkey") % 5).cast("int").alias("seed")
+    )
+    return cell.agg(
+        (-F.avg(F.col("l_extendedprice").cast("double")) / 1e4).alias("train_ll"), (-F.avg(F.col("l_quantity").cast("double")) / 5).alias("valid_ll"),
+        F.countDistinct("l_discount").cast("int").alias("k_active"), F.count(F.lit(1)).alias("n_train"),
+    )
