@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import ids
 from strandline.operators import blocks as B
+from strandline.operators import decoding as M
 from strandline.operators import joins as J
+from strandline.operators import matching as G
 from strandline.operators import occupancy as O
 from strandline.operators import profiles as W
 from strandline.operators import projections as Z
@@ -628,6 +631,38 @@ def rid8(spark, d):
     return _fo(spark, d).select("run", "state", Z.finite(odd).alias("v"))
 
 
+# models (no SQL: paths and assignments are tested against enumeration)
+
+
+def _levels_model() -> M.GaussianModel:
+    """Five sticky levels of the signal."""
+    stay = np.full((5, 5), 0.1) + 0.5 * np.eye(5)
+    return M.GaussianModel(np.full(5, 0.2), stay, np.arange(10.0, 100.0, 20.0)[:, None], np.full((5, 1), 200.0))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return _signal(spark, d).select("run", "tr", F.array("x").alias("features"))
+
+
+@_query("ml3_decoded_levels")
+def ml3(spark, d):
+    return M.decoded(_features(spark, d), _levels_model())
+
+
+@_query("ml2_posteriors")
+def ml2(spark, d):
+    return M.scored(_features(spark, d), _levels_model())
+
+
+@_query("jn8_assignment")
+def jn8(spark, d):
+    """States of the even against states of the odd vectors, one to one by the correlation of their means."""
+    rows = D.vectors_long(spark, d).where("label is not null")
+    half = lambda k, name: rows.where(F.col("vec_id") % 2 == k).groupBy(F.col("label").alias(name), "dim").agg(F.avg("x").alias(f"x{k}"))
+    r = half(0, "a").join(half(1, "b"), "dim").groupBy("a", "b").agg(F.corr("x0", "x1").alias("r"))
+    return G.matched(r.withColumn("pair", F.lit("halves")), "pair")
+
+
 # splits
 
 
