@@ -22,6 +22,30 @@ def test_ids(name):
         assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts(name):
+    """Words, marks, white space and letters of many kinds in random order, also after the word table was trimmed."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from strandline.llm import tokens
+
+    pick = random.Random(12)
+    units = ["the", "The", "THE", "don't", "it's", "I'LL", "x1", "1234", "é", "Élan", "straße", "İstanbul", "ﬁn", "日本", "🙂", "a\u0301", "...", "?!", "%%%", "-", "_", "'", "''", "\u00a0", "\u2003", "\t", "\n", "\n\n", " ", "  ", "\r", "\0", "<|", "word", "ñandú", "Ǆ", "ǅ", "ª", "²", "½", "'s", ",", "."]
+    texts = ["".join(pick.choice(units) + pick.choice(["", " ", " ", "\n"]) for _ in range(pick.randrange(1, 40))) for _ in range(4000)]
+    library = Tokenizer.from_file(vocabulary_path(name))
+    table = tokens._words(vocabulary_path(name))
+    for turn in range(2):
+        for s in range(0, len(texts), 500):
+            part = texts[s : s + 500]
+            ids, n = encode(part, vocabulary_path(name))
+            for text, got in zip(part, np.split(ids, np.cumsum(n)[:-1])):
+                assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], repr(text)
+            if turn:
+                table.trim()
+
+
 def test_lengths(spark):
     from tokenizers import Tokenizer
 

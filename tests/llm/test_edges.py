@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
+from test_near_stage import near_pairs, shingles  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from strandline.llm import chat, codec, components, lattice, licenses, mixing, packing, simhash, suffixes, topk, toxicity  # noqa: E402
 from strandline.llm.common import work_path  # noqa: E402
@@ -211,6 +213,8 @@ def test_vectors(spark):
     assert len(got) == len(rows) and {r["n_links"] for r in got if r["vec_id"] in (0, 20)} == {2}
     assert all(r["n_links"] == 0 for r in got if r["vec_id"] in (40, 3, 4, 5, 6))
     assert lattice.near_vectors(df.limit(0)).count() == 0
+    named = lattice.near_vectors(df.withColumn("label", F.concat(F.lit("kind "), F.col("label").cast("string")))).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in named) == sorted((r["vec_id"], r["n_links"]) for r in got)
     q = topk.quantised(df)
     best = topk.exact_topk(q, q.where("vec_id % 20 = 0"), k=3)
     assert {r["query_id"] for r in best.collect()} == {0, 20}
@@ -276,6 +280,20 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100}
 
 
+def test_stages_on_odd_rows(spark, odd, labels, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and ids, and on no rows; two texts under one id both stay."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd.select(*corpus_pipeline.COLUMNS).union(spark.createDataFrame([(4, "another text under one id", "en", "s1", 25)], "doc_id long, text string, lang string, source string, n_chars long"))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, str(tmp_path))
+        assert name == "best_fit_packing" or made.columns == corpus_pipeline.COLUMNS
+        rows = made.collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "simhash_near_dedup":
+            kept = sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in rows)
+            assert kept == [(0, 23), (1, 0), (4, 7), (4, 25), (5, len(LONG)), (8, len(TEXTS[8][1])), (9, 5000)]
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage against its plain version on the rows that the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -286,9 +304,12 @@ def test_pipeline_stages(spark, sf_dir):
     one = stage["toxicity"](spark, docs, sf_dir)
     assert one.columns == corpus_pipeline.COLUMNS
     assert {r[0] for r in one.select("doc_id").collect()} == {r[0] for r in judged.where("predicted = 0").select("doc_id").collect()}
-    want = brute.simhash_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    rows = sorted(tuple(r) for r in docs.select("doc_id", "text").collect())
+    place = {d: i for i, (d, _) in enumerate(rows)}
+    bits = [(place[c], place[d]) for d, (_, c) in brute.simhash_components(rows).items()]
+    low = brute.components(len(rows), bits + near_pairs([shingles(t) for _, t in rows]))  # the stage's rule: 4 bits, or five words at 0.8
     two = stage["simhash_near_dedup"](spark, docs, sf_dir)
-    assert {r[0] for r in two.select("doc_id").collect()} == {d for d, (_, c) in want.items() if d == c}
+    assert {r[0] for r in two.select("doc_id").collect()} == {rows[i][0] for i, c in enumerate(low) if i == c}
     three = stage["suffix_array_dedup"](spark, two, sf_dir)
     held = two.select("doc_id", "text").collect()
     left = {r[0]: w for r, w in zip(held, brute.repeats([r[1] for r in held]))}
