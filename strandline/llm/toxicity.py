@@ -24,7 +24,7 @@ from strandline.llm.common import row_chunks, table, text_or_empty, written
 BITS = 18
 REACH = 3  # a subsequence's next character lies at most so far on: two inserted characters pass
 DECAY = 0.6
-LONGEST, OVERLAP = 160, 24  # a longer sentence is read in overlapping windows
+LONGEST, OVERLAP = 48, 20  # a longer sentence is read in overlapping windows
 EDGE = ".,;:!?\"'()[]{}<>*_~`«»“”„¡¿…-%&#$"
 THRESHOLD = 0.3
 SHARES = 1 << 20
