@@ -167,10 +167,10 @@ def _nothing(shift: float) -> Model:
     return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, shift)
 
 
-def _svm(x: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
+def _svm(x: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 40, part_rows: int = 256) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps on the margin violators; the last weight is the offset.
 
-    The rows of `x` come in parts, which become doubles one at a time.
+    The rows of `x` come in parts, of which `part_rows` become doubles at a time.
     """
     size = x[0].shape[1] + 1
     w, ridge = np.zeros(size), np.eye(size)
@@ -178,7 +178,7 @@ def _svm(x: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 40)
     for _ in range(rounds):
         square, right = ridge.copy(), np.zeros(size)
         s = 0
-        for part in x:
+        for part in (p[i : i + part_rows] for p in x for i in range(0, len(p), part_rows)):
             here, s = slice(s, s + len(part)), s + len(part)
             own = np.c_[part.astype(np.float64), np.ones(len(part))]
             active = y[here] * (own @ w) < 1
@@ -205,7 +205,7 @@ def _variants(lines: list[str], telling: list[str]) -> list[str]:
 
 
 def _fit(spark: SparkSession, positive: list[str], changed: list[str], negative: list[str], landmarks: list[str]) -> Model:
-    """The machine on Nyström features of the landmarks; kernel values come from tasks, a row a training sentence."""
+    """The machine on Nyström features of the landmarks, which come from tasks as half-precision numbers, a row a training sentence."""
     own = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     keep = value > 1e-5 * value.max()
@@ -213,18 +213,19 @@ def _fit(spark: SparkSession, positive: list[str], changed: list[str], negative:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches, 2048):
-            x = kernel(batch.column(1).to_pylist(), landmarks) @ half
+            x = (kernel(batch.column(1).to_pylist(), landmarks) @ half).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["n", "x"])
 
     lines = positive + changed + negative
     frame = spark.createDataFrame(pa.table({"n": np.arange(len(lines)), "line": lines})).repartition(max(2, spark.sparkContext.defaultParallelism), "n")
     rows = frame.mapInArrow(run, "n long, x binary").toArrow()
     n = rows.column("n").to_numpy()
-    x = [np.frombuffer(c.buffers()[2], np.float32, len(c) * half.shape[1]).reshape(len(c), -1) for c in rows.column("x").chunks if len(c)]
+    x = [np.frombuffer(c.buffers()[2], np.float16, len(c) * half.shape[1]).reshape(len(c), -1) for c in rows.column("x").chunks if len(c)]
     y = np.r_[np.ones(len(positive) + len(changed)), -np.ones(len(negative))]
     lift = max(1.0, len(negative) / len(positive)) / 4
     cost = np.r_[np.full(len(positive), 10.0 * lift), np.full(len(changed), 2.5 * lift), np.full(len(negative), 10.0)]
     found = _svm(x, y[n], cost[n])
+    del rows, x
     s, b, w = features(landmarks)
     return Model(np.bincount(b, (half @ found[:-1])[s] * w, 1 << BITS).astype(np.float32), float(found[-1]), 1.0, 0.0)
 
@@ -288,7 +289,7 @@ def _line_margins(lines: DataFrame, model: Model) -> DataFrame:
     return lines.select("line").mapInArrow(run, "line string, margin double")
 
 
-def train(documents: DataFrame, labels: DataFrame, label_rows: int = 20000, sentence_rows: int = 6000, n_landmarks: int = 800, rounds: int = 5) -> Model:
+def train(documents: DataFrame, labels: DataFrame, label_rows: int = 20000, sentence_rows: int = 5000, n_landmarks: int = 800, rounds: int = 5) -> Model:
     """Fit on labelled rows that are not held out: about `label_rows` of each label, by a hash of the id.
 
     Four fifths of them give sentences, at most about `sentence_rows` of either label, by hash; in each round the clean
