@@ -108,3 +108,32 @@ def adjusted_rand(labels: DataFrame) -> DataFrame:
     chance = F.col("su") * F.col("sv") / (F.col("n") * (F.col("n") - 1) / 2.0)
     low = (F.col("su") + F.col("sv")) / 2 - chance
     return every.select(F.when(low != 0, (F.col("s") - chance) / low).otherwise(1.0).alias("ari"))
+
+
+def shrunk_correlations(rows: DataFrame, reliable: int = 30) -> DataFrame:
+    """(state, i, j, r, shrinkage, n, reliable) for i <= j of rows (state, obs, dim, x): correlations of each state's
+    covariance, drawn by Ledoit and Wolf's share towards equal variances.
+
+    Two sums over rows serve, the products of two dimensions and the fourth power of each row's length; no state's rows
+    meet in one task. A state of one row has the identity; reliable: it has `reliable` rows or more.
+    """
+    mean = rows.groupBy("state", "dim").agg(F.avg("x").alias("m"))
+    centred = rows.join(mean, ["state", "dim"]).select("state", "obs", "dim", (F.col("x") - F.col("m")).alias("x"))
+    whole = centred.groupBy("state", "obs").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"), F.sum(F.col("x") * F.col("x")).alias("s"))
+    size = whole.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s") * F.col("s")).alias("fourth"), F.sum("s").alias("trace"), F.max(F.size("v")).alias("p"))
+    left = whole.select("state", "v", F.explode("v").alias("a"))
+    pairs = left.select("state", "a", F.explode("v").alias("b")).where("a.dim <= b.dim")
+    cov = pairs.groupBy("state", F.col("a.dim").alias("i"), F.col("b.dim").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("c")).join(size, "state").withColumn("c", F.col("c") / F.col("n"))
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    norm = cov.groupBy("state").agg(F.sum(F.col("c") * F.col("c") * twice).alias("square"))
+    n, p, mu = F.col("n"), F.col("p"), F.col("trace") / F.col("n") / F.col("p")
+    delta = (F.col("square") - p * mu * mu) / p
+    beta = F.least(delta, (F.col("fourth") / n - F.col("square")) / (p * n))
+    share = F.when(n < 2, 1.0).when(delta <= 1e-18, 0.0).otherwise(F.greatest(F.lit(0.0), beta) / delta)
+    drawn = cov.join(norm, "state").withColumn("mu", mu).withColumn("shrinkage", share)
+    drawn = drawn.withColumn("c", (1 - F.col("shrinkage")) * F.col("c") + F.when(F.col("i") == F.col("j"), F.col("shrinkage") * F.col("mu")).otherwise(0.0))
+    own = drawn.where("i = j").select("state", F.col("i").alias("k"), F.col("c").alias("v"))
+    both = drawn.join(own.select("state", F.col("k").alias("i"), F.col("v").alias("vi")), ["state", "i"]).join(own.select("state", F.col("k").alias("j"), F.col("v").alias("vj")), ["state", "j"])
+    low = F.sqrt(F.col("vi") * F.col("vj"))
+    r = F.when(F.col("i") == F.col("j"), 1.0).when(low > 1e-18, F.col("c") / low).otherwise(0.0)
+    return both.select("state", "i", "j", r.alias("r"), "shrinkage", "n", (n >= reliable).alias("reliable"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,10 @@ def exit_counts(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("next", after).groupBy("state").agg(F.count("next").alias("n_exits"))
 
 
-def reliable_states(states: DataFrame, blocks: DataFrame, least_trs: int = 30, least_exits: int = 20) -> DataFrame:
+def reliable_states(states: DataFrame, blocks: DataFrame, least_trs: int = 30, least_exits: int = 20, excluded: DataFrame | None = None) -> DataFrame:
+    """(state, n_trs, n_exits) of the states with enough TRs and exits that are not in `excluded` (state)."""
+    if excluded is not None:
+        states = states.join(excluded.select("state"), "state", "left_anti")
     trs = states.groupBy("state").agg(F.count(F.lit(1)).alias("n_trs"))
     return trs.join(exit_counts(blocks), "state").where((F.col("n_trs") >= least_trs) & (F.col("n_exits") >= least_exits))
 
@@ -147,3 +151,31 @@ def markov_order(changes: DataFrame, least: int = 10) -> DataFrame:
     orders = F.array(F.struct(F.lit(1).alias("order"), F.col("l1").alias("log_likelihood"), F.col("k1").alias("n_params")), F.struct(F.lit(2).alias("order"), F.col("l2").alias("log_likelihood"), (F.col("k1") + F.col("k2")).alias("n_params")))
     each = one.select("n_obs", F.explode(orders).alias("o")).select("o.*", "n_obs")
     return each.withColumn("bic", -2 * F.col("log_likelihood") + F.col("n_params") * F.ln("n_obs")).withColumn("aic", -2 * F.col("log_likelihood") + 2 * F.col("n_params"))
+
+
+def first_passage(p: DataFrame) -> DataFrame:
+    """(i, j, steps): mean steps from state i to state j in the largest set of states that all reach each other, with the
+    rows scaled to it. A table of at most a hundred states is solved on the driver; ties take the set of the smallest state.
+    """
+    rows = p.where("p > 0").select("i", "j", "p").collect()  # a row a pair of states
+    states = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
+    place = {s: k for k, s in enumerate(states)}
+    table = np.zeros((len(states), len(states)))
+    for r in rows:
+        table[place[r["i"]], place[r["j"]]] = r["p"]
+    reach = (table > 0) | np.eye(len(states), dtype=bool)
+    for _ in range(max(1, len(states).bit_length())):
+        reach = (reach.astype(np.int64) @ reach.astype(np.int64)) > 0
+    mutual = reach & reach.T
+    best = int(mutual.sum(axis=1).argmax()) if states else 0
+    kept = np.flatnonzero(mutual[best]) if states else np.zeros(0, int)
+    inside = table[np.ix_(kept, kept)]
+    total = inside.sum(axis=1, keepdims=True)
+    inside = np.divide(inside, total, out=np.zeros_like(inside), where=total > 0)
+    out = []
+    for j in range(len(kept)):
+        others = np.delete(np.arange(len(kept)), j)
+        if len(others):
+            steps = np.linalg.solve(np.eye(len(others)) - inside[np.ix_(others, others)], np.ones(len(others)))
+            out += [(int(states[kept[i]]), int(states[kept[j]]), float(s)) for i, s in zip(others, steps)]
+    return p.sparkSession.createDataFrame(out, "i int, j int, steps double")

@@ -511,6 +511,26 @@ def gr4(spark, d):
     return R.directed_modularity(R.graph_edges(_p(spark, d)), labels)
 
 
+@_query(
+    "ag17_shrunk_correlations",
+    f"""with {_MEANS}, ro as (select label as state, vec_id as obs, unnest(range(6)) as dim, unnest(embedding[1:6])::double as x from embeddings where label is not null), mn as (select state, dim, avg(x) as m from ro group by state, dim),
+    ce as (select ro.state, obs, ro.dim, x - m as x from ro join mn on mn.state = ro.state and mn.dim = ro.dim), rl as (select state, obs, sum(x * x) as s from ce group by state, obs), sz as (select state, count(*) as n, sum(s * s) as fourth, sum(s) as trace from rl group by state),
+    cv as (select a.state, a.dim as i, b.dim as j, sum(a.x * b.x) / any_value(n) as c from ce a join ce b on a.state = b.state and a.obs = b.obs and a.dim <= b.dim join sz on sz.state = a.state group by a.state, a.dim, b.dim),
+    sq as (select state, sum(c * c * case when i = j then 1 else 2 end) as square from cv group by state), dl as (select state, n, trace / n / 6 as mu, (square - 6 * (trace / n / 6) * (trace / n / 6)) / 6 as delta, (fourth / n - square) / (6 * n) as beta from sz join sq using (state)),
+    sh as (select *, case when n < 2 then 1.0 when delta <= 1e-18 then 0.0 else greatest(0.0, least(delta, beta)) / delta end as shrinkage from dl), dr as (select cv.state, i, j, n, shrinkage, (1 - shrinkage) * c + case when i = j then shrinkage * mu else 0 end as c from cv join sh on sh.state = cv.state)
+    select d.state, cast(d.i as integer) as i, cast(d.j as integer) as j, case when d.i = d.j then 1.0::double when sqrt(a.c * b.c) > 1e-18 then d.c / sqrt(a.c * b.c) else 0 end as r, d.shrinkage, d.n, d.n >= 30 as reliable
+    from dr d join dr a on a.state = d.state and a.i = d.i and a.j = d.i join dr b on b.state = d.state and b.i = d.j and b.j = d.j""",
+)
+def ag17(spark, d):
+    rows = D.vectors_long(spark, d).where("label is not null and dim < 6")
+    return S.shrunk_correlations(rows.select(F.col("label").alias("state"), F.col("vec_id").alias("obs"), "dim", "x"))
+
+
+@_query("la6_first_passage")
+def la6(spark, d):
+    return R.first_passage(_p(spark, d))
+
+
 _FITS = """
 ft as (select cast(l_linenumber % 3 as integer) as gamma, cast((l_suppkey % 4 + 1) * 10 as integer) as nc, cast(l_orderkey % 5 as integer) as seed, -avg(l_extendedprice::double) / 1e4 as train_ll, -avg(l_quantity::double) / 5 as valid_ll,
   cast(count(distinct l_discount) as integer) as k_active, count(*) as n_train from lineitem group by 1, 2, 3),

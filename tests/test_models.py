@@ -125,3 +125,48 @@ def test_modularity_of_two_blocks(spark):
     edges = table(spark, [(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "i int, j int, p double")
     labels = table(spark, [(0, 0), (1, 0), (2, 1), (3, 1)], "state int, label int")
     assert transitions.directed_modularity(edges, labels).first()["q"] == pytest.approx(0.5)
+
+
+def test_first_passage(spark):
+    """Against the expected steps of a walk, by long sums; states outside the largest set are left out."""
+    rows = [(0, 0, 0.5), (0, 1, 0.5), (1, 2, 1.0), (2, 0, 0.3), (2, 1, 0.6), (2, 9, 0.1), (9, 9, 1.0)]
+    got = {(r["i"], r["j"]): r["steps"] for r in transitions.first_passage(table(spark, rows, "i int, j int, p double")).collect()}
+    p = np.array([[0.5, 0.5, 0], [0, 0, 1], [1 / 3, 2 / 3, 0]])
+    for j in range(3):
+        for i in range(3):
+            if i != j:
+                at, want = np.eye(3)[i], 0.0
+                for _ in range(2000):
+                    want += at.sum()
+                    at = at @ p
+                    at[j] = 0
+                assert got[i, j] == pytest.approx(want)
+    assert len(got) == 6 and transitions.first_passage(table(spark, [], "i int, j int, p double")).count() == 0
+
+
+def test_reliable_states_without_excluded(spark):
+    states = table(spark, [(r, t, t % 2) for r in range(30) for t in range(4)], "run long, tr int, state int")
+    every = blocks.state_blocks(states)
+    assert {r["state"] for r in transitions.reliable_states(states, every).collect()} == {0, 1}
+    assert {r["state"] for r in transitions.reliable_states(states, every, excluded=table(spark, [(1,)], "state int")).collect()} == {0}
+
+
+def test_shrunk_correlations(spark):
+    from strandline.operators import similarity
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 3))
+    rows = [(0, n, d, float(v)) for n, row in enumerate(x) for d, v in enumerate(row)] + [(1, 99, d, 1.0) for d in range(3)]
+    got = {(r["state"], r["i"], r["j"]): r for r in similarity.shrunk_correlations(table(spark, rows, "state int, obs long, dim int, x double")).collect()}
+    c = x - x.mean(axis=0)
+    cov, mu = c.T @ c / 40, np.trace(c.T @ c / 40) / 3
+    spread = sum(np.linalg.norm(np.outer(r, r) - cov) ** 2 for r in c) / 40**2 / 3
+    apart = np.linalg.norm(cov - mu * np.eye(3)) ** 2 / 3
+    s = min(spread, apart) / apart
+    want = (1 - s) * cov + s * mu * np.eye(3)
+    for (state, i, j), r in got.items():
+        if state == 0:
+            assert r["shrinkage"] == pytest.approx(s) and r["r"] == pytest.approx(want[i, j] / math.sqrt(want[i, i] * want[j, j])) and r["reliable"]
+        else:
+            assert r["r"] == (1.0 if i == j else 0.0) and not r["reliable"]
+    assert len(got) == 12
