@@ -12,6 +12,7 @@ from strandline.llm.simhash import op6_simhash_near_dedup
 from strandline.llm.suffixes import op10_suffix_array_dedup
 from strandline.llm.topk import op4_exact_topk
 from strandline.llm.toxicity import op7_string_kernel_toxicity
+from strandline.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_lattice_near_dedup": op9_lattice_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
