@@ -123,7 +123,7 @@ FOUND = "entities array<string>, base array<struct<start:int,kind:int,end:int>>,
 
 def _found(documents: DataFrame, carry: tuple[str, ...], window: int) -> DataFrame:
     """Rows of the documents, each with a number of its own, and what their texts mention; written."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry if c != "text"])
     kept = [c for c in docs.columns if c != "text" or "text" in carry]
     types = dict(docs.dtypes)
 
@@ -178,8 +178,15 @@ def personal_data(documents: DataFrame, carry: tuple[str, ...] = (), window: int
 
     A term that gives away an entity of its document is marked wherever it stands in it, with its largest share; base
     spans have share 1. Null and empty texts have no spans; ties and repeated rows are rows of their own, which count
-    each as a document; an empty table gives no rows. Other columns are not read unless carried, under their own names.
+    each as a document; an empty table gives no rows. Other columns are not read unless carried, under their own names;
+    base and spans cannot be carried.
     """
+    judged = _judged(documents, carry, window, least_meetings, generalise)
+    return judged.select("doc_id", "base", "spans", *[F.col("text" if c == "text" else f"carry_{c}").alias(c) for c in carry])
+
+
+def _judged(documents: DataFrame, carry: tuple[str, ...], window: int, least_meetings: int, generalise: float) -> DataFrame:
+    """`personal_data` with carried columns named carry_<name>, but for text."""
     found = _found(documents, carry, window)
     told = written(disclosures(found, documents, least_meetings, generalise), "pii-disclosures")
     met = found.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term")
@@ -190,8 +197,7 @@ def personal_data(documents: DataFrame, carry: tuple[str, ...] = (), window: int
     marked = F.filter(F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), p["end"].alias("end"), F.col("given")[p["term"]].alias("share"))), lambda s: s["share"].isNotNull())
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("share")))
     spans = F.array_sort(F.concat(base, F.coalesce(marked, F.array().cast("array<struct<start:int,kind:int,end:int,share:double>>"))))
-    text = ["text"] if "text" in carry else []
-    return whole.select("doc_id", base.alias("base"), spans.alias("spans"), *text, *[F.col(f"carry_{c}").alias(c) for c in carry if c != "text"])
+    return whole.select("doc_id", base.alias("base"), spans.alias("spans"), *["text" if c == "text" else f"carry_{c}" for c in carry])
 
 
 def sanitised(documents: DataFrame, carry: tuple[str, ...] = (), window: int = 8, least_meetings: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -200,17 +206,17 @@ def sanitised(documents: DataFrame, carry: tuple[str, ...] = (), window: int = 8
 
     Of overlapping spans the first, then the longest, is replaced, and what a later one covers beyond it goes as well.
     """
-    judged = personal_data(documents, ("text", *[c for c in carry if c != "text"]), window, least_meetings, generalise)
+    judged = _judged(documents, ("text", *[c for c in carry if c != "text"]), window, least_meetings, generalise)
     at = {c: i for i, c in enumerate(judged.columns)}
-    rest = [c for c in judged.columns if c not in ("doc_id", "base", "spans", "text")]
+    rest = [c for c in judged.columns if c.startswith("carry_")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_chunks(batches, 1024):
             texts = [replaced(t, [(s["start"], s["kind"], s["end"], s["share"]) for s in spans], remove) for t, spans in zip(part.column(at["text"]).to_pylist(), part.column(at["spans"]).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(at["doc_id"]), pa.array(texts, pa.string()), *(part.column(at[c]) for c in rest)], names=["doc_id", "text", *rest])
+            yield pa.RecordBatch.from_arrays([part.column(at["doc_id"]), pa.array(texts, pa.string()), *(part.column(at[c]) for c in rest)], names=["doc_id", "text", *[c[6:] for c in rest]])
 
     types = dict(judged.dtypes)
-    return judged.mapInArrow(run, ", ".join(["doc_id long", "text string", *[f"`{c}` {types[c]}" for c in rest]]))
+    return judged.mapInArrow(run, ", ".join(["doc_id long", "text string", *[f"`{c[6:]}` {types[c]}" for c in rest]]))
 
 
 def replaced(text: str, spans: list[tuple[int, int, int, float]], remove: float = 0.95) -> str:
