@@ -26,7 +26,6 @@ from strandline.llm.trie import split_join
 #: Kinds in the order of the base spans; terms that the corpus gives away come last.
 KINDS = ("email", "ip", "card", "phone", "term")
 
-LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -161,10 +160,10 @@ def disclosures(found: DataFrame, documents: DataFrame, least_meetings: int = 2,
     lower = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(JAVA_WORD), 0))).alias("term"))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    frequent = meetings.select("term").distinct().join(counts, "term")
     total = meetings.count()
     uses = meetings.groupBy("term").agg(F.count(F.lit(1)).alias("uses_t"))
-    known = split_join(meetings, frequent.join(uses, "term"), ["term"], F.col("uses_t") * 1000 > total)
+    frequent = written(uses.join(counts, "term"), "pii-terms")
+    known = split_join(meetings, frequent, ["term"], F.col("uses_t") * 1000 > total)
     of_entity = meetings.groupBy("entity").agg(F.count(F.lit(1)).alias("uses_e"))
     known = split_join(known, entities.join(of_entity, "entity"), ["entity"], F.col("uses_e") * 1000 > total)
     content = F.log(F.lit(float(n)) / F.col("df_e"))
