@@ -16,7 +16,7 @@ TINY = 1e-10
 
 @dataclass
 class GaussianModel:
-    """start (K,), transitions (K, K), means (K, D) and diagonal variances (K, D)."""
+    """start (K,), transitions (K, K), means (K, D) and variances: diagonals (K, D) or whole covariances (K, D, D)."""
 
     start: np.ndarray
     transitions: np.ndarray
@@ -25,9 +25,16 @@ class GaussianModel:
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         """(T, K) log densities; values that are not finite count as very unlikely."""
-        gap = (x[:, None, :] - self.means[None]) ** 2 / self.variances[None]
-        out = -0.5 * (gap.sum(axis=2) + np.log(2 * np.pi * self.variances).sum(axis=1)[None])
-        return np.nan_to_num(out, nan=-1e10, posinf=-1e10, neginf=-1e10)
+        if self.variances.ndim == 3:
+            roots = np.linalg.cholesky(self.variances)
+            gaps = np.stack([(np.linalg.solve(r, (x - m).T) ** 2).sum(axis=0) for r, m in zip(roots, self.means)], axis=1)
+            size = 2 * np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1) + x.shape[1] * np.log(2 * np.pi)
+        else:  # the square, expanded: two products instead of a (T, K, D) array
+            centre = self.means.mean(axis=0)
+            y, m, w = x - centre, self.means - centre, 1 / self.variances
+            gaps = np.maximum((y * y) @ w.T - 2 * y @ (m * w).T + (m * m * w).sum(axis=1), 0.0)
+            size = np.log(2 * np.pi * self.variances).sum(axis=1)
+        return np.nan_to_num(-0.5 * (gaps + size), nan=-1e10, posinf=-1e10, neginf=-1e10)
 
     def kept(self, states: list[int]) -> GaussianModel:
         """The model of these states alone, start and rows scaled to 1; a row without any mass is even."""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from strandline.plans.extended import ORACLE_SQL, QUERIES
+from strandline.plans.graphs import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
