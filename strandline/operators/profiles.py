@@ -112,22 +112,24 @@ def block_reference(fo: DataFrame, runs: DataFrame, k: int) -> DataFrame:
     return inside.groupBy("season", F.col("place").alias("first")).agg(F.sum(gap).alias("l1"))
 
 
-def config_metrics(fits: DataFrame, n_dims: int, gap_weight: float = 0.5) -> DataFrame:
+def config_metrics(fits: DataFrame, seasons: DataFrame, n_dims: int, gap_weight: float = 0.5) -> DataFrame:
     """One row a configuration (gamma, nc) of fits (gamma, nc, seed, train_ll, valid_ll, k_active, n_train): six scores, all
     better when higher, their ranks (1 best, ties share the lower) and the mean rank.
 
     The scores are the best seed's validation likelihood, a penalised training likelihood of a diagonal model, twice the
-    validation less the training likelihood, validation likelihood a state, and less a share of the gap; worst_seed is
-    the lowest validation likelihood.
+    validation less the training likelihood, validation likelihood a state, less a share of the gap, and the best seed's
+    lowest validation likelihood of a season (`seasons`: gamma, nc, seed, season, valid_ll; null where it has none).
     """
-    pick = lambda by: F.min_by(F.struct("train_ll", "valid_ll", "k_active", "n_train"), F.struct(-F.col(by), F.col("seed")))
-    best = fits.groupBy("gamma", "nc").agg(pick("valid_ll").alias("v"), pick("train_ll").alias("t"), F.min("valid_ll").alias("worst_seed"), F.count(F.lit(1)).alias("n_seeds"))
+    pick = lambda by: F.min_by(F.struct("train_ll", "valid_ll", "k_active", "n_train", "seed"), F.struct(-F.col(by), F.col("seed")))
+    best = fits.groupBy("gamma", "nc").agg(pick("valid_ll").alias("v"), pick("train_ll").alias("t"), F.count(F.lit(1)).alias("n_seeds"))
+    worst = seasons.groupBy("gamma", "nc", "seed").agg(F.min("valid_ll").alias("worst_season"))
+    best = best.withColumn("seed", F.col("v.seed")).join(worst, ["gamma", "nc", "seed"], "left")
     k, n = F.col("t.k_active"), F.col("t.n_train")
     n_params = 2 * k * n_dims + k * (k - 1) + (k - 1)
     valid, train = F.col("v.valid_ll"), F.col("v.train_ll")
     out = best.select(
         "gamma", "nc", "n_seeds", F.col("v.k_active").alias("k_valid"), k.alias("k_train"), valid.alias("m1"), F.when(n > 1, F.col("t.train_ll") - n_params * F.ln(n) / (2 * n)).alias("m2"),
-        (2 * valid - train).alias("m3"), F.when(F.col("v.k_active") > 0, valid / F.col("v.k_active")).alias("m4"), (valid - gap_weight * (train - valid)).alias("m5"), F.col("worst_seed").alias("m6"),
+        (2 * valid - train).alias("m3"), F.when(F.col("v.k_active") > 0, valid / F.col("v.k_active")).alias("m4"), (valid - gap_weight * (train - valid)).alias("m5"), F.col("worst_season").alias("m6"),
     )
     ranks = [f"r{i}" for i in range(1, 7)]
     for i in range(1, 7):

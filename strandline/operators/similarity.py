@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.linear import covariances
+
 
 def _pairs(long: DataFrame, item: str, dim: str, value: str) -> DataFrame:
     """Sums over the shared dimensions of every pair of items; one equi-join on the dimension."""
@@ -115,15 +117,15 @@ def shrunk_correlations(rows: DataFrame, reliable: int = 30) -> DataFrame:
     covariance, drawn by Ledoit and Wolf's share towards equal variances.
 
     Two sums over rows serve, the products of two dimensions and the fourth power of each row's length; no state's rows
-    meet in one task. A state of one row has the identity; reliable: it has `reliable` rows or more.
+    meet in one task. Dimensions count from 0. A state of one row has the identity; reliable: it has `reliable` rows or more.
     """
     mean = rows.groupBy("state", "dim").agg(F.avg("x").alias("m"))
     centred = rows.join(mean, ["state", "dim"]).select("state", "obs", "dim", (F.col("x") - F.col("m")).alias("x"))
     whole = centred.groupBy("state", "obs").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"), F.sum(F.col("x") * F.col("x")).alias("s"))
     size = whole.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s") * F.col("s")).alias("fourth"), F.sum("s").alias("trace"), F.max(F.size("v")).alias("p"))
-    left = whole.select("state", "v", F.explode("v").alias("a"))
-    pairs = left.select("state", "a", F.explode("v").alias("b")).where("a.dim <= b.dim")
-    cov = pairs.groupBy("state", F.col("a.dim").alias("i"), F.col("b.dim").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("c")).join(size, "state").withColumn("c", F.col("c") / F.col("n"))
+    # block products of whole rows; every row must have the same dimensions
+    cov = covariances(whole.select("state", F.col("v.x").alias("x")), "state", "x", ddof=0)
+    cov = cov.withColumn("state", F.col("state").cast(dict(rows.dtypes)["state"])).join(size, "state")
     twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
     norm = cov.groupBy("state").agg(F.sum(F.col("c") * F.col("c") * twice).alias("square"))
     n, p, mu = F.col("n"), F.col("p"), F.col("trace") / F.col("n") / F.col("p")

@@ -46,13 +46,19 @@ def reliable_states(states: DataFrame, blocks: DataFrame, least_trs: int = 30, l
     return trs.join(exit_counts(blocks), "state").where((F.col("n_trs") >= least_trs) & (F.col("n_exits") >= least_exits))
 
 
-def selectivity(change_p: DataFrame) -> DataFrame:
-    """Per state the two likeliest targets (the larger one on ties) and the share of the first in both."""
+def selectivity(p: DataFrame, states: DataFrame) -> DataFrame:
+    """(state, first, p1, second, p2, concentration): every state's two likeliest exits (the larger one on ties) and their share of all exits.
+
+    A state without exits has targets -1, probabilities and concentration 0; with one exit the second is -1 and 0.
+    """
+    exits = p.where("i <> j and p > 0")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("p"), F.desc("j")))
-    top = change_p.withColumn("r", rank).where("r <= 2")
     pick = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))
-    out = top.groupBy("i").agg(pick("j", 1).alias("first"), pick("p", 1).alias("p1"), pick("j", 2).alias("second"), F.coalesce(pick("p", 2), F.lit(0.0)).alias("p2"))
-    return out.withColumn("concentration", F.col("p1") / (F.col("p1") + F.col("p2")))
+    out = exits.withColumn("r", rank).groupBy(F.col("i").alias("state")).agg(pick("j", 1).alias("first"), pick("p", 1).alias("p1"), pick("j", 2).alias("second"), pick("p", 2).alias("p2"), F.sum("p").alias("all"))
+    whole = states.select("state").distinct().join(out, "state", "left")
+    filled = whole.fillna(-1, ["first", "second"]).fillna(0.0, ["p1", "p2", "all"])
+    share = F.when(F.col("all") >= 1e-15, (F.col("p1") + F.col("p2")) / F.col("all")).otherwise(0.0)
+    return filled.select("state", "first", "p1", "second", "p2", share.alias("concentration"))
 
 
 def row_entropy(p: DataFrame) -> DataFrame:

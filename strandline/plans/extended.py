@@ -477,12 +477,12 @@ def la2b(spark, d):
     return S.combined_similarity(S.pearson_pairs(means), S.pearson_pairs(means, value="var"))
 
 
-_OUTER = _MEANS + ", mx as (select x.state, x.dim as i, y.dim as j, x.mean * y.mean as c from sm x join sm y on x.state = y.state where x.dim < 8 and y.dim < 8)"
+_OUTER = _MEANS + ", mx as (select x.state, x.dim as i, y.dim as j, x.mean * y.mean as c from sm x join sm y on x.state = y.state)"
 
 
 @_query("la3_rv", f"with {_OUTER}, ow as (select state, sum(c * c) as s from mx group by state), dt as (select x.state as a, y.state as b, sum(x.c * y.c) as d from mx x join mx y on x.i = y.i and x.j = y.j and x.state < y.state group by 1, 2) select a, b, greatest(0.0::double, least(1.0::double, d / sqrt(l.s * r.s))) as rv from dt join ow l on l.state = a join ow r on r.state = b")
 def la3(spark, d):
-    means = D.state_means(spark, d).where("dim < 8")
+    means = D.state_means(spark, d)
     other = means.select("state", F.col("dim").alias("j"), F.col("mean").alias("other"))
     return W.rv_coefficient(means.join(other, "state").select("state", F.col("dim").alias("i"), "j", (F.col("mean") * F.col("other")).alias("c")))
 
@@ -513,16 +513,16 @@ def gr4(spark, d):
 
 @_query(
     "ag17_shrunk_correlations",
-    f"""with {_MEANS}, ro as (select label as state, vec_id as obs, unnest(range(6)) as dim, unnest(embedding[1:6])::double as x from embeddings where label is not null), mn as (select state, dim, avg(x) as m from ro group by state, dim),
+    f"""with {_MEANS}, ro as (select label as state, vec_id as obs, unnest(range(64)) as dim, unnest(embedding)::double as x from embeddings where label is not null), mn as (select state, dim, avg(x) as m from ro group by state, dim),
     ce as (select ro.state, obs, ro.dim, x - m as x from ro join mn on mn.state = ro.state and mn.dim = ro.dim), rl as (select state, obs, sum(x * x) as s from ce group by state, obs), sz as (select state, count(*) as n, sum(s * s) as fourth, sum(s) as trace from rl group by state),
     cv as (select a.state, a.dim as i, b.dim as j, sum(a.x * b.x) / any_value(n) as c from ce a join ce b on a.state = b.state and a.obs = b.obs and a.dim <= b.dim join sz on sz.state = a.state group by a.state, a.dim, b.dim),
-    sq as (select state, sum(c * c * case when i = j then 1 else 2 end) as square from cv group by state), dl as (select state, n, trace / n / 6 as mu, (square - 6 * (trace / n / 6) * (trace / n / 6)) / 6 as delta, (fourth / n - square) / (6 * n) as beta from sz join sq using (state)),
+    sq as (select state, sum(c * c * case when i = j then 1 else 2 end) as square from cv group by state), dl as (select state, n, trace / n / 64 as mu, (square - 64 * (trace / n / 64) * (trace / n / 64)) / 64 as delta, (fourth / n - square) / (64 * n) as beta from sz join sq using (state)),
     sh as (select *, case when n < 2 then 1.0 when delta <= 1e-18 then 0.0 else greatest(0.0, least(delta, beta)) / delta end as shrinkage from dl), dr as (select cv.state, i, j, n, shrinkage, (1 - shrinkage) * c + case when i = j then shrinkage * mu else 0 end as c from cv join sh on sh.state = cv.state)
     select d.state, cast(d.i as integer) as i, cast(d.j as integer) as j, case when d.i = d.j then 1.0::double when sqrt(a.c * b.c) > 1e-18 then d.c / sqrt(a.c * b.c) else 0 end as r, d.shrinkage, d.n, d.n >= 30 as reliable
     from dr d join dr a on a.state = d.state and a.i = d.i and a.j = d.i join dr b on b.state = d.state and b.i = d.j and b.j = d.j""",
 )
 def ag17(spark, d):
-    rows = D.vectors_long(spark, d).where("label is not null and dim < 6")
+    rows = D.vectors_long(spark, d).where("label is not null")
     return S.shrunk_correlations(rows.select(F.col("label").alias("state"), F.col("vec_id").alias("obs"), "dim", "x"))
 
 
@@ -534,10 +534,11 @@ def la6(spark, d):
 _FITS = """
 ft as (select cast(l_linenumber % 3 as integer) as gamma, cast((l_suppkey % 4 + 1) * 10 as integer) as nc, cast(l_orderkey % 5 as integer) as seed, -avg(l_extendedprice::double) / 1e4 as train_ll, -avg(l_quantity::double) / 5 as valid_ll,
   cast(count(distinct l_discount) as integer) as k_active, count(*) as n_train from lineitem group by 1, 2, 3),
-bv as (select * from (select *, row_number() over (partition by gamma, nc order by valid_ll desc, seed) as k, count(*) over (partition by gamma, nc) as n_seeds, min(valid_ll) over (partition by gamma, nc) as worst from ft) where k = 1),
+bv as (select * from (select *, row_number() over (partition by gamma, nc order by valid_ll desc, seed) as k, count(*) over (partition by gamma, nc) as n_seeds from ft) where k = 1),
+ws as (select gamma, nc, seed, min(ll) as worst from (select cast(l_linenumber % 3 as integer) as gamma, cast((l_suppkey % 4 + 1) * 10 as integer) as nc, cast(l_orderkey % 5 as integer) as seed, -avg(l_quantity::double) / 5 as ll from lineitem group by 1, 2, 3, l_partkey % 6) group by 1, 2, 3),
 bt as (select * from (select *, row_number() over (partition by gamma, nc order by train_ll desc, seed) as k from ft) where k = 1),
 mt as (select v.gamma, v.nc, n_seeds, v.k_active as k_valid, t.k_active as k_train, v.valid_ll as m1, case when t.n_train > 1 then t.train_ll - (2 * t.k_active * 8 + t.k_active * (t.k_active - 1) + t.k_active - 1) * ln(t.n_train) / (2 * t.n_train) end as m2,
-  2 * v.valid_ll - v.train_ll as m3, v.valid_ll / v.k_active as m4, v.valid_ll - 0.5::double * (v.train_ll - v.valid_ll) as m5, worst as m6 from bv v join bt t on t.gamma = v.gamma and t.nc = v.nc)"""
+  2 * v.valid_ll - v.train_ll as m3, v.valid_ll / v.k_active as m4, v.valid_ll - 0.5::double * (v.train_ll - v.valid_ll) as m5, worst as m6 from bv v join bt t on t.gamma = v.gamma and t.nc = v.nc left join ws on ws.gamma = v.gamma and ws.nc = v.nc and ws.seed = v.seed)"""
 
 
 @_query(
@@ -545,7 +546,7 @@ mt as (select v.gamma, v.nc, n_seeds, v.k_active as k_valid, t.k_active as k_tra
     f"""with {_FITS}, rk as (select *, {', '.join(f'rank() over (order by m{i} desc nulls last) as r{i}' for i in range(1, 7))} from mt) select *, (r1 + r2 + r3 + r4 + r5 + r6)::double / 6 as mean_rank from rk""",
 )
 def ag26(spark, d):
-    return W.config_metrics(D.fits(spark, d), 8)
+    return W.config_metrics(D.fits(spark, d), D.season_fits(spark, d), 8)
 
 
 @_query(
@@ -554,12 +555,12 @@ def ag26(spark, d):
     select *, case when delta_k > 0 then delta_ll / delta_k end as gain from s where nc_to is not null""",
 )
 def ag26b(spark, d):
-    return W.marginal_gains(W.config_metrics(D.fits(spark, d), 8))
+    return W.marginal_gains(W.config_metrics(D.fits(spark, d), D.season_fits(spark, d), 8))
 
 
 @_query("top4_two_stages", f"with {_FITS}, o as (select * from mt where nc = (select nc from mt order by m1 desc, nc, gamma limit 1)) select gamma, nc, m2 from o order by m2 desc, gamma limit 1")
 def top4(spark, d):
-    metrics = W.config_metrics(D.fits(spark, d), 8)
+    metrics = W.config_metrics(D.fits(spark, d), D.season_fits(spark, d), 8)
     size = W.best_cell(metrics.withColumn("all", F.lit(0)), "m1", ("nc", "gamma"), (), ("all",)).select("nc")
     return W.best_cell(J.also_in(metrics, size, "nc"), "m2", ("gamma",), (), ("nc",)).select("gamma", "nc", "m2")
 
@@ -580,7 +581,7 @@ _DELTA = _OUTER + ", wt as (select label as state, count(*)::double as w from em
 
 
 def _delta(spark, d):
-    means = D.state_means(spark, d).where("dim < 8")
+    means = D.state_means(spark, d)
     other = means.select("state", F.col("dim").alias("j"), F.col("mean").alias("other"))
     long = means.join(other, "state").select("state", F.col("dim").alias("i"), "j", (F.col("mean") * F.col("other")).alias("c"))
     weights = D.table(spark, d, "embeddings").where("label is not null").groupBy(F.col("label").alias("state")).agg(F.count(F.lit(1)).cast("double").alias("w"))

@@ -404,12 +404,13 @@ def jn9(spark, d):
 
 @_query(
     "top2_selectivity",
-    f"""with {_CHANGE_P}, k as (select *, row_number() over (partition by i order by p desc, j desc) as r from cp),
-    s as (select i, max(case when r = 1 then j end) as first, max(case when r = 1 then p end) as p1, max(case when r = 2 then j end) as second, coalesce(max(case when r = 2 then p end), 0) as p2 from k where r <= 2 group by i)
-    select *, p1 / (p1 + p2) as concentration from s""",
+    f"""with {_TRANS}, e as (select * from tp where i <> j), a as (select distinct state from st)
+    select state, coalesce((select j from e where i = state order by p desc, j desc limit 1), -1) as first, coalesce((select max(p) from e where i = state), 0) as p1,
+      coalesce((select j from e where i = state order by p desc, j desc limit 1 offset 1), -1) as second, coalesce((select p from e where i = state order by p desc, j desc limit 1 offset 1), 0) as p2,
+      coalesce((select sum(p) from (select p from e where i = state order by p desc limit 2)) / (select sum(p) from e where i = state), 0) as concentration from a""",
 )
 def top2(spark, d):
-    return R.selectivity(R.change_probabilities(_p(spark, d)))
+    return R.selectivity(_p(spark, d), D.states(spark, d))
 
 
 @_query("ag14_transition_entropy", f"with {_TRANS} select i, -sum(p * log2(p)) as entropy, coalesce(max(case when i = j then p end), 0) as stay from tp group by i")

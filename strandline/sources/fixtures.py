@@ -69,3 +69,12 @@ def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.avg(F.col("l_extendedprice").cast("double")) / 1e4).alias("train_ll"), (-F.avg(F.col("l_quantity").cast("double")) / 5).alias("valid_ll"),
         F.countDistinct("l_discount").cast("int").alias("k_active"), F.count(F.lit(1)).alias("n_train"),
     )
+
+
+def season_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gamma, nc, seed, season, valid_ll): the validation likelihood of each fit by season, from the same shipments."""
+    rows = table(spark, sf_dir, "lineitem")
+    cell = rows.groupBy(
+        (F.col("l_linenumber") % 3).cast("int").alias("gamma"), ((F.col("l_suppkey") % 4 + 1) * 10).cast("int").alias("nc"), (F.col("l_orderkey") % 5).cast("int").alias("seed"), (F.col("l_partkey") % 6 + 1).cast("int").alias("season")
+    )
+    return cell.agg((-F.avg(F.col("l_quantity").cast("double")) / 5).alias("valid_ll"))
