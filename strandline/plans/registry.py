@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import blocks as B
+from strandline.operators import nulls as N
 from strandline.operators import occupancy as O
+from strandline.operators import partition as V
 from strandline.operators import similarity as S
 from strandline.operators import splits as P
 from strandline.operators import stats as T
@@ -649,8 +651,58 @@ def sp5(spark, d):
     return P.circular_shift(D.states(spark, d), 3, 42)
 
 
+#: Draws of the variance partition and of the session slopes.
+PARTITION_DRAWS, SLOPE_DRAWS = 200, 200
+
+_SLOPE = """case when {gg} * {ww} - {gw} * {gw} > 1e-12 * {gg} * {ww} then ({yg} * {yg} * {ww} - 2 * {yg} * {yw} * {gw} + {yw} * {yw} * {gg}) / ({gg} * {ww} - {gw} * {gw}) when {gg} > 1e-12 then {yg} * {yg} / {gg} when {ww} > 1e-12 then {yw} * {yw} / {ww} else 0.0::double end"""
+_IN, _ALL = ({k: pre + k for k in ("yg", "yw", "gg", "gw", "ww")} for pre in ("", "t"))
+_PARTITION = f"""ea_ as (select season, episode, state, sum(n)::double / sum(n_trs) as fo from fo join rn using (run) group by season, episode, state),
+aq as (select user_id % 6 + 1 as season, user_id // 12 + 1 as episode, min(epoch_us(ts)) / 86400000000.0::double as position from events group by 1, 2),
+un as (select season * 100000 + episode as unit, season, position, case when max(episode) over w > min(episode) over w then (episode - min(episode) over w) / (max(episode) over w - min(episode) over w)::double else 0.5::double end as place from aq window w as (partition by season)),
+ub_ as (select unit, season, position - avg(position) over () as g, place - avg(place) over () as w from un), yc_ as (select season * 100000 + episode as unit, state, fo - avg(fo) over (partition by state) as y from ea_),
+ud as (select ub_.*, cast(range + 1 as integer) as draw from ub_ cross join range({PARTITION_DRAWS})),
+f1 as (select unit, row_number() over (order by md5('46|0|' || unit), unit) as k from ub_), f2 as (select unit, row_number() over (order by md5('47|0|' || unit), unit) as k from ub_), f3 as (select unit, season, row_number() over (partition by season order by md5('48|0|' || unit), unit) as k from ub_),
+g1 as (select draw, g, row_number() over (partition by draw order by md5('46|' || draw || '|' || unit), unit) as k from ud), g2 as (select draw, season, row_number() over (partition by draw order by md5('47|' || draw || '|' || unit), unit) as k from ud), g3 as (select draw, season, w, row_number() over (partition by draw, season order by md5('48|' || draw || '|' || unit), unit) as k from ud),
+dg as (select 0 as kind, 0 as draw, unit, season, g, w from ub_ union all select 1, draw, unit, ub_.season, g1.g, ub_.w from g1 join f1 using (k) join ub_ using (unit) union all select 2, draw, unit, g2.season, ub_.g, ub_.w from g2 join f2 using (k) join ub_ using (unit)
+  union all select 3, draw, f3.unit, f3.season, ub_.g, g3.w from g3 join f3 on f3.k = g3.k and f3.season = g3.season join ub_ on ub_.unit = f3.unit),
+cl as (select kind, draw, state, season, count(*) as n, sum(y) as y, sum(g) as g, sum(w) as w, sum(y * y) as yy, sum(y * g) as yg, sum(y * w) as yw, sum(g * g) as gg, sum(g * w) as gw, sum(w * w) as ww from dg join yc_ using (unit) group by kind, draw, state, season),
+su_ as (select kind, draw, state, sum(yy - y * y / n) as yy, sum(yg - y * g / n) as yg, sum(yw - y * w / n) as yw, sum(gg - g * g / n) as gg, sum(gw - g * w / n) as gw, sum(ww - w * w / n) as ww, sum(yy) - sum(y) * sum(y) / sum(n) as tyy, sum(yg) - sum(y) * sum(g) / sum(n) as tyg,
+  sum(yw) - sum(y) * sum(w) / sum(n) as tyw, sum(gg) - sum(g) * sum(g) / sum(n) as tgg, sum(gw) - sum(g) * sum(w) / sum(n) as tgw, sum(ww) - sum(w) * sum(w) / sum(n) as tww from cl group by kind, draw, state),
+fd_ as (select kind, draw, state, case when tyy > 1e-20 then greatest(0, 1 - (yy - {_SLOPE.format(**_IN)}) / tyy) end as r2, case when tyy > 1e-20 then greatest(0, 1 - (yy - case when ww > 1e-12 then yw * yw / ww else 0 end) / tyy) end as ng,
+  case when tyy > 1e-20 then greatest(0, 1 - (yy - case when gg > 1e-12 then yg * yg / gg else 0 end) / tyy) end as nw, case when tyy > 1e-20 then greatest(0, {_SLOPE.format(**_ALL)} / tyy) end as ns from su_),
+sn as (select state, r2, ng, ns, nw, case when r2 is not null then greatest(0, r2 - ng) end as d1, case when r2 is not null then greatest(0, r2 - ns) end as d2, case when r2 is not null then greatest(0, r2 - nw) end as d3 from fd_ where kind = 0),
+vp as (select state, sn.r2, d1 as dr2_global, d2 as dr2_season, d3 as dr2_within, case when sn.r2 is not null then greatest(0, sn.r2 - d1 - d2 - d3) end as shared,
+  case when sn.r2 is not null then (sum((kind = 1 and greatest(0, f.r2 - ng) >= d1 - 1e-12)::integer) + 1) / ({PARTITION_DRAWS} + 1.0::double) end as p_global, case when sn.r2 is not null then (sum((kind = 2 and greatest(0, f.r2 - ns) >= d2 - 1e-12)::integer) + 1) / ({PARTITION_DRAWS} + 1.0::double) end as p_season,
+  case when sn.r2 is not null then (sum((kind = 3 and greatest(0, f.r2 - nw) >= d3 - 1e-12)::integer) + 1) / ({PARTITION_DRAWS} + 1.0::double) end as p_within
+  from (select kind, state, r2 from fd_ where kind > 0) f join sn using (state) group by state, sn.r2, d1, d2, d3)"""
+
+
+def _partition(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes by the time of their first event."""
+    from pyspark.sql import Window
+
+    by, season = D.with_run_fields(D.table(spark, d, "events").select(F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))), Window.partitionBy("season")
+    first = by.groupBy("season", "episode").agg((F.min("us") / 86400000000.0).alias("position"))
+    unit = (F.col("season") * 100000 + F.col("episode")).alias("unit")
+    lo, hi = F.min("episode").over(season), F.max("episode").over(season)
+    units = first.select(unit, "season", "position", F.when(hi > lo, (F.col("episode") - lo) / (hi - lo)).otherwise(0.5).alias("place"))
+    runs = _runs(spark, d).select("run", "season", "episode")
+    fo = _fo(spark, d).join(runs, "run").groupBy("season", "episode", "state").agg((F.sum("n") / F.sum("n_trs")).alias("fo")).select(unit, "state", "fo")
+    return V.variance_partition(fo, units, PARTITION_DRAWS, 45)
+
+
+@_query("st8_variance_partition", f"with {_FO}, {_RUNS}, {_PARTITION} select * from vp")
+def st8b(spark, d):
+    return _partition(spark, d)
+
+
+_SLOPES = f"""se as (select distinct run, run // 5 as session from fo), pl as (select run, session, count(*) over (partition by session) as m, row_number() over (partition by session order by run) - 1 - (count(*) over (partition by session) - 1) / 2 as x from se), ok as (select * from pl where m >= 3),
+sh_ as (select fo.state, fo.run, fo, session, m, x from fo join ok on ok.run = fo.run), ss_ as (select state, count(*) as n, sum(x * fo) as xy, sum(x * x) as xx from sh_ group by state), sd_ as (select run, session, m, cast(range + 1 as integer) as draw from ok cross join range({SLOPE_DRAWS})),
+pm_ as (select draw, run, row_number() over (partition by draw, session order by md5('44|' || draw || '|' || run), run) - 1 - (m - 1) / 2 as px from sd_), sl_ as (select draw, state, sum(px * fo) as pxy from pm_ join sh_ on sh_.run = pm_.run group by draw, state),
+st_ as (select state, any_value(xy) / any_value(xx) as slope, (sum((abs(pxy) >= abs(xy) - 1e-12)::integer) + 1) / ({SLOPE_DRAWS} + 1.0::double) as p from sl_ join ss_ using (state) group by state)"""
+
 _TAGS = (
-    _SEASON_P
+    _FO + ", " + _RUNS
     + """,
 mk as (select *, case when state <> lag(state) over (partition by run order by tr) then 1 else 0 end as ch from st),
 ix as (select *, sum(ch) over (partition by run order by tr) as block_index from mk),
@@ -658,12 +710,13 @@ bl as (select run, block_index, min(state) as state, count(*) as duration_tr fro
 rec as (select state, avg(case when fo > 0.02 then 1.0 else 0.0 end) as recurrence from fo group by state),
 dw as (select state, median(duration_tr) < 3 as sub_hrf from bl group by state),
 """
-    + f"{_bh('fs', 'sl')}, {_TREND}, {_bh('fg', 'tp_')}, {_early('a')}, {_early('b')}, {_bh('qa', 'ea')}, {_bh('qb', 'eb')},"
+    + f"{_PARTITION}, {_SLOPES}, {_bh('fs', '(select state, p_season as p from vp)')}, {_bh('fg', '(select state, p_global as p from vp)')}, {_bh('ft', '(select state, p from st_)')}, {_early('a')}, {_early('b')}, {_bh('qa', 'ea')}, {_bh('qb', 'eb')},"
     + """
 fl as (select state, recurrence, coalesce(sub_hrf, false) as sub_hrf, recurrence = 0 as unused, coalesce(qa.q < 0.1, false) and coalesce(qb.q < 0.1, false) as run_onset,
   coalesce(qa.q < 0.1, false) and not coalesce(qb.q < 0.1, false) as a_anchored, coalesce(qb.q < 0.1, false) and not coalesce(qa.q < 0.1, false) as b_anchored,
+  coalesce(ft.q < 0.05 and slope < 0, false) as session_trend_down, coalesce(ft.q < 0.05 and slope > 0, false) as session_trend_up,
   coalesce(fs.q < 0.05, false) as season_structured, coalesce(fg.q < 0.05, false) as global_trend
-  from rec left join dw using (state) left join qa using (state) left join qb using (state) left join fs using (state) left join fg using (state))"""
+  from rec left join ft using (state) left join st_ using (state) left join dw using (state) left join qa using (state) left join qb using (state) left join fs using (state) left join fg using (state))"""
 )
 
 
@@ -678,8 +731,12 @@ def st12(spark, d):
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
     early = [T.bh_fdr(_early_p(spark, d, part)) for part in "ab"]
-    season, trend = T.bh_fdr(_season_p(spark, d)), T.bh_fdr(_trend_p(spark, d))
-    return X.flags(B.dwell(_blocks(spark, d)), O.recurrence(_fo(spark, d)), season, trend, X.anchoring(*early))
+    parts = _partition(spark, d)
+    season, trend = (T.bh_fdr(parts.select("state", F.col(c).alias("p"))) for c in ("p_season", "p_global"))
+    fo = _fo(spark, d)
+    runs = fo.select("run").distinct().select("run", F.floor(F.col("run") / 5).alias("session"), F.col("run").alias("at"))
+    slopes = T.bh_fdr(N.session_slopes(fo, runs, SLOPE_DRAWS, 44))
+    return X.flags(B.dwell(_blocks(spark, d)), O.recurrence(fo), season, trend, X.anchoring(*early), slopes)
 
 
 @_query(

@@ -81,7 +81,10 @@ def test_taxonomy_rules(spark):
     assert {r["state"]: r["anchoring"] for r in anchors.collect()} == {1: "a_start_specific", 2: "ab_start_common", 3: "a_start_specific", 4: "b_start_specific", 5: "none", 9: "none"}
     season = table(spark, [(5, 0.01), (6, 0.01), (8, 0.05)], "state int, q double")
     trend = table(spark, [(5, 0.04), (6, n), (8, 0.01)], "state int, q double")
-    got = {r["state"]: r["summary_category"] for r in taxonomy.categories(taxonomy.flags(dwell, rec, season, trend, anchors)).collect()}
+    slopes = table(spark, [(5, -0.1, 0.01), (6, 0.1, 0.01), (7, 0.1, n), (8, -0.1, 0.2)], "state int, slope double, q double")
+    tags = {r["state"]: (r["session_trend_down"], r["session_trend_up"]) for r in taxonomy.flags(dwell, rec, season, trend, anchors, slopes).collect()}
+    assert tags[5] == (True, False) and tags[6] == (False, True) and not any(any(tags[s]) for s in (0, 7, 8, 9))
+    got = {r["state"]: r["summary_category"] for r in taxonomy.categories(taxonomy.flags(dwell, rec, season, trend, anchors, slopes)).collect()}
     on, fit = "run_onset_anchored", "eligible_for_content_analysis"
     assert got == {0: "unused", 1: "low_confidence", 2: on, 3: on, 4: on, 5: "season_temporal", 6: fit, 7: "rare", 8: fit, 9: fit}
 
