@@ -135,8 +135,12 @@ def fit_components(rows: DataFrame, features: str = "features") -> Components:
         x = np.column_stack([np.ones(len(x)), x])
         return (x.T @ x).ravel()
 
-    m = summed(whole, [features], (d + 1) ** 2, products).reshape(d + 1, d + 1)
-    n, sums = int(m[0, 0]), m[0, 1:]
+    return _from_moments(summed(whole, [features], (d + 1) ** 2, products).reshape(d + 1, d + 1), shift)
+
+
+def _from_moments(m: np.ndarray, shift: np.ndarray) -> Components:
+    """Components from the products of (1, features - shift)."""
+    n, sums, d = int(round(m[0, 0])), m[0, 1:], len(shift)
     if n < 2:
         raise ValueError("components need two rows")
     cov = (m[1:, 1:] - np.outer(sums, sums) / n) / (n - 1)
@@ -263,3 +267,69 @@ def least_squares_residual(rows: DataFrame, y: str, xs: list[str], by: list[str]
     for i, c in enumerate(xs):
         line = line + F.col("_b")[i + 1] * F.col(c)
     return rows.join(fit, by, "left").withColumn("residual", F.col(y) - line).drop("_b")
+
+
+def parcel_means(rows: DataFrame, parcels: list[int | None], features: str = "features") -> DataFrame:
+    """Rows with the mean of the features of each parcel, at the parcel's number; numbers without a feature are 0.
+
+    `parcels` gives every feature's parcel number, None for features outside all parcels. Its length is the width.
+    """
+    held = [(i, p) for i, p in enumerate(parcels) if p is not None]
+    weights = np.zeros((len(parcels), max((p for _, p in held), default=-1) + 1))
+    for i, p in held:
+        weights[i, p] = 1.0
+    weights /= np.maximum(weights.sum(axis=0), 1.0)
+    return _mapped(rows, features, lambda x: x @ weights)
+
+
+def residual_variance(fit: Components, k: int) -> np.ndarray:
+    """(D, 3): each feature's variance in the first k components, in the others, and the others' share (0 without variance)."""
+    own = fit.components**2 * fit.variances[:, None]
+    signal, rest = own[:k].sum(axis=0), own[k:].sum(axis=0)
+    return np.column_stack([signal, rest, np.divide(rest, signal + rest, out=np.zeros(len(rest)), where=signal + rest > 0)])
+
+
+def components_without(rows: DataFrame, by: str, features: str = "features") -> dict[int, Components]:
+    """Components of all rows but those of each value of `by`, by taking its moments away from the sum of all; values that
+    leave fewer than two rows have none. The moments of every value pass the driver, so values are seasons or so, not runs."""
+    first = finite_rows(rows, features).select(features).first()
+    if first is None:
+        return {}
+    shift = np.array(first[0], float)
+    held: dict[int, np.ndarray] = {}
+    for r in moments(rows, by, features, shift).toLocalIterator():
+        m = held.setdefault(r[by], np.zeros((len(shift) + 1,) * 2))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
+    total = sum(held.values())
+    left = {key: total - m for key, m in held.items()}
+    return {key: _from_moments(m, shift) for key, m in left.items() if m[0, 0] > 1.5}
+
+
+def residual_stability(rows: DataFrame, by: str, k: int, features: str = "features") -> list[tuple[int, float, float, float, float]]:
+    """(feature, share, mean, deviation, variation): the residual share with all rows and, over fits without each value of
+    `by`, its mean, population deviation and their ratio (0 for a mean under 1e-8)."""
+    whole = residual_variance(fit_components(rows, features), k)[:, 2]
+    left = np.array([residual_variance(c, min(k, len(c.variances)))[:, 2] for _, c in sorted(components_without(rows, by, features).items())])
+    mean, spread = left.mean(axis=0), left.std(axis=0)
+    ratio = np.divide(spread, mean, out=np.zeros(len(mean)), where=mean > 1e-8)
+    return [(i, *map(float, v)) for i, v in enumerate(zip(whole, mean, spread, ratio))]
+
+
+def collapsed(maps: DataFrame, networks: DataFrame) -> DataFrame:
+    """(state, dim, value) with every value replaced by the mean over its network (dim, network); dims without a network stay out."""
+    held = maps.join(networks, "dim")
+    mean = held.groupBy("state", "network").agg(F.avg("value").alias("_m"))
+    return held.join(mean, ["state", "network"]).select("state", "dim", F.col("_m").alias("value"))
+
+
+def centred_maps(maps: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(state, dim, value) less the mean over the states of every dim; only dims in `scope` (dim), if given."""
+    held = maps if scope is None else maps.join(scope.select("dim").distinct(), "dim", "left_semi")
+    mean = held.groupBy("dim").agg(F.avg("value").alias("_m"))
+    return held.join(mean, "dim").select("state", "dim", (F.col("value") - F.col("_m")).alias("value"))
+
+
+def without_components(rows: DataFrame, fit: Components, k: int, features: str = "features") -> DataFrame:
+    """Rows whose features have lost their part along the fit's first k components (the mean stays as it is)."""
+    v = fit.components[:k]
+    return _mapped(rows, features, lambda x: x - (x @ v.T) @ v)

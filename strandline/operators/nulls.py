@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import comb
+from math import comb, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +158,47 @@ def chain_test(changes: DataFrame, n: int = 2, least_runs: int = 5, n_draws: int
     return bh_fdr(out)
 
 
+def _binomial_upper(n: int, k: int, p: float) -> float:
+    """Probability of k hits or more in n tries; the terms fall off from the mode, so they are summed from there or from k outwards."""
+    if k <= 0 or p >= 1:
+        return 1.0
+    term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p))
+    total, i = 0.0, k
+    while i <= n:
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p)
+        i += 1
+        if term < total * 1e-18 and i > n * p:
+            break
+    return min(1.0, total)
+
+
+def context_test(changes: DataFrame, least: int = 10) -> DataFrame:
+    """(a, b, c, n, n_c, p_context, p_other, enrichment, p, q): does coming from a change what follows b?
+
+    For every chain a, b, c whose a, b is followed `least` times or more, the share of c is held against its share after b
+    from elsewhere by a one-sided binomial test; q by Benjamini and Hochberg. Chains without another way to b, or that never
+    follow b from elsewhere, are not tested.
+    """
+    order = Window.partitionBy("run").orderBy("pos")
+    triples = changes.select("run", F.col("state").alias("a"), F.lead("state", 1).over(order).alias("b"), F.lead("state", 2).over(order).alias("c"))
+    three = triples.where("c is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n_c"))
+    two = triples.where("b is not null").groupBy(F.col("a").alias("b"), F.col("b").alias("c")).agg(F.count(F.lit(1)).alias("m_c"))
+    context = three.groupBy("a", "b").agg(F.sum("n_c").alias("n")).where(F.col("n") >= least)
+    after = two.groupBy("b").agg(F.sum("m_c").alias("m"))
+    held = three.join(context, ["a", "b"]).join(after, "b").join(two, ["b", "c"]).where(F.col("m") > F.col("n"))
+    other = F.greatest(F.col("m_c") - F.col("n_c"), F.lit(0)) / (F.col("m") - F.col("n"))
+    held = held.select("a", "b", "c", "n", "n_c", (F.col("n_c") / F.col("n")).alias("p_context"), other.alias("p_other")).where("p_other >= 1e-15")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [_binomial_upper(*x) for x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(6).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p"])
+
+    tested = held.mapInArrow(test, ", ".join(f"{c} {t}" for c, t in held.dtypes) + ", p double")
+    return bh_fdr(tested.withColumn("enrichment", F.col("p_context") / F.col("p_other")))
+
+
 # returns
 
 

@@ -102,6 +102,16 @@ def lag1(fo: DataFrame, order: str = "run") -> DataFrame:
     return out.withColumn("n_eff", F.greatest(F.lit(2.0), F.least(F.col("n").cast("double"), F.col("n") * (1 - F.col("r")) / (1 + F.col("r")))))
 
 
+def chronological_lag1(fo: DataFrame, order: list[str]) -> DataFrame:
+    """(state, n, r, mean_r, n_eff): lag-1 correlation of each state's occupancy over runs in the order given, its mean over the
+    states where it is defined, and the effective number of runs n (1 - r) / (1 + r) by that mean, not clamped; null at |r| = 1."""
+    before = F.lag("fo").over(Window.partitionBy("state").orderBy(*order))
+    one = fo.withColumn("before", before).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.corr("fo", "before").alias("r"))
+    one = one.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    both = one.join(F.broadcast(one.agg(F.avg("r").alias("mean_r"))))  # one row
+    return both.select("state", "n", "r", "mean_r", F.when(F.abs("mean_r") < 1, F.col("n") * (1 - F.col("mean_r")) / (1 + F.col("mean_r"))).alias("n_eff"))
+
+
 def sessions(runs: DataFrame, gap_days: float = 7.0, by: str = "subject") -> DataFrame:
     """Adds session (from 0): a subject's runs in time order; a new session starts when the gap to the run before is strictly larger."""
     order = Window.partitionBy(by).orderBy("acq_time", "run")

@@ -37,6 +37,18 @@ def spearman(rows: DataFrame, a: str, b: str, by: tuple[str, ...]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def partial_spearman(rows: DataFrame, a: str, b: str, given: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, n, rho, partial): rank correlation of two columns, and of what their ranks keep once a third one's ranks are regressed
+    out; null where a rank does not vary or the third explains it wholly. Rows where one is missing do not count."""
+    whole = rows.where(" and ".join(f"`{c}` is not null" for c in (a, b, given)))
+    ranked = whole.withColumn("_a", average_rank(a, by)).withColumn("_b", average_rank(b, by)).withColumn("_c", average_rank(given, by))
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    r = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("ab"), F.corr("_a", "_c").alias("ac"), F.corr("_b", "_c").alias("bc"))
+    r = r.select(*by, "n", *[clean(c).alias(c) for c in ("ab", "ac", "bc")])
+    low = (1 - F.col("ac") * F.col("ac")) * (1 - F.col("bc") * F.col("bc"))
+    return r.select(*by, "n", F.col("ab").alias("rho"), F.when(low > 1e-12, (F.col("ab") - F.col("ac") * F.col("bc")) / F.sqrt(low)).alias("partial"))
+
+
 def auc_grid(rows: DataFrame, score: str, positive: str, by: tuple[str, ...], least: int = 2) -> DataFrame:
     """Area under the curve by Mann and Whitney in each group; null with under `least` rows on a side."""
     ranked = rows.withColumn("_r", average_rank(score, by)).withColumn("_y", F.col(positive).cast("int"))

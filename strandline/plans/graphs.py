@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from strandline.operators import modules as G
 from strandline.operators import nulls as N
+from strandline.operators import occupancy as O
 from strandline.operators import similarity as S
+from strandline.operators import stats as T
 from strandline.plans.extended import _PAIRS
 from strandline.plans.models import ORACLE_SQL, QUERIES
 from strandline.plans.registry import _BLOCKS, _CHANGES, _FO, _RUNS, _STATES, _TRANS, _blocks, _changes, _fo, _p, _query
@@ -231,3 +233,38 @@ def _partial(own: str, other: str) -> str:
 )
 def st18(spark, d):
     return N.dyadic_regression(_dyads(spark, d), "r", ["v", "gap"], 40, 17)
+
+
+@_query(
+    "st20_context_test",
+    f"""with {_CHANGES}, t as (select state as a, lead(state, 1) over w as b, lead(state, 2) over w as c from cs window w as (partition by run order by pos)), h3 as (select a, b, c, count(*) as n_c from t where c is not null group by 1, 2, 3),
+    h2 as (select a as b, b as c, count(*) as m_c from t where b is not null group by 1, 2), k as (select a, b, cast(sum(n_c) as bigint) as n from h3 group by 1, 2 having sum(n_c) >= 10), m as (select b, sum(m_c) as m from h2 group by b),
+    x as (select a, b, c, n, n_c, n_c::double / n as p_context, (m_c - n_c)::double / (m - n) as p_other from h3 join k using (a, b) join m using (b) join h2 using (b, c) where m > n and m_c > n_c),
+    p as (select *, p_context / p_other as enrichment, case when p_other >= 1 then 1.0 else list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p_other) + (n - i) * ln(1 - p_other)) for i in range(n_c, n + 1)]) end as p from x),
+    r as (select *, least(1.0::double, p) as pp, row_number() over (order by p) as k, count(*) over () as total from p)
+    select a, b, c, n, n_c, p_context, p_other, enrichment, pp as p, least(1.0::double, min(pp * total / k) over (order by k desc rows unbounded preceding)) as q from r""",
+)
+def st20(spark, d):
+    return N.context_test(_changes(spark, d))
+
+
+@_query(
+    "st11_motion_partial",
+    f"""with {_FO}, m as (select user_id as run, avg(value)::double as motion from events group by 1), x as (select state, run, fo, motion from fo join m using (run)),
+    r as (select state, rank() over (partition by state order by fo) + (count(*) over (partition by state, fo) - 1) / 2 as a, rank() over (partition by state order by run) as b, rank() over (partition by state order by motion) + (count(*) over (partition by state, motion) - 1) / 2 as c from x),
+    k as (select state, count(*) as n, corr(a, b) as ab, corr(a, c) as ac, corr(b, c) as bc from r group by state), f as (select state, n, case when not isnan(ab) then ab end as ab, case when not isnan(ac) then ac end as ac, case when not isnan(bc) then bc end as bc from k)
+    select state, n, ab as rho, case when (1 - ac * ac) * (1 - bc * bc) > 1e-12 then (ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)) end as partial from f""",
+)
+def st11(spark, d):
+    """The mean value of a run's events stands for its motion."""
+    motion = D.table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.avg(F.col("value").cast("double")).alias("motion"))
+    return T.partial_spearman(_fo(spark, d).join(motion, "run"), "fo", "run", "motion", ("state",))
+
+
+@_query(
+    "seq11_chronological",
+    f"""with {_FO}, {_RUNS}, b as (select state, fo, lag(fo) over (partition by state order by season, episode, part, fo.run) as before from fo join rn on rn.run = fo.run), o as (select state, count(*) as n, corr(fo, before) as r from b group by state),
+    c as (select state, n, case when not isnan(r) then r end as r from o), m as (select avg(r) as mean_r from c) select state, n, r, mean_r, case when abs(mean_r) < 1 then n * (1 - mean_r) / (1 + mean_r) end as n_eff from c, m""",
+)
+def seq11(spark, d):
+    return O.chronological_lag1(D.with_run_fields(_fo(spark, d)), ["season", "episode", "part", "run"])

@@ -87,6 +87,44 @@ def prj6b(spark, d):
     return long.select("state", F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), "c")
 
 
+@_query("ag28_residual_variance")
+def ag28(spark, d):
+    """Variance of every dimension inside and outside ten components."""
+    found = L.residual_variance(L.fit_components(_vectors(spark, d)), 10)
+    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(found)], "dim int, signal double, residual double, share double")
+
+
+@_query("ag28_residual_stability")
+def ag28b(spark, d):
+    """The residual share without each label."""
+    return spark.createDataFrame(L.residual_stability(_vectors(spark, d), "label", 10), "dim int, share double, mean double, deviation double, variation double")
+
+
+@_query("prj1_parcel_means", f"with {_VECTORS}, m as (select run, tr, dim // 9 * 2 as parcel, avg(x) as x from vc where dim % 9 > 0 group by 1, 2, 3), p as (select distinct run, tr, cast(range as integer) as parcel from vc, range(13)) select run, tr, parcel, coalesce(x, 0) as x from p left join m using (run, tr, parcel)")
+def prj1(spark, d):
+    """Eight or nine dimensions a parcel, every second number unused, each ninth dimension in none."""
+    parcels = [i // 9 * 2 if i % 9 else None for i in range(64)]
+    return L.parcel_means(_vectors(spark, d), parcels).select("run", "tr", F.posexplode("features").alias("parcel", "x"))
+
+
+_MAPS = f"{_VECTORS}, mp as (select label as state, dim, avg(x) as value from vc where label is not null group by 1, 2)"
+
+
+def _maps(spark: SparkSession, d: str) -> DataFrame:
+    return D.state_means(spark, d).where("state is not null").select("state", "dim", F.col("mean").alias("value"))
+
+
+@_query("prj18_collapsed", f"with {_MAPS} select state, dim, avg(value) over (partition by state, dim // 8) as value from mp")
+def prj18(spark, d):
+    networks = spark.range(64).select(F.col("id").cast("int").alias("dim"), F.floor(F.col("id") / 8).alias("network"))
+    return L.collapsed(_maps(spark, d), networks)
+
+
+@_query("prj18_centred", f"with {_MAPS} select state, dim, value - avg(value) over (partition by dim) as value from mp where dim < 40")
+def prj18b(spark, d):
+    return L.centred_maps(_maps(spark, d), spark.range(40).select(F.col("id").cast("int").alias("dim")))
+
+
 # regressions; the SQL makes regressors orthogonal one after the other
 
 

@@ -45,6 +45,26 @@ def test_back_projection_of_diagonals_and_covariances(spark):
         assert np.allclose(got.mean, mean @ w + fit.mean) and np.allclose(np.reshape(got.cov, (5, 5)), w.T @ (np.diag(diag) if len(cov) == 3 else full) @ w)
 
 
+def test_parcels_and_residual_variance(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    group = np.repeat([1, 2, 3], 20)
+    rows = spark.createDataFrame([(i, 0, int(g), [float(v) for v in r]) for i, (g, r) in enumerate(zip(group, x))], "run long, tr int, g int, features array<double>")
+    got = {r.run: r.features for r in L.parcel_means(rows, [3, None, 1, 3, 1]).collect()}
+    assert all(np.allclose(got[i], [0, r[[2, 4]].mean(), 0, r[[0, 3]].mean()]) for i, r in enumerate(x))
+    shares = L.residual_variance(L.fit_components(rows), 2)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    signal = (vectors[:, -2:] ** 2 * values[-2:]).sum(axis=1)
+    assert np.allclose(shares[:, 0], signal) and np.allclose(shares[:, :2].sum(axis=1), x.var(axis=0, ddof=1)) and np.allclose(shares[:, 2], 1 - signal / x.var(axis=0, ddof=1))
+    left = L.components_without(rows, "g")
+    assert set(left) == {1, 2, 3} and all(np.allclose(c.variances, np.linalg.eigvalsh(np.cov(x[group != g].T))[::-1]) and c.n == 40 for g, c in left.items())
+    folds = np.array([L.residual_variance(left[g], 2)[:, 2] for g in (1, 2, 3)])
+    assert np.allclose([r[1:] for r in L.residual_stability(rows, "g", 2)], np.column_stack([shares[:, 2], folds.mean(axis=0), folds.std(axis=0), folds.std(axis=0) / folds.mean(axis=0)]))
+    fit = L.fit_components(rows)
+    bare = np.array([r.features for r in L.without_components(rows, fit, 2).orderBy("run").collect()])
+    assert np.allclose(bare @ fit.components[:2].T, 0) and np.allclose(bare + (x @ fit.components[:2].T) @ fit.components[:2], x)
+
+
 def test_cleaned(spark):
     """Dependent confounds, missing entries, a feature that confounds explain wholly and one without variation."""
     rng = np.random.default_rng(3)

@@ -162,6 +162,17 @@ def test_session_null_by_enumeration(spark):
         N.session_null(spark.createDataFrame(rows, "run long, state int, fo double"), spark.createDataFrame([(0, 0, True), (1, 0, False)], "run long, unit int, a boolean"))
 
 
+def test_binomial_tail_and_contexts(spark):
+    for n in range(1, 12):
+        for k in range(n + 1):
+            for p in (0.01, 0.3, 0.9, 1.0):
+                assert abs(N._binomial_upper(n, k, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))) < 1e-12
+    assert N._binomial_upper(100_000, 50_500, 0.5) < 1e-2 and N._binomial_upper(100_000, 10, 0.5) == 1.0
+    seq = [(r, p, s) for r in range(20) for p, s in enumerate([0, 1, 2, 3, 1, 0, 4, 1, 2 if r % 4 == 0 else 0])]
+    got = {(r.a, r.b, r.c): r for r in N.context_test(spark.createDataFrame(seq, "run long, pos long, state int"), 10).collect()}
+    assert got[0, 1, 2].n_c == 20 and got[0, 1, 2].p_context == 1 and got[0, 1, 2].p_other == 5 / 40 and got[0, 1, 2].p < 1e-9 and got[3, 1, 0].p_other == 15 / 40
+
+
 def test_excess_returns(spark):
     """Returns beyond the neighbours of each run are found, a state whose neighbours only differ between runs is not."""
     rng = np.random.default_rng(5)
