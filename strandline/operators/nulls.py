@@ -159,18 +159,17 @@ def chain_test(changes: DataFrame, n: int = 2, least_runs: int = 5, n_draws: int
 
 
 def _binomial_upper(n: int, k: int, p: float) -> float:
-    """Probability of k hits or more in n tries; the terms fall off from the mode, so they are summed from there or from k outwards."""
+    """Probability of k hits or more in n tries, by the tail that does not hold the mean, summed outwards from its largest term."""
     if k <= 0 or p >= 1:
         return 1.0
-    term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p))
-    total, i = 0.0, k
-    while i <= n:
+    upper = k > n * p
+    i = k if upper else k - 1
+    term, total = exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)), 0.0
+    while 0 <= i <= n and term > total * 1e-18:
         total += term
-        term *= (n - i) / (i + 1) * p / (1 - p)
-        i += 1
-        if term < total * 1e-18 and i > n * p:
-            break
-    return min(1.0, total)
+        term *= (n - i) / (i + 1) * p / (1 - p) if upper else i / (n - i + 1) * (1 - p) / p
+        i += 1 if upper else -1
+    return min(1.0, total if upper else 1 - total)
 
 
 def context_test(changes: DataFrame, least: int = 10) -> DataFrame:
