@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,20 +117,53 @@ def season_permutation(fo: DataFrame, runs: DataFrame, observed: DataFrame, n_dr
     return both.groupBy("state", "specificity").agg(permutation_p(F.col("null_spec") >= F.col("specificity") - 1e-12, F.col("null_spec")).alias("p"))
 
 
+#: A prime below 2^40: orders of draws are (a + draw * b) modulo it.
+ORDER_PRIME = 1099511627689
+
+
 def early_permutation(blocks: DataFrame, n_draws: int, seed: int, early: float = 0.2, least_blocks: int = 3) -> DataFrame:
     """(state, n_blocks, early_fraction, p): share of a state's blocks that begin in the first part of their run, against
     blocks in shuffled order within each run; null p under `least_blocks` blocks. `blocks` has run, block_index, state
-    and duration_tr."""
+    and duration_tr.
+
+    Every block has two hashed numbers a and b, and a draw orders a run's blocks by (a + draw * b) modulo a prime, so any two draws
+    are independent. A run is one row, shuffled as a whole in a task; a task adds up its runs and sends one count a draw and state.
+    """
     length = F.sum("duration_tr").over(Window.partitionBy("run"))
     start = lambda order: (F.sum("duration_tr").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("duration_tr"))
     seen = blocks.withColumn("early", (start(Window.partitionBy("run").orderBy("block_index")) / length < early).cast("int"))
     observed = seen.groupBy("state").agg(F.count(F.lit(1)).alias("n_blocks"), F.avg(F.col("early").cast("double")).alias("early_fraction"))
-    drawn = blocks.withColumn("n", length).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    shuffled = Window.partitionBy("draw", "run").orderBy(draw_hex(seed, "draw", "run", "block_index"), "block_index")
-    null = drawn.withColumn("early", (start(shuffled) / F.col("n") < early).cast("int")).groupBy("draw", "state").agg(F.avg(F.col("early").cast("double")).alias("null"))
-    beyond = null.join(observed, "state").groupBy("state").agg(F.sum((F.col("null") >= F.col("early_fraction") - 1e-12).cast("long")).alias("beyond"))
-    p = F.when(F.col("n_blocks") >= least_blocks, (F.col("beyond") + 1) / (n_draws + 1))
-    return observed.join(beyond, "state").select("state", "n_blocks", "early_fraction", p.alias("p"))
+    text = draw_hex(seed, "run", "block_index")
+    number = lambda at: F.conv(F.substring(text, at, 10), 16, 10).cast("long") % ORDER_PRIME
+    parts = F.struct("block_index", F.col("state").cast("long").alias("state"), F.col("duration_tr").cast("long").alias("size"), number(1).alias("a"), number(11).alias("b"))
+    runs = blocks.groupBy("run").agg(F.array_sort(F.collect_list(parts)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in ("state", "size", "a", "b")])
+    spark = blocks.sparkSession  # small rows of much work: their tasks must not be joined by size
+    runs = runs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    states = np.array(_states_of(blocks), np.int64)
+
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_draws, len(states)), np.int64)
+        for batch in batches:
+            for state, size, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                at, size, a, b = np.searchsorted(states, state), np.array(size, np.int64), np.array(a, np.int64), np.array(b, np.int64)
+                whole, step = size.sum(), max(1, 2_000_000 // len(size))
+                for first in range(1, n_draws + 1, step):
+                    draws = np.arange(first, min(first + step, n_draws + 1))
+                    order = np.argsort((a + draws[:, None] * b) % ORDER_PRIME, axis=1, kind="stable")
+                    dealt = size[order]
+                    row, k = np.nonzero((np.cumsum(dealt, axis=1) - dealt) / whole < early)
+                    total[first - 1 : first - 1 + len(draws)] += np.bincount(row * len(states) + at[order[row, k]], minlength=len(draws) * len(states)).reshape(len(draws), -1)
+        draw, place = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((draw + 1).astype(np.int32)), pa.array(states[place]), pa.array(total[draw, place])], names=["draw", "state", "early"])
+
+    drawn = runs.mapInArrow(shuffle, "draw int, state long, early long").groupBy("draw", "state").agg(F.sum("early").alias("early"))
+    met = drawn.join(observed.select(F.col("state").cast("long").alias("state"), "n_blocks", "early_fraction"), "state").groupBy("state").agg(
+        F.sum((F.col("early") / F.col("n_blocks") >= F.col("early_fraction") - 1e-12).cast("long")).alias("beyond"), F.count(F.lit(1)).alias("met")
+    )
+    # draws without any early block of the state have a share of 0
+    beyond = F.coalesce("beyond", F.lit(0)) + F.when(F.col("early_fraction") <= 1e-12, n_draws - F.coalesce("met", F.lit(0))).otherwise(0)
+    p = F.when(F.col("n_blocks") >= least_blocks, (beyond + 1) / (n_draws + 1))
+    return observed.join(met, observed["state"].cast("long") == met["state"], "left").select(observed["state"], "n_blocks", "early_fraction", p.alias("p"))
 
 
 def trend_permutation(fo: DataFrame, position: DataFrame, n_draws: int, seed: int) -> DataFrame:
