@@ -10,6 +10,7 @@ from strandline.operators import nulls as N
 from strandline.operators import occupancy as O
 from strandline.operators import similarity as S
 from strandline.operators import stats as T
+from strandline.operators import surrogates as Q
 from strandline.plans.extended import _PAIRS
 from strandline.plans.models import ORACLE_SQL, QUERIES
 from strandline.plans.registry import _BLOCKS, _CHANGES, _FO, _RUNS, _STATES, _TRANS, _blocks, _changes, _fo, _p, _query
@@ -268,3 +269,12 @@ def st11(spark, d):
 )
 def seq11(spark, d):
     return O.chronological_lag1(D.with_run_fields(_fo(spark, d)), ["season", "episode", "part", "run"])
+
+
+@_query("st15_matching_test")
+def st15(spark, d):
+    """Three participants by the vectors' numbers, each pair's label means against mixed states."""
+    rows = D.vectors_long(spark, d).where("label is not null").groupBy((F.col("vec_id") % 3).cast("int").alias("subject"), F.col("label").alias("state"), "dim").agg(F.avg("x").alias("x"))
+    maps = rows.groupBy("subject", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("map"))
+    pairs = spark.createDataFrame([(1, 0, 1), (2, 0, 2), (3, 1, 2)], "pair long, a int, b int")
+    return Q.matching_test(maps, pairs, 99, 42)
