@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.draws import draw_hex
+from strandline.operators.linear import least_squares
 from strandline.sources.working import written
 
 
@@ -367,3 +368,40 @@ def reciprocity(edges: DataFrame) -> Column | DataFrame:
     one = edges.where("i <> j").select("graph", "i", "j").distinct()
     back = one.select("graph", F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1.0).alias("back"))
     return one.join(back, ["graph", "i", "j"], "left").groupBy("graph").agg(F.avg(F.coalesce("back", F.lit(0.0))).alias("reciprocity"))
+
+
+def predicted_weights(p: DataFrame, dyads: DataFrame, predictors: list[str]) -> DataFrame:
+    """(i, j, predicted, residual): log probability of every move to another state, by regression on the logs of the states'
+    strengths out and in and on `predictors` of `dyads` (i, j, ...).
+
+    Moves that do not occur have no residual, but a prediction where all predictors are there. Strengths are sums over
+    other states; a strength of 0 counts as 1e-12.
+    """
+    off = p.where("i <> j and p > 0").select("i", "j", "p")
+    out = off.groupBy("i").agg(F.ln(F.greatest(F.sum("p"), F.lit(1e-12))).alias("_out"))
+    into = off.groupBy("j").agg(F.ln(F.greatest(F.sum("p"), F.lit(1e-12))).alias("_in"))
+    low = F.ln(F.lit(1e-12))
+    whole = dyads.where("i <> j").select("i", "j", *predictors).join(out, "i", "left").join(into, "j", "left").join(off, ["i", "j"], "left")
+    whole = whole.select("i", "j", F.lit(0).alias("_g"), F.ln("p").alias("_y"), F.coalesce("_out", low).alias("_out"), F.coalesce("_in", low).alias("_in"), *[F.col(c).cast("double").alias(c) for c in predictors])
+    xs = ["_out", "_in", *predictors]
+    fit = least_squares(whole, "_y", xs, ["_g"]).select("_g", "b")
+    line: Column = F.col("b")[0]
+    for k, c in enumerate(xs, 1):
+        line = line + F.col("b")[k] * F.col(c)
+    return whole.join(F.broadcast(fit), "_g").select("i", "j", line.alias("predicted"), (F.col("_y") - line).alias("residual")).where("predicted is not null")
+
+
+def predicted_null_graphs(predicted: DataFrame, n_draws: int, seed: int, least: float = 0.01) -> DataFrame:
+    """(draw, i, j, w) with w = exp(prediction + a residual) of at least `least`.
+
+    The pairs stand in an order by hash and take the residuals, which stand in the order of their own pairs, one after the other
+    and from the front again where there are fewer residuals than pairs. Pairs are states by states.
+    """
+    drawn = F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("draw")
+    order = Window.partitionBy("draw").orderBy(draw_hex(seed, "draw", "i", "j"), "i", "j")
+    pairs = predicted.select("i", "j", "predicted", drawn).withColumn("_k", F.row_number().over(order) - 1)
+    held = predicted.where("residual is not null").select("i", "j", "residual")
+    size = held.agg(F.count(F.lit(1)).alias("_n"))
+    lined = held.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i", "j")) - 1).select("_k", "residual")
+    dealt = pairs.join(F.broadcast(size)).withColumn("_k", F.col("_k") % F.col("_n")).join(lined, "_k")
+    return dealt.select("draw", "i", "j", F.exp(F.col("predicted") + F.col("residual")).alias("w")).where(F.col("w") >= least)

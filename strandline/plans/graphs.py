@@ -108,6 +108,35 @@ def gr6c(spark, d):
     return G.modular_chain(G.nonmodular_chain(_p(spark, d)), labels, 3.0)
 
 
+_PREDICTED = f"""{_TRANS}, sd as (select distinct state from st), ro as (select i, ln(greatest(sum(p), 1e-12)) as o from tp where i <> j group by i), rn_ as (select j, ln(greatest(sum(p), 1e-12)) as n from tp where i <> j group by j),
+    dy as (select a.state as i, b.state as j, coalesce(o, ln(1e-12)) as x1, coalesce(rn_.n, ln(1e-12)) as x2, abs(a.state % 10 - b.state % 10)::double as x3, ln(p) as y from sd a join sd b on a.state <> b.state left join ro on ro.i = a.state left join rn_ on rn_.j = b.state left join tp on tp.i = a.state and tp.j = b.state),
+    mn as (select avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my from dy where y is not null), d0 as (select i, j, y, x1 - m1 as a, x2 - m2 as b, x3 - m3 as c, y - my as e, my from dy, mn),
+    k1 as (select sum(a * b) / sum(a * a) as ab, sum(a * c) / sum(a * a) as ac, sum(a * e) / sum(a * a) as ae from d0 where y is not null), d1 as (select *, b - ab * a as b1, c - ac * a as c1 from d0, k1),
+    k2 as (select sum(b1 * c1) / sum(b1 * b1) as bc, sum(b1 * e) / sum(b1 * b1) as be from d1 where y is not null), d2 as (select *, c1 - bc * b1 as c2 from d1, k2), k3 as (select sum(c2 * e) / sum(c2 * c2) as ce from d2 where y is not null),
+    pw as (select i, j, my + ae * a + be * b1 + ce * c2 as predicted, y - (my + ae * a + be * b1 + ce * c2) as residual from d2, k3)"""
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Moves by the states' strengths and how far their decades lie apart."""
+    states = D.states(spark, d).select("state").distinct()
+    dyads = states.select(F.col("state").alias("i")).join(F.broadcast(states.select(F.col("state").alias("j"))), F.col("i") != F.col("j"))  # states by states
+    return G.predicted_weights(_p(spark, d), dyads.withColumn("gap", F.abs(F.col("i") % 10 - F.col("j") % 10)), ["gap"])
+
+
+@_query("gr7_predicted_weights", f"with {_PREDICTED} select * from pw")
+def gr7(spark, d):
+    return _predicted(spark, d)
+
+
+@_query(
+    "gr7_predicted_nulls",
+    f"""with {_PREDICTED}, x as (select i, j, predicted, cast(range + 1 as integer) as draw from pw, range(3)), o as (select draw, i, j, predicted, row_number() over (partition by draw order by md5('21|' || draw || '|' || i || '|' || j), i, j) - 1 as k from x),
+    h as (select residual, row_number() over (order by i, j) - 1 as k from pw where residual is not null) select draw, i, j, exp(predicted + residual) as w from o join h on h.k = o.k % (select count(*) from h) where exp(predicted + residual) >= 0.01""",
+)
+def gr7b(spark, d):
+    return G.predicted_null_graphs(_predicted(spark, d), 3, 21)
+
+
 @_query("gr8_consensus")
 def gr8(spark, d):
     return G.consensus(_season_graphs(spark, d), 5)
