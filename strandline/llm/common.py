@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,31 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+    for made in _OWNERS[-1:]:
+        made.append((None, path))
+    return path
+
+
+#: What the blocks of `kept_output` that run now have made, innermost last: (catalog table or None, path).
+_OWNERS: list[list[tuple[str | None, str]]] = []
+
+
+def kept_output(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """Write what `make` returns as a shared table and delete every working table that was made for it; and its path."""
+    _OWNERS.append([])
+    try:
+        out, path = saved(make(), name)
+    finally:
+        made = _OWNERS.pop()
+    for catalog, used in made:
+        if catalog:
+            spark.sql(f"drop table if exists {catalog}")
+        if used != path:
+            drop_path(spark, used)
+    for outer in _OWNERS[-1:]:
+        outer.append((None, path))
+    return out, path
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,6 +90,8 @@ def bucketed(df: DataFrame, name: str, by: list[str], order: list[str], in_place
         dealt.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, *by).sortBy(*order).saveAsTable(made)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    for owned in _OWNERS[-1:]:
+        owned.append((made, path))
     return spark.table(made), made, path
 
 

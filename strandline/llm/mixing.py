@@ -86,7 +86,9 @@ def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, schedule: S
     after k times the source's size, and the words dealt before the copy, over the target, go through the inverted
     schedule; `position` is the first copy's and `at_word` holds the words that all sources together demand up to each
     copy's time; all three are null if the document is not taken. A null source is a source of its own, last in order.
-    Null and empty texts have size 0 and are taken 0 words. Repeated rows each count. Columns with the names of the
+    Null and empty texts have size 0 and are taken 0 words. Repeated rows each have a place
+    of their own in the queue, one after the other; which of them is taken is fixed when their numbers are written.
+    Columns with the names of the
     added ones are replaced, all others stay whatever their name. No rows give no rows.
     """
     sized = _sized(documents, seed, by)
@@ -109,18 +111,19 @@ def _mixed(sized: DataFrame, slim: DataFrame, share: float, most: float, schedul
     plan = spark.createDataFrame(
         [("n" if r["source"] is None else "s" + r["source"], r["source_size"], r["target"], r["w0"], r["w1"]) for r in targets], "s string, source_size long, target double, w0 double, w1 double"
     )
-    # one row a distinct (source, key): rows with equal keys are repeated rows and stand together in the queue
-    units = slim.groupBy("s", "key", "size").agg(F.count(F.lit(1)).alias("rows"))
+    # one row a distinct (source, key); rows that share it are numbered below
+    units = slim.groupBy("s", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
     units = units.withColumn("part", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 65 - queue_parts.bit_length()).cast("int"))
-    words = F.col("rows") * F.col("size")
-    by_part = units.groupBy("s", "part").agg(F.sum(words).alias("n"))
+    by_part = units.groupBy("s", "part").agg(F.sum("words").alias("n"))
     ahead = by_part.select("s", "part", (F.sum("n").over(Window.partitionBy("s").orderBy("part")) - F.col("n")).alias("ahead"))
-    inside = F.sum(words).over(Window.partitionBy("s", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) - words
+    inside = F.sum("words").over(Window.partitionBy("s", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     start = units.withColumn("inside", inside).join(ahead, ["s", "part"]).select("s", "key", "rows", (F.col("ahead") + F.col("inside")).alias("start"))
-    joined = sized.join(start, ["s", "key"]).join(plan, "s")
+    single = sized.join(start.where("rows = 1").drop("rows"), ["s", "key"])
+    several = _in_turn(sized.join(start.where("rows > 1").drop("rows"), ["s", "key"]))
+    joined = single.unionByName(several.select(*single.columns)).join(plan, "s")
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) + F.lit(1e-12))
     due = F.greatest(F.lit(0.0), F.col("target") - whole * F.col("source_size"))
-    middle = F.col("start") + F.col("size") * F.col("rows") / 2
+    middle = F.col("start") + F.col("size") / 2
     copies = F.when(F.col("size") > 0, whole + F.when(middle < due, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
     place = lambda k: _position(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("start")) / F.col("target")))
     once, twice = _joint_demand(targets)
@@ -132,6 +135,20 @@ def _mixed(sized: DataFrame, slim: DataFrame, share: float, most: float, schedul
     )
 
 
+def _in_turn(rows: DataFrame) -> DataFrame:
+    """Moves `start` of rows that share a place (s, key) on by the sizes of those before them, in order of a written number.
+
+    A number's upper bits name the task that wrote it: a place's sizes are summed a task, and then inside the task, so
+    no task holds more of a place than one wrote.
+    """
+    numbered = written(rows.withColumn("u", F.monotonically_increasing_id()), "mix-repeats").withColumn("lane", F.shiftright("u", 33))
+    lanes = numbered.groupBy("s", "key", "lane").agg(F.sum("size").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("s", "key").orderBy("lane")) - F.col("n")
+    inside = F.sum("size").over(Window.partitionBy("s", "key", "lane").orderBy("u")) - F.col("size")
+    moved = numbered.withColumn("inside", inside).join(lanes.select("s", "key", "lane", ahead.alias("ahead")), ["s", "key", "lane"])
+    return moved.withColumn("start", F.col("start") + F.col("ahead") + F.col("inside"))
+
+
 def _joint_demand(targets: list[dict]) -> tuple[float, float]:
     """(a, b): all sources together demand a t + b t^2 words up to training time t."""
     once = twice = 0.0

@@ -38,3 +38,18 @@ def test_tenths(spark, share):
     for r in mixing.curriculum(made).collect():
         order.setdefault(r["doc_id"], []).append((r["copy"], r["position"]))
     assert all(sorted(o)[0][1] == first[d] and [p for _, p in sorted(o)] == sorted(p for _, p in o) for d, o in order.items())
+
+
+def test_repeated_rows(spark):
+    """Rows that repeat, some of them with other columns of their own: every source comes within half its longest document."""
+    rows = [(1, "a b c d", "s0", n) for n in range(10)] + [(2, "e f g", "s0", 0)] * 5 + [(10 + i, "w " * (i % 7), f"s{i % 3}", i) for i in range(60)] + [(3, None, None, 0)] * 4
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string, source string, mark int")
+    for share in (0.3, 0.9, 1.5):
+        got = mixing.mix(df, share=share).collect()
+        assert Counter((r["doc_id"], r["mark"]) for r in got) == Counter((d, m) for d, _, _, m in rows * 3)
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+            assert r["taken"] <= 2 * r["size"]
+        assert all(abs(taken[s] - target[s]) <= 3 for s in target), (share, taken, target)
