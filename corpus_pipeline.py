@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
 columns of documents (doc_id, text, lang, source, n_chars). `run` writes every stage's rows to the shared folder and
-reads them back for the next one.
+reads them back for the next one; a stage's working tables go once its rows are written, and its input with them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table, written
+from strandline.llm.common import drop_path, kept_output, table
 from strandline.llm.components import connected_components
 from strandline.llm.jaccard import jaccard_links
 from strandline.llm.mixing import curriculum, mix
@@ -79,7 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = kept_output(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
