@@ -2,13 +2,13 @@
 
 Every `length`-byte window has an anchor: the start of the 32-byte string of least hash within it. Equal windows have
 their anchor at the same place, so suffixes that start at anchors are enough. A batch's suffix array holds its
-anchored suffixes in buckets of the 32 bytes they start with, inside a bucket in order of their first eight bytes and
-then of the whole head, each with a hash of all bytes that its windows cover. A new batch is merge-scanned against the
-levels that stand when it arrives, which gives the heads that now come twice, and levels of equal size merge, so a
-suffix is rewritten a logarithmic number of times; buckets meet in place, without a shuffle. Suffixes that agree in
-the first bytes and then part are compared in stretches of neighbouring windows, and only stretches whose common bytes
-stand twice are compared window by window. Heads, covers and stretches are told apart by 64-bit hashes, a cover only
-among those of one head.
+anchored suffixes as their first 32 bytes, the head, in byte order, each with a hash of all bytes that its windows
+cover. It stands in buckets of the first 16 bytes, so suffixes that agree in these are neighbours in one bucket. A new
+batch is merged in byte order with the levels that stand when it arrives, and a suffix whose neighbour in that order
+shares its whole head is a match. Levels of equal size merge, so a suffix is rewritten a logarithmic number of times;
+buckets meet in place, without a shuffle. Suffixes that agree in the head and then part are compared in stretches of
+neighbouring windows, and only stretches whose common bytes stand twice are compared window by window. Heads are
+compared as bytes; covers, only among those of one head, and stretches by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import bucketed, drop_bucketed, drop_path, row_chunks, saved, table, text_or_empty, texts_as_bytes, written
 
 HEAD = 32
+LEAD = 16
 _PLACES = 23
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = 0x2545F4914F6CDD1D
@@ -86,7 +87,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
-    """(text index, first and last window start, anchor, head hash, cover hash, lead) of every anchored suffix of the texts.
+    """(text index, first and last window start, anchor, head bytes, cover hash) of every anchored suffix of the texts.
 
     A window never leaves its text. The cover hash is of the bytes from the first window's start to the last
     window's end and of the anchor's place in them. Longer texts than 128 KB, whose hashes a core's cache holds, are cut
@@ -100,7 +101,7 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
                 pieces.append(t[s : s + span + length - 1])
                 of.append(i)
                 base.append(s)
-    found: list[list[np.ndarray]] = [[] for _ in range(7)]
+    found: list[list[np.ndarray]] = [[] for _ in range(6)]
     group: list[int] = []
     size = 0
     for n, piece in enumerate([*pieces, None]):
@@ -111,7 +112,7 @@ def anchors(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
         if piece is not None:
             group.append(n)
             size += len(piece)
-    empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+    empty = (np.zeros(0, np.int64),) * 4 + (np.zeros((0, HEAD), np.uint8), np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in found) if found[0] else empty
 
 
@@ -142,8 +143,7 @@ def _anchors_of(pieces: list[bytes], of: np.ndarray, base: np.ndarray, length: i
     cover = (total[b + length - 7] - total[a]) * _powers(_BACK, len(grams) + 1)[a]
     cover = _mixed(cover ^ _mixed(((p - a).astype(np.uint64) << np.uint64(32)) | (b - a).astype(np.uint64)))
     shift = base[piece] - (ends - sizes)[piece]
-    lead = (np.lib.stride_tricks.sliding_window_view(data, 8)[p].copy().view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-    return of[piece], a + shift, b + shift, p + shift, head[p], cover, lead
+    return of[piece], a + shift, b + shift, p + shift, np.lib.stride_tricks.sliding_window_view(data, HEAD)[p], cover
 
 
 def _key(doc_id: str = "doc_id") -> Column:
@@ -158,24 +158,30 @@ def _keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame
     return bucketed(rows.withColumn("k", _key()), "suffix-texts", ["k", "h"], ["k", "h"])
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a matrix of bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def anchored_suffixes(texts: DataFrame, batches: int, length: int) -> DataFrame:
-    """(batch, head, cover, lead, k, h, a, b, p): all anchored suffixes of texts (k, h, text)."""
+    """(batch, head, cover, k, h, a, b, p): all anchored suffixes of texts (k, h, text)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(rows, 1024, 1 << 20):
-            text, a, b, p, head, cover, lead = anchors(texts_as_bytes(batch.column(2)), length)
+            text, a, b, p, head, cover = anchors(texts_as_bytes(batch.column(2)), length)
             pick = pa.array(text)
             h = batch.column(1).take(pick)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((h.to_numpy() % batches).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(lead), batch.column(0).take(pick), h, *(pa.array(x.astype(np.int32)) for x in (a, b, p))],
-                names=["batch", "head", "cover", "lead", "k", "h", "a", "b", "p"],
+                [pa.array((h.to_numpy() % batches).astype(np.int32)), _binary(head), pa.array(cover.view(np.int64)), batch.column(0).take(pick), h, *(pa.array(x.astype(np.int32)) for x in (a, b, p))],
+                names=["batch", "head", "cover", "k", "h", "a", "b", "p"],
             )
 
-    return texts.select("k", "h", "text").mapInArrow(run, "batch int, head long, cover long, lead long, k long, h long, a int, b int, p int")
+    return texts.select("k", "h", "text").mapInArrow(run, "batch int, head binary, cover long, k long, h long, a int, b int, p int")
 
 
 class IndexFamily:
-    """Levels of suffix arrays (head, cover, lead, n) in buckets of head; sizes double, equal sizes merge.
+    """Levels of suffix arrays (lead, head, cover, n) in byte order in buckets of lead; sizes double, equal sizes merge.
 
     `twice` lists, for each batch added, the heads that came twice with it: within the batch, or in it and in a level
     that stood when it arrived. Any two batches meet that way, so the lists together hold every repeated head.
@@ -186,21 +192,34 @@ class IndexFamily:
         self.twice: list[tuple[DataFrame, str, str]] = []
 
     @staticmethod
-    def _array(rows: DataFrame, in_place: bool = False) -> tuple[DataFrame, str, str]:
-        summed = rows.groupBy("head", "cover").agg(F.min("lead").alias("lead"), F.sum("n").alias("n"))
-        return bucketed(summed, "suffix-level", ["head"], ["lead", "head", "cover"], in_place)
+    def _array(rows: DataFrame) -> tuple[DataFrame, str, str]:
+        summed = rows.groupBy("head", "cover").agg(F.count(F.lit(1)).alias("n"))
+        return bucketed(summed.select(F.substring("head", 1, LEAD).alias("lead"), "head", "cover", "n"), "suffix-level", ["lead"], ["lead", "head", "cover"])
+
+    @staticmethod
+    def _merged(one: DataFrame, other: DataFrame) -> tuple[DataFrame, str, str]:
+        summed = one.unionByName(other).groupBy("lead", "head", "cover").agg(F.sum("n").alias("n"))
+        return bucketed(summed, "suffix-level", ["lead"], ["lead", "head", "cover"], in_place=True)
+
+    @staticmethod
+    def merge_scan(fresh: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        """(lead, head) of the fresh suffixes that come more than once or whose neighbour before, in the byte order of
+        all, shares their head; among equal heads those of the levels stand first."""
+        every = fresh.select("lead", "head", "n", F.lit(1).alias("new"))
+        for level in levels:
+            every = every.unionByName(level.select("lead", "head", "n", F.lit(0).alias("new")))
+        order = Window.partitionBy("lead").orderBy("head", "new")
+        met = (F.col("n") > 1) | F.coalesce(F.lag("head").over(order) == F.col("head"), F.lit(False))
+        return every.withColumn("met", met).where("new = 1 and met").select("lead", "head").distinct()
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """Make the batch's suffix array, merge-scan it against the levels and merge levels of equal size, from the
-        smallest; the heads (head) that come twice since this batch. A level that has been merged is deleted."""
-        size, made = 1, self._array(suffixes.select("head", "cover", "lead", F.lit(1).cast("long").alias("n")))
-        met = made[0].groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head")
-        for _, level, *_ in self.levels:
-            met = met.union(made[0].join(level.select("head"), "head", "left_semi").select("head"))
-        self.twice.append(bucketed(met.distinct(), "suffix-twice", ["head"], ["head"]))
+        smallest; the heads (lead, head) that come twice since this batch. A level that has been merged is deleted."""
+        size, made = 1, self._array(suffixes)
+        self.twice.append(bucketed(self.merge_scan(made[0], [level for _, level, *_ in self.levels]), "suffix-twice", ["lead"], ["lead", "head"]))
         while self.levels and self.levels[-1][0] == size:
             _, *other = self.levels.pop()
-            merged, size = self._array(other[0].unionByName(made[0]), in_place=True), size * 2
+            merged, size = self._merged(other[0], made[0]), size * 2
             for gone in (other, made):
                 drop_bucketed(suffixes.sparkSession, *gone[1:])
             made = merged
@@ -210,18 +229,21 @@ class IndexFamily:
     def long_matches(self) -> DataFrame:
         """(head, cover, n, mixed): the suffixes whose head comes twice or more over all levels.
 
-        mixed: the head stands in suffixes whose covered bytes differ.
+        The lists of `twice` are merged in byte order with the levels, a list's head before the suffixes that start
+        with it. mixed: a neighbour shares the head, so the head stands in suffixes whose covered bytes differ.
         """
-        heads = self.twice[0][0]
-        for more, *_ in self.twice[1:]:
-            heads = heads.union(more)
-        heads = heads.distinct()
         every = None
         for _, level, *_ in self.levels:
-            part = level.join(heads, "head", "left_semi").select("head", "cover", "n")
-            every = part if every is None else every.unionByName(part)
-        every = every.groupBy("head", "cover").agg(F.sum("n").alias("n"))
-        return every.withColumn("mixed", F.count(F.lit(1)).over(Window.partitionBy("head")) > 1)
+            every = level if every is None else every.unionByName(level)
+        for heads, *_ in self.twice:
+            every = every.unionByName(heads.select("lead", "head", F.lit(None).cast("long").alias("cover"), F.lit(0).cast("long").alias("n")))
+        every = every.groupBy("lead", "head", "cover").agg(F.sum("n").alias("n"))
+        order = Window.partitionBy("lead").orderBy(F.col("head"), F.col("cover").asc_nulls_first())
+        listed = F.last(F.when(F.col("cover").isNull(), F.col("head")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        before = F.lag(F.when(F.col("cover").isNotNull(), F.col("head"))).over(order) == F.col("head")
+        after = F.lead("head").over(order) == F.col("head")
+        mixed = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+        return every.withColumn("listed", listed).withColumn("mixed", mixed).where("cover is not null and listed = head").select("head", "cover", "n", "mixed")
 
     def drop(self) -> None:
         for made in [level[1:] for level in self.levels] + self.twice:
@@ -293,16 +315,17 @@ def repeated_starts(texts: DataFrame, length: int = 200, batches: int = 3, width
     family = IndexFamily()
     for n in range(batches):
         family.add(suffixes.where(F.col("batch") == n))
-    hit = written(suffixes.drop("batch", "lead").join(family.long_matches(), ["head", "cover"]).withColumn("open", F.lit(True)), "suffix-hits")
+    hit = written(suffixes.drop("batch").join(family.long_matches(), ["head", "cover"]).withColumn("open", F.lit(True)), "suffix-hits")
     drop_path(spark, path)
     family.drop()
     found, asked = _told_apart(hit, "head", "cover")
     for step in (width, 1):
-        parts = written(stretches(texts, asked, step, length), f"suffix-stretches-{step}")
+        parts, path = saved(stretches(texts, asked, step, length), f"suffix-stretches-{step}")
         keys = parts.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"))
         shared = keys.groupBy("common").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
         known = keys.join(shared, "common").select("common", "whole", "n", (F.col("kinds") > 1).alias("mixed"))
         rows = written(parts.join(known, ["common", "whole"]), f"suffix-shared-{step}")
+        drop_path(spark, path)
         twice, asked = _told_apart(rows, "common", "whole")
         found = found.unionByName(twice)
     return found
