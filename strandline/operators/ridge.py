@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.linear import finite_rows, matrix, summed, width_of
+from strandline.operators.linear import finite_rows, matrix, pieces, summed, width_of
 from strandline.sources.working import written
 
 
@@ -165,3 +165,99 @@ def shifted_labels(rows: DataFrame, n_draws: int, seed: int, label: str = "label
         by = F.when(F.col("_n") > 1, 1 + F.floor(uniform(seed, F.lit(draw), "run") * (F.col("_n") - 1))).otherwise(0)
         held = held.withColumn(f"null_{draw}", F.col("_all")[F.pmod(F.col("_k") - by, F.col("_n")).cast("int")])
     return held.drop("_k", "_all", "_n")
+
+
+def in_both(train: DataFrame, test: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Both tables' rows of the states that either of them has."""
+    shared = train.select(label).distinct().intersect(test.select(label).distinct())
+    return train.join(shared, label, "left_semi"), test.join(shared, label, "left_semi")
+
+
+def transfer(train: DataFrame, test: DataFrame, labels: list[str], subset: str, alpha: float = 1.0, features: str = "features") -> DataFrame:
+    """(target, subset, label, predicted, n): counts of the test rows under classifiers fitted to all train rows.
+
+    Each label vector of `train` (the observed one first) has a classifier of its own, whose rows weigh n / (classes * rows of
+    the class) by that vector; the test rows keep their label, in the column labels[0]. Classes are those of the observed train
+    labels. Rows with a null label, features that are not finite or a label outside the classes are left out, and so is a label
+    vector that lacks a class. `subset` is a text column of `test`; null is a subset too. Fewer than two classes or no test row
+    give no rows.
+
+    The sums over `train` are (label vectors x features^2 / 2) numbers, which a task sends once and the driver solves; the test rows
+    are only counted, so no table of scores is made.
+    """
+    first = labels[0]
+    clean = lambda rows, names: finite_rows(rows.where(" and ".join(f"`{c}` is not null" for c in names)), features).withColumn("x", F.col(features).cast("array<double>"))
+    whole = written(clean(train, labels).select("x", F.array(*[F.col(c).cast("int") for c in labels]).alias("y")), "transfer-rows")
+    schema = "target int, subset string, label int, predicted int, n long"
+    classes = np.array(sorted(r["c"] for r in whole.select(F.col("y")[0].alias("c")).distinct().collect()), np.int64)  # a row a state
+    if len(classes) < 2:
+        return train.sparkSession.createDataFrame([], schema)
+    k, b, d = len(classes), len(labels), width_of(whole, "x")
+    whole = whole.where(F.forall("y", lambda c: c.isin([int(c) for c in classes])))
+    shift = np.array(whole.select("x").first()[0])
+    counts = np.zeros((b, k))
+    for r in whole.select(F.posexplode("y").alias("t", "c")).groupBy("t", "c").count().collect():  # a row a label vector and state
+        counts[r["t"], np.searchsorted(classes, r["c"])] = r["count"]
+    fitted = np.flatnonzero((counts > 0).all(axis=1))
+    weights = counts[fitted].sum(axis=1, keepdims=True) / (k * counts[fitted])
+    upper, cut = np.triu_indices(d + 1), len(fitted) * (d + 1) * (d + 2) // 2
+
+    def products(piece: pa.RecordBatch) -> np.ndarray:
+        x, y = matrix(piece.column(0)), np.searchsorted(classes, matrix(piece.column(1)).astype(np.int64))[:, fitted]
+        z = np.column_stack([np.ones(len(x)), x - shift])
+        grams = [((z * w[own][:, None]).T @ z)[upper] for w, own in zip(weights, y.T)]
+        sums = np.stack([((y == q).T.astype(float) @ z) * weights[:, q : q + 1] for q in range(k)], axis=1)
+        return np.concatenate([*grams, sums.ravel()])
+
+    total = summed(whole, ["x", "y"], cut + len(fitted) * k * (d + 1), products)
+    halves, sums = total[:cut].reshape(len(fitted), -1), total[cut:].reshape(len(fitted), k, d + 1)
+    columns = 1 if k == 2 else k
+    coef, offset = np.zeros((len(fitted), d, columns)), np.zeros((len(fitted), columns))
+    for t in range(len(fitted)):
+        a = np.zeros((d + 1, d + 1))
+        a[upper] = halves[t]
+        a = a + np.triu(a, 1).T
+        target = (2 * sums[t] - a[0])[1 if k == 2 else 0 :]  # sums of weight * (1, x) * (+1 or -1)
+        centre = a[0, 1:] / a[0, 0]
+        coef[t] = np.linalg.solve(a[1:, 1:] - np.outer(centre, centre) * a[0, 0] + alpha * np.eye(d), (target[:, 1:] - target[:, :1] * centre).T)
+        offset[t] = target[:, 0] / a[0, 0] - centre @ coef[t]
+    flat = coef.transpose(1, 0, 2).reshape(d, -1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                y = np.searchsorted(classes, piece.column(1).to_numpy(zero_copy_only=False))
+                scores = ((matrix(piece.column(0)) - shift) @ flat).reshape(len(y), len(fitted), columns) + offset
+                best = scores.argmax(axis=2) if k > 2 else (scores[:, :, 0] > 0).astype(np.int64)
+                group = piece.column(2).dictionary_encode()
+                names = group.dictionary.to_pylist() + [None]
+                at = group.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+                code = ((np.arange(len(fitted)) * len(names) + at[:, None]) * k + y[:, None]) * k + best
+                code, n = np.unique(code, return_counts=True)
+                place = code // (k * k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fitted[place // len(names)].astype(np.int32)), pa.array([names[i] for i in place % len(names)], pa.string()), pa.array(classes[code // k % k].astype(np.int32)), pa.array(classes[code % k].astype(np.int32)), pa.array(n)],
+                    names=["target", "subset", "label", "predicted", "n"],
+                )
+
+    held = clean(test, [first]).where(F.col(first).isin([int(c) for c in classes])).select("x", F.col(first).cast("int").alias("y"), F.col(subset).cast("string").alias("g"))
+    return held.mapInArrow(count, schema).groupBy("target", "subset", "label", "predicted").agg(F.sum("n").alias("n"))
+
+
+def transfer_test(counts: DataFrame, n_classes: int) -> DataFrame:
+    """(subset, n, n_present, balanced_accuracy, effect, null_mean, n_draws, p) of `transfer`'s counts, for each subset and for all
+    rows as subset 'all'.
+
+    The recall is averaged over the classes that the subset's labels have; effect is its share of the way from chance,
+    1 / n_classes, to 1. p counts the data among the draws. Subsets with fewer than two classes are left out.
+    """
+    pooled = counts.withColumn("subset", F.lit("all")).unionByName(counts)
+    recall = pooled.groupBy("target", "subset", "label").agg((F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"), F.sum("n").alias("n"))
+    score = recall.groupBy("target", "subset").agg(F.avg("r").alias("a"), F.count(F.lit(1)).alias("n_present"), F.sum("n").alias("n")).where("n_present > 1")
+    seen = score.where("target = 0").select("subset", "n", "n_present", F.col("a").alias("balanced_accuracy"))
+    null = score.where("target > 0").select(F.col("subset").alias("s"), "a")
+    met = seen.join(null, F.col("subset").eqNullSafe(F.col("s")), "left").groupBy("subset", "n", "n_present", "balanced_accuracy").agg(
+        F.avg("a").alias("null_mean"), F.count("a").alias("n_draws"), F.sum(F.coalesce((F.col("a") >= F.col("balanced_accuracy") - 1e-12).cast("long"), F.lit(0))).alias("_b")
+    )
+    effect = (F.col("balanced_accuracy") - 1 / n_classes) / (1 - 1 / n_classes)
+    return met.select("subset", "n", "n_present", "balanced_accuracy", effect.alias("effect"), "null_mean", "n_draws", ((F.col("_b") + 1) / (F.col("n_draws") + 1)).alias("p"))

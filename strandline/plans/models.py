@@ -250,3 +250,41 @@ def ml6b(spark, d):
     """Labels of the embeddings from all 64 dimensions, against 20 shifted label vectors."""
     rows = C.shifted_labels(_vectors(spark, d).where("label is not null"), 20, 42)
     return C.decoding_metrics(C.leave_one_run_out(rows, ["label", *[f"null_{i}" for i in range(1, 21)]]))
+
+
+_TRANSFER = f"""{_STATES}, rw as (select user_id as run, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as tr, value::double as x, cast(case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as integer) as y from events),
+    ta as (select * from rw where (run // 6) % 2 = 0), nn as (select run, count(*) as n from ta group by run),
+    lb as (select x, 0 as target, y as q from ta union all
+      select a.x, range + 1, b.y from (select * from ta, range(20)) a join nn using (run)
+      join ta b on b.run = a.run and b.tr = (a.tr - (case when n > 1 then cast(1 + floor((('0x' || substr(md5('6|' || (range + 1) || '|' || a.run), 1, 13))::bigint / 4503599627370496.0::double) * (n - 1)) as bigint) else 0 end) + n) % n),
+    wc as (select target, q, count(*)::double as n, sum(x) as sx, sum(x * x) as sxx from lb group by 1, 2), ww as (select *, sum(n) over (partition by target) / (count(*) over (partition by target) * n) as w from wc),
+    al as (select target, sum(w * n) as s0, sum(w * sx) as s1, sum(w * sxx) as s2 from ww group by 1),
+    cf as (select target, q, (2 * w * n - s0) / s0 as b0, s1 / s0 as m, (2 * w * sx - s1 - (2 * w * n - s0) * s1 / s0) / (s2 - s1 * s1 / s0 + 1.0) as b1 from ww join al using (target)),
+    pd as (select target, run, tr, any_value(y) as label, arg_max(q, (x - m) * b1 + b0) as predicted from rw, cf where (run // 6) % 2 = 1 group by 1, 2, 3),
+    pg as (select *, (run % 6 + 1)::varchar as subset from pd union all select *, 'all' from pd),
+    rc as (select target, subset, label, avg((label = predicted)::integer) as r, count(*) as n from pg group by 1, 2, 3), sc as (select target, subset, avg(r) as a, count(*) as n_present, cast(sum(n) as bigint) as n from rc group by 1, 2 having count(*) > 1)"""
+
+
+@_query(
+    "ml8_kind_transfer",
+    f"""with {_TRANSFER} select o.subset, o.n, o.n_present, o.a as balanced_accuracy, (o.a - 0.2) / 0.8 as effect, avg(s.a) as null_mean, count(*) as n_draws, (1 + sum((s.a >= o.a - 1e-12)::integer)) / (count(*) + 1) as p
+    from sc o join sc s using (subset) where o.target = 0 and s.target > 0 group by 1, 2, 3, 4, 5""",
+)
+def ml8(spark, d):
+    """Fitted to the runs of part a, tested on those of part b by season, against 20 shifted label vectors."""
+    values = D.with_run_fields(D.table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("ts"), F.col("event_id"), F.col("value").cast("double").alias("x")))
+    place = F.row_number().over(C.Window.partitionBy("run").orderBy("ts", "event_id")) - 1
+    rows = values.withColumn("tr", place.cast("int")).select("run", "tr", "part", "season", F.array("x").alias("features")).join(D.kinds(spark, d).select("run", "tr", F.col("state").alias("label")), ["run", "tr"])
+    train, test = C.in_both(rows.where("part = 'a'"), rows.where("part = 'b'"))
+    train = C.shifted_labels(train, 20, 6)
+    return C.transfer_test(C.transfer(train, test, ["label", *[f"null_{i}" for i in range(1, 21)]], "season"), 5)
+
+
+@_query("ml8_vector_transfer")
+def ml8b(spark, d):
+    """Labels of the embeddings from all 64 dimensions: fitted to the even recordings, tested on the odd ones by thirds."""
+    rows = _vectors(spark, d).where("label is not null").withColumn("third", F.floor(F.col("tr") * 3 / 50).cast("string"))
+    train, test = C.in_both(rows.where("run % 2 = 0"), rows.where("run % 2 = 1"))
+    names = ["label", *[f"null_{i}" for i in range(1, 41)]]
+    counts = C.transfer(C.shifted_labels(train, 40, 42), test, names, "third")
+    return C.transfer_test(counts, train.select("label").distinct().count())
