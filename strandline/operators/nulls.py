@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import comb, exp, lgamma, log, log1p
+from math import comb, erfc, exp, lgamma, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +198,41 @@ def context_test(changes: DataFrame, least: int = 10) -> DataFrame:
     return bh_fdr(tested.withColumn("enrichment", F.col("p_context") / F.col("p_other")))
 
 
+def fourgram_null(changes: DataFrame, least: int = 3, least_context: int = 5) -> DataFrame:
+    """(gram, n, n_context, n_other, share, expected, excess, z): four states in a row against the last two steps alone.
+
+    The share of d after b, c is taken from the runs' other places, those that do not follow a, b, c; expected is that share of the
+    chains a, b, c with a successor. Grams are tested if they occur `least` times, b, c has `least_context` other successors
+    and d is one of them; z is null where fewer than five are expected.
+    """
+    order = Window.partitionBy("run").orderBy("pos")
+    steps = changes.select("run", F.col("state").alias("a"), *[F.lead("state", k).over(order).alias(c) for k, c in enumerate("bcd", 1)])
+    four = steps.where("d is not null").groupBy("a", "b", "c", "d").agg(F.count(F.lit(1)).alias("n"))
+    three = steps.where("c is not null").groupBy(F.col("a").alias("b"), F.col("b").alias("c"), F.col("c").alias("d")).agg(F.count(F.lit(1)).alias("m_d"))
+    context = four.groupBy("a", "b", "c").agg(F.sum("n").alias("n_context"))
+    after = three.groupBy("b", "c").agg(F.sum("m_d").alias("m"))
+    held = four.where(F.col("n") >= least).join(context, ["a", "b", "c"]).join(after, ["b", "c"]).join(three, ["b", "c", "d"], "left").withColumn("n_other", F.col("m") - F.col("n_context"))
+    held = held.where((F.col("n_other") >= least_context) & (F.col("n_other") > 0))
+    share = F.greatest(F.coalesce("m_d", F.lit(0)) - F.col("n"), F.lit(0)) / F.col("n_other")
+    held = held.withColumn("share", share).withColumn("expected", F.col("n_context") * F.col("share")).where("share >= 1e-15 and expected >= 1e-10")
+    gap = F.col("n") - F.col("expected")
+    z = F.when(F.col("expected") >= 5, gap / F.sqrt("expected"))
+    return held.select(F.concat_ws(">", "a", "b", "c", "d").alias("gram"), "n", "n_context", "n_other", "share", "expected", (gap / F.col("expected")).alias("excess"), z.alias("z"))
+
+
+def fourgram_test(changes: DataFrame, least: int = 3, least_context: int = 5) -> DataFrame:
+    """`fourgram_null` with the two-sided normal p and q by Benjamini and Hochberg, and survives: q under 0.05 with an excess."""
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [None if z is None else erfc(abs(z) / sqrt(2)) for z in batch.column("z").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p"])
+
+    held = fourgram_null(changes, least, least_context)
+    tested = bh_fdr(held.mapInArrow(tails, ", ".join(f"{c} {t}" for c, t in held.dtypes) + ", p double"))
+    return tested.withColumn("survives", (F.coalesce("q", F.lit(1.0)) < 0.05) & (F.col("excess") > 0))
+
+
 # returns
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import compare as V
 from strandline.operators import modules as G
 from strandline.operators import nulls as N
 from strandline.operators import occupancy as O
@@ -307,3 +308,64 @@ def st15(spark, d):
     maps = rows.groupBy("subject", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("map"))
     pairs = spark.createDataFrame([(1, 0, 1), (2, 0, 2), (3, 1, 2)], "pair long, a int, b int")
     return Q.matching_test(maps, pairs, 99, 42)
+
+
+@_query(
+    "st20_fourgram_null",
+    f"""with {_CHANGES}, s as (select run, state as a, lead(state, 1) over w as b, lead(state, 2) over w as c, lead(state, 3) over w as d from cs window w as (partition by run order by pos)),
+    f4 as (select a, b, c, d, count(*) as n from s where d is not null group by all), f3 as (select a as b, b as c, c as d, count(*) as m_d from s where c is not null group by all),
+    x as (select a, b, c, d, n, cast(sum(n) over (partition by a, b, c) as bigint) as n_context from f4),
+    m as (select b, c, cast(sum(m_d) as bigint) as m from f3 group by all),
+    h as (select x.*, m - n_context as n_other, greatest(coalesce(m_d, 0) - n, 0) / (m - n_context) as share from x join m using (b, c) left join f3 using (b, c, d) where n >= 3 and m - n_context >= 5)
+    select a || '>' || b || '>' || c || '>' || d as gram, n, n_context, n_other, share, n_context * share as expected, (n - n_context * share) / (n_context * share) as excess, case when n_context * share >= 5 then (n - n_context * share) / sqrt(n_context * share) end as z
+    from h where share >= 1e-15 and n_context * share >= 1e-10""",
+)
+def st20b(spark, d):
+    return N.fourgram_null(_changes(spark, d))
+
+
+@_query("st20_fourgram_test")
+def st20c(spark, d):
+    return N.fourgram_test(_changes(spark, d))
+
+
+_WORSE = {"agreement": "lower", "distance": "higher"}
+_TWO_SETS = """ft as (select (l_linenumber % 3) * 5 + l_orderkey % 5 as fit, l_partkey % 6 as season, -avg(l_quantity::double) / 5 as v from lineitem where l_linenumber % 3 < 2 and l_suppkey % 4 = 0 group by all),
+    pr as (select a.fit as i, b.fit as j, corr(a.v, b.v) as agreement, sum(abs(a.v - b.v)) as distance from ft a join ft b on a.season = b.season and a.fit < b.fit group by all),
+    lg as (select i, j, 'agreement' as metric, agreement as value, 1 as s from pr union all select i, j, 'distance', distance, -1 from pr)"""
+
+
+def _two_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(i, j, agreement, distance) of the seasons' likelihoods of every two fits with the first two gammas at the smallest nc; (fit, a)."""
+    rows = D.season_fits(spark, d).where("gamma < 2 and nc = 10").select((F.col("gamma") * 5 + F.col("seed")).alias("fit"), "season", F.col("valid_ll").alias("v"))
+    a, b = rows.select(F.col("fit").alias("i"), "season", F.col("v").alias("v")), rows.select(F.col("fit").alias("j"), "season", F.col("v").alias("w"))
+    pairs = a.join(b, "season").where("i < j").groupBy("i", "j").agg(F.corr("v", "w").alias("agreement"), F.sum(F.abs(F.col("v") - F.col("w"))).alias("distance"))
+    return pairs, rows.select("fit", (F.col("fit") < 5).alias("a")).distinct()
+
+
+@_query(
+    "st23_fit_verdict",
+    f"""with {_TWO_SETS}, best as (select fit // 5 as g, fit from (select fit, row_number() over (partition by fit // 5 order by avg(v) desc, fit) as k from ft group by fit) where k = 1),
+    cr as (select metric, s, value as cross from lg where i in (select fit from best) and j in (select fit from best)),
+    wi as (select metric, min(value) as within_min, median(value) as within_median, max(value) as within_max from lg where i // 5 = j // 5 group by metric),
+    o as (select metric, "cross", within_min, within_median, within_max, case when s = 1 then "cross" < within_min else "cross" > within_max end as outside from cr join wi using (metric))
+    select *, max(outside) over () as moved from o""",
+)
+def st23(spark, d):
+    """The seed with the best mean likelihood of either gamma against each other."""
+    pairs, _ = _two_sets(spark, d)
+    means = D.season_fits(spark, d).where("gamma < 2 and nc = 10").groupBy("gamma", "seed").agg(F.avg("valid_ll").alias("m"))
+    best = means.groupBy("gamma").agg(F.max_by("seed", F.struct("m", -F.col("seed"))).alias("seed")).select((F.col("gamma") * 5 + F.col("seed")).alias("fit"))
+    cross = pairs.join(best.withColumnRenamed("fit", "i"), "i", "left_semi").join(best.withColumnRenamed("fit", "j"), "j", "left_semi")
+    return V.moved(cross, pairs.where("floor(i / 5) = floor(j / 5)"), _WORSE)
+
+
+@_query(
+    "st23_split_test",
+    f"""with {_TWO_SETS}, mk as (select range as mask from range(1024) where bit_count(range) = 5),
+    md as (select mask, metric, any_value(s) as s, median(case when (mask >> i) & 1 = (mask >> j) & 1 then value end) as w, median(case when (mask >> i) & 1 <> (mask >> j) & 1 then value end) as c from lg, mk group by mask, metric),
+    ob as (select metric, s * (w - c) as statistic, w, c from md where mask = 31)
+    select metric, any_value(statistic) as statistic, any_value(ob.w) as within_median, any_value(ob.c) as cross_median, count(*) as n_splits, true as exact, avg((s * (md.w - md.c) >= statistic - 1e-12)::integer) as p from md join ob using (metric) group by metric""",
+)
+def st23b(spark, d):
+    return V.split_test(*_two_sets(spark, d), _WORSE)
