@@ -44,8 +44,9 @@ def test_oracle(spark, sf_dir, duck, name):
     assert sorted(df.columns) == sorted(cols)
     got, want = canonical([tuple(r) for r in df.collect()], df.columns), canonical(want.fetchall(), cols)
     assert len(got) == len(want)
-    # chains in five runs and training episodes beside test and validation are not there in the smallest table
-    assert want or name in ("st21_chain_preservation", "sp6_training_runs")
+    # chains in five runs, training episodes beside test and validation and four-grams seen three times with five other
+    # successors are not there in the smallest table (on sf0.01 178 such four-grams agree)
+    assert want or name in ("st21_chain_preservation", "sp6_training_runs", "st20_fourgram_null")
     wrong = [(g, w) for g, w in zip(got, want) if not all(map(same, g, w))]
     assert not wrong, wrong[:3]
 
