@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.linear import finite_rows, matrix, pieces, summed, width_of
-from strandline.sources.working import written
+from strandline.sources.working import parts_of, written
 
 
 def _own(x: np.ndarray, y: np.ndarray, labels: np.ndarray, k: int, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +134,15 @@ def ranked_areas(rows: DataFrame, score: str, positive: str, by: list[str]) -> D
     """
     spark = rows.sparkSession
     y = F.col(positive).cast("long")
-    at = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    dealt = at.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by, score).withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "auc-parts")
+    values = written(rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).select(*by, score, y.alias("y")), "auc-values")
+    n_parts = parts_of(spark, values.count())
+    dealt = values.repartitionByRange(n_parts, *by, score).withColumn("part", F.spark_partition_id())  # equal scores share a part
+    dealt = written(dealt, "auc-ranges").repartition(n_parts, *by, "part")
+    dealt = written(dealt.groupBy(*by, "part", score).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), "auc-parts")
     parts = dealt.groupBy(*by, "part").agg(F.sum("q").alias("s"))
     before = parts.select(*by, "part", (F.sum("s").over(Window.partitionBy(*by).orderBy("part")) - F.col("s")).alias("before"))
     inside = F.sum("q").over(Window.partitionBy(*by, "part").orderBy(score)) - F.col("q")
-    below = dealt.withColumn("inside", inside).join(before, [*by, "part"])
+    below = dealt.repartition(n_parts, *by, "part").withColumn("inside", inside).join(before, [*by, "part"])
     won = F.sum(F.col("p") * (F.col("before") + F.col("inside") + F.col("q") / 2))
     out = below.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), won.alias("_w"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_w") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc"))
