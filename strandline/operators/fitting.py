@@ -124,8 +124,8 @@ def expected_counts(runs: DataFrame, model: GaussianModel, outer: bool) -> Count
         lengths = piece.column(0).to_numpy().astype(np.int64)
         out, at, flat = np.zeros(size), 0, piece.column(1).flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
-        while at < len(lengths):  # some 50,000 observations at a time
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 50_000, side="right")))
+        while at < len(lengths):  # some 8,000 observations at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8_000, side="right")))
             a, b = (int(ends[at - 1]) if at else 0), int(ends[to - 1])
             out += expectations(model, flat[a * d : b * d].reshape(-1, d), lengths[at:to], outer).flat()
             at = to
