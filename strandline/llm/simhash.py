@@ -154,7 +154,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, seed: int = 42, max_
     edges = near_edges(classes.where("rep is not null"), max_bits)
     found = connected_components(edges)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # sorted: many copies make the file of fingerprints small, and Spark would send all rows through the driver
+    return prints.hint("merge").join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
